@@ -277,3 +277,55 @@ FROM products
 """, "products"))
 def q_price_list(spark, sf_dir):
     return for_compare(inv.price_list(_t(spark, sf_dir)["products"]))
+
+
+# --- stock ledger -----------------------------------------------------------
+# Oracle: a recursive walk over each product's events, one event per step,
+# carrying the stored (containers, loose) pair exactly as the pages do.
+_LEDGER_WALK = """,
+p AS (SELECT id, GREATEST(1, COALESCE(pieces_per_container, 0)) AS ppc,
+             CAST(COALESCE(container_quantity, 0) AS BIGINT) AS c0,
+             CAST(COALESCE(loose_pieces, 0) AS BIGINT) AS l0 FROM products),
+ev AS (SELECT e.event_id, e.product_id, e.kind, e.ts,
+              CAST(COALESCE(e.pieces, 0) AS BIGINT) AS pieces,
+              CAST(COALESCE(e.containers, 0) AS BIGINT) AS containers,
+              CAST(COALESCE(e.loose, 0) AS BIGINT) AS loose,
+              row_number() OVER (PARTITION BY e.product_id ORDER BY e.ts, e.event_id) AS rn
+       FROM stock_events e JOIN p ON p.id = e.product_id),
+walk AS (
+  SELECT p.id AS product_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id,
+         CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS TIMESTAMP) AS ts, p.c0 AS c, p.l0 AS l, p.ppc
+  FROM p WHERE p.id IN (SELECT product_id FROM ev)
+  UNION ALL
+  SELECT ev.product_id, ev.rn, ev.event_id, ev.kind, ev.ts,
+         CASE ev.kind WHEN 'sale' THEN GREATEST(0, w.c * w.ppc + w.l - ev.pieces) // w.ppc
+                      WHEN 'add' THEN w.c + ev.containers ELSE ev.containers END,
+         CASE ev.kind WHEN 'sale' THEN GREATEST(0, w.c * w.ppc + w.l - ev.pieces) % w.ppc
+                      WHEN 'add' THEN w.l + ev.loose ELSE ev.loose END,
+         w.ppc
+  FROM walk w JOIN ev ON ev.product_id = w.product_id AND ev.rn = w.rn + 1
+)
+"""
+
+
+@register("stock_ledger", with_ctes(_LEDGER_WALK + """
+SELECT event_id, CAST(product_id AS BIGINT) AS product_id, kind, c * ppc + l AS total_after
+FROM walk WHERE rn > 0
+""", "products", "stock_events", recursive=True))
+def q_stock_ledger(spark, sf_dir):
+    from ..operators import ledger
+    r = ledger.replay(tm.products(spark, sf_dir), tm.stock_events(spark, sf_dir))
+    return for_compare(r.select("event_id", "product_id", "kind", "total_after"))
+
+
+@register("stock_ledger_final", with_ctes(_LEDGER_WALK + """
+SELECT CAST(w.product_id AS BIGINT) AS product_id, w.c AS container_quantity, w.l AS loose_pieces,
+       w.rn AS events, strftime(m.last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts
+FROM walk w JOIN (SELECT product_id, MAX(rn) AS rn, MAX(ts) AS last_ts FROM walk GROUP BY product_id) m
+  ON m.product_id = w.product_id AND m.rn = w.rn
+""", "products", "stock_events", recursive=True))
+def q_stock_ledger_final(spark, sf_dir):
+    from ..operators import ledger
+    prods = tm.products(spark, sf_dir)
+    _r, final = ledger.stock_ledger(prods, tm.stock_events(spark, sf_dir))
+    return for_compare(final)

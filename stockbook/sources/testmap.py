@@ -203,11 +203,14 @@ SQL_CTES = {
 }
 
 
-def with_ctes(body: str, *names: str) -> str:
-    """Prefix an oracle query with the mapping CTEs it uses."""
+def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
+    """Prefix an oracle query with the mapping CTEs it uses. With
+    ``recursive`` the list opens with WITH RECURSIVE and ``body`` continues
+    it (it starts with a comma and its own CTEs)."""
     order = ["products", "sales", "sale_items", "stock_events"]
     used = [n for n in order if n in names]
-    return "WITH " + ",\n".join(SQL_CTES[n].strip() for n in used) + "\n" + body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(SQL_CTES[n].strip() for n in used) + "\n" + body
 
 
 __all__ = ["products", "sales", "sale_items", "stock_events", "carts", "load_all",
