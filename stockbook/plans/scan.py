@@ -91,7 +91,9 @@ def running_agg(df: DataFrame, keys: list[str], seq: str, specs: dict[str, tuple
     # level 1: one partial per (key, chunk)
     parts = d.groupBy(*part_keys).agg(*[_OPS[op](F.col(v)).alias(f"_p_{o}") for o, (op, v) in specs.items()])
     # level 2: carry of all earlier chunks of the key (window over the chunk table)
-    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # with no key the chunk table is one row per chunk: a global window is small
+    wk = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
     carry = parts.select(*part_keys, *[_OPS[op](F.col(f"_p_{o}")).over(wk).alias(f"_c_{o}")
                                        for o, (op, _v) in specs.items()])
     # level 3: inside the chunk, plus the carry
