@@ -329,3 +329,175 @@ def q_stock_ledger_final(spark, sf_dir):
     prods = tm.products(spark, sf_dir)
     _r, final = ledger.stock_ledger(prods, tm.stock_events(spark, sf_dir))
     return for_compare(final)
+
+
+# --- checkout ---------------------------------------------------------------
+_LINES_SQL = """,
+l AS (SELECT CAST(sale_id AS BIGINT) AS cart_id,
+             CAST(row_number() OVER (PARTITION BY sale_id ORDER BY id) AS BIGINT) AS line_pos,
+             CAST(product_id AS BIGINT) AS product_id, CAST(quantity_sold AS BIGINT) AS quantity,
+             COALESCE(unit_type, 'pieces') AS unit_type
+      FROM sale_items)
+"""
+
+
+@register("cart_lines", with_ctes(_LINES_SQL + """
+SELECT cart_id, line_pos, product_id, quantity, unit_type, (product_id > 0 AND quantity > 0) AS line_ok FROM l
+""", "sale_items"))
+def q_cart_lines(spark, sf_dir):
+    from ..operators import checkout as co
+    lines, _empty = co.parse_carts(tm.carts(spark, sf_dir))
+    return for_compare(lines.select("cart_id", "line_pos", "product_id", "quantity", "unit_type", "line_ok"))
+
+
+# Oracle: the browser's add-item loop, one line per step within each
+# (cart, product), as a recursive walk.
+@register("cart_preview", with_ctes(_LINES_SQL + f""",
+pp AS (SELECT id, {PPC} AS ppc, {TOTAL} AS stock, unit_price FROM products),
+l2 AS (SELECT l.*, pp.ppc, pp.stock, pp.unit_price,
+              regexp_matches(l.unit_type, 'box|container|sack|bundle') AS cont,
+              CASE WHEN regexp_matches(l.unit_type, 'box|container|sack|bundle') THEN l.quantity * pp.ppc
+                   ELSE l.quantity END AS need,
+              row_number() OVER (PARTITION BY l.cart_id, l.product_id ORDER BY l.line_pos) AS k
+       FROM l JOIN pp ON pp.id = l.product_id),
+walk AS (
+  SELECT cart_id, product_id, k, line_pos, (need <= stock) AS ok,
+         CASE WHEN need <= stock THEN need ELSE 0 END AS used
+  FROM l2 WHERE k = 1
+  UNION ALL
+  SELECT l2.cart_id, l2.product_id, l2.k, l2.line_pos, (w.used + l2.need <= l2.stock),
+         w.used + CASE WHEN w.used + l2.need <= l2.stock THEN l2.need ELSE 0 END
+  FROM walk w JOIN l2 ON l2.cart_id = w.cart_id AND l2.product_id = w.product_id AND l2.k = w.k + 1)
+SELECT l2.cart_id, l2.line_pos, l2.product_id, l2.quantity, l2.unit_type, l2.need AS pieces_needed,
+       CAST(CASE WHEN l2.cont THEN l2.unit_price * l2.ppc ELSE l2.unit_price END AS DOUBLE) AS display_price,
+       w.ok AS accepted, CASE WHEN w.ok THEN NULL ELSE 'Not enough stock.' END AS reason,
+       CAST(CASE WHEN w.ok THEN (CASE WHEN l2.cont THEN l2.unit_price * l2.ppc ELSE l2.unit_price END)
+                 * l2.quantity END AS DOUBLE) AS line_total
+FROM l2 JOIN walk w ON w.cart_id = l2.cart_id AND w.line_pos = l2.line_pos
+""", "products", "sale_items", recursive=True))
+def q_cart_preview(spark, sf_dir):
+    from ..operators import checkout as co
+    return for_compare(co.cart_preview(tm.carts(spark, sf_dir), tm.products(spark, sf_dir)))
+
+
+@register("checkout")
+def q_checkout(spark, sf_dir):
+    """Whole batch of carts against the stock; no SQL oracle (an ordered,
+    all-or-nothing loop over all carts); tested against a sequential model."""
+    from ..operators import checkout as co
+    res = co.checkout(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))
+    return for_compare(res.decisions.select("cart_id", "accepted", "reason", "sale_id", "sale_number",
+                                            "total_amount"))
+
+
+@register("checkout_stock")
+def q_checkout_stock(spark, sf_dir):
+    from ..operators import checkout as co
+    res = co.checkout(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))
+    return for_compare(res.stock.drop("updated_at"))
+
+
+# --- catalog maintenance -----------------------------------------------------
+_REQ_SQL = f""",
+pr AS (SELECT p.id AS _pid, p.product_name, p.model_size, p.unit_price AS _price FROM products p),
+req AS (SELECT si.id AS seq,
+               CASE WHEN si.id % 2 = 0 THEN upper(pr.product_name) ELSE pr.product_name END AS product_name,
+               CAST(si.quantity_sold AS BIGINT) AS container_quantity,
+               CAST(si.id % 4 AS BIGINT) AS pieces_per_container,
+               CASE WHEN si.id % 5 = 0 THEN 'v' || CAST(si.quantity_sold AS VARCHAR) ELSE COALESCE(pr.model_size, '') END
+                 AS model_size,
+               CASE WHEN si.id % 11 = 0 THEN 0 ELSE CAST(pr._price AS DOUBLE) END AS unit_price,
+               COALESCE(si.unit_type, '') AS container_unit
+        FROM sale_items si JOIN pr ON si.product_id = pr._pid),
+rk AS (SELECT *, lower(product_name) AS kname,
+              lower(CASE WHEN model_size IN ('', '0') THEN '' ELSE model_size END) AS kmodel,
+              (product_name IN ('', '0') OR unit_price <= 0) AS invalid FROM req),
+ex AS (SELECT lower(product_name) AS kname, lower(COALESCE(model_size, '')) AS kmodel,
+              arg_min(id, id) AS existing_id, arg_min({TOTAL}, id) AS existing_total
+       FROM products GROUP BY 1, 2),
+chk AS (SELECT rk.*, ex.existing_id, ex.existing_total,
+               CASE WHEN rk.invalid THEN 'invalid' WHEN ex.existing_id IS NOT NULL THEN 'duplicate' ELSE 'new' END
+                 AS status
+        FROM rk LEFT JOIN ex ON ex.kname = rk.kname AND ex.kmodel = rk.kmodel)
+"""
+
+
+@register("new_product_check", with_ctes(_REQ_SQL + """
+SELECT seq, product_name, model_size, status,
+       CASE WHEN invalid THEN 'Product name and unit price are required.' END AS message,
+       CAST(CASE WHEN NOT invalid THEN existing_id END AS BIGINT) AS existing_id,
+       CAST(CASE WHEN NOT invalid THEN existing_total END AS BIGINT) AS existing_total,
+       CASE WHEN NOT invalid AND existing_id IS NOT NULL THEN container_quantity * pieces_per_container END
+         AS adding_pieces
+FROM chk
+""", "products", "sale_items"))
+def q_new_product_check(spark, sf_dir):
+    from ..operators import catalog
+    return for_compare(catalog.new_product_check(tm.products(spark, sf_dir), tm.product_requests(spark, sf_dir)))
+
+
+@register("add_products", with_ctes(_REQ_SQL + """,
+firsts AS (SELECT kname, kmodel, MIN(seq) AS first_seq FROM chk WHERE status = 'new' GROUP BY 1, 2),
+winners AS (SELECT c.* FROM chk c JOIN firsts f ON f.kname = c.kname AND f.kmodel = c.kmodel AND f.first_seq = c.seq)
+SELECT CAST((SELECT MAX(id) FROM products) + row_number() OVER (ORDER BY seq) AS BIGINT) AS id,
+       product_name, container_unit, container_quantity, pieces_per_container, model_size,
+       CAST(CAST(unit_price AS DECIMAL(10,2)) AS DOUBLE) AS unit_price, CAST(0 AS BIGINT) AS loose_pieces
+FROM winners
+""", "products", "sale_items"))
+def q_add_products(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..operators import catalog
+    prods = tm.products(spark, sf_dir)
+    after, _report = catalog.add_products(prods, tm.product_requests(spark, sf_dir))
+    base = prods.agg(F.max("id")).first()[0]
+    return for_compare(after.where(F.col("id") > base).select(
+        "id", "product_name", "container_unit", "container_quantity", "pieces_per_container", "model_size",
+        "unit_price", "loose_pieces"))
+
+
+@register("restock", with_ctes(f""",
+a AS (SELECT product_id, SUM(COALESCE(containers, 0)) AS dc, SUM(COALESCE(loose, 0)) AS dl, COUNT(*) AS requests
+      FROM stock_events WHERE kind = 'add' GROUP BY product_id)
+SELECT CAST(a.product_id AS BIGINT) AS product_id, a.requests,
+       CAST(COALESCE(p.container_quantity, 0) + a.dc AS BIGINT) AS container_quantity,
+       CAST(COALESCE(p.loose_pieces, 0) + a.dl AS BIGINT) AS loose_pieces,
+       CAST((COALESCE(p.container_quantity, 0) + a.dc) * GREATEST(1, COALESCE(p.pieces_per_container, 0))
+            + COALESCE(p.loose_pieces, 0) + a.dl AS BIGINT) AS total_pieces
+FROM a JOIN products p ON p.id = a.product_id
+""", "products", "stock_events"))
+def q_restock(spark, sf_dir):
+    from ..operators import catalog
+    _after, report = catalog.restock(tm.products(spark, sf_dir), tm.stock_requests(spark, sf_dir, "add"))
+    return for_compare(report)
+
+
+@register("set_stock", with_ctes(""",
+s AS (SELECT product_id, arg_max(COALESCE(containers, 0), event_id) AS c, arg_max(COALESCE(loose, 0), event_id) AS l,
+             COUNT(*) AS requests
+      FROM stock_events WHERE kind = 'set' GROUP BY product_id)
+SELECT CAST(product_id AS BIGINT) AS product_id, requests, CAST(c AS BIGINT) AS container_quantity,
+       CAST(l AS BIGINT) AS loose_pieces
+FROM s WHERE product_id IN (SELECT id FROM products)
+""", "products", "stock_events"))
+def q_set_stock(spark, sf_dir):
+    from ..operators import catalog
+    _after, report = catalog.set_stock(tm.products(spark, sf_dir), tm.stock_requests(spark, sf_dir, "set"))
+    return for_compare(report)
+
+
+@register("update_prices", with_ctes(""",
+c AS (SELECT id AS seq, product_id, CASE WHEN quantity_sold % 7 = 0 THEN 0 ELSE CAST(unit_price AS DOUBLE) END AS price
+      FROM sale_items),
+last AS (SELECT product_id, arg_max(price, seq) AS price FROM c WHERE price > 0 GROUP BY product_id)
+SELECT CAST(p.id AS BIGINT) AS id, p.product_name,
+       CAST(COALESCE(CAST(last.price AS DECIMAL(10,2)), p.unit_price) AS DOUBLE) AS unit_price,
+       last.product_id IS NOT NULL AS changed
+FROM products p LEFT JOIN last ON last.product_id = p.id
+""", "products", "sale_items"))
+def q_update_prices(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..operators import catalog
+    prods = tm.products(spark, sf_dir)
+    after, _report = catalog.update_prices(prods, tm.price_requests(spark, sf_dir))
+    return for_compare(after.select("id", "product_name", "unit_price",
+                                    F.col("updated_at").isNotNull().alias("changed")))

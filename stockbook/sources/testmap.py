@@ -123,6 +123,48 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "items", "customer_name", "customer_address", "lpo_number", "staff_name")
 
 
+def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add-product form posts, one per sale line: the line's product again
+    (name upper-cased on even ids, another model on every 5th, price 0 on
+    every 11th), so the batch holds duplicates, new keys and invalid rows."""
+    it = sale_items(spark, sf_dir).select("id", "product_id", "quantity_sold", "unit_type")
+    p = products(spark, sf_dir).select(F.col("id").alias("_pid"), "product_name", "model_size",
+                                       F.col("unit_price").alias("_price"))
+    j = it.join(p, it.product_id == p._pid)
+    i = F.col("id")
+    return j.select(
+        i.alias("seq"),
+        F.when(i % 2 == 0, F.upper("product_name")).otherwise(F.col("product_name")).alias("product_name"),
+        F.col("unit_type").alias("container_unit"),
+        F.col("quantity_sold").cast("string").alias("container_quantity"),
+        (i % 4).cast("string").alias("pieces_per_container"),
+        F.lit("Piece").alias("individual_unit"),
+        F.when(i % 5 == 0, F.concat(F.lit("v"), F.col("quantity_sold").cast("string")))
+         .otherwise(F.col("model_size")).alias("model_size"),
+        F.when(i % 11 == 0, F.lit("0")).otherwise(F.col("_price").cast("string")).alias("unit_price"),
+        F.lit("5").alias("minimum_stock"),
+        F.lit(None).cast("string").alias("supplier_name"),
+        F.lit(None).cast("string").alias("supplier_contact"),
+        F.lit(None).cast("string").alias("description"),
+    )
+
+
+def stock_requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Stock form posts: the ``add`` (restock) or ``set`` (stock update)
+    events as requests in event order."""
+    e = stock_events(spark, sf_dir).where(F.col("kind") == kind)
+    return e.select(F.col("event_id").alias("seq"), "product_id", "containers", "loose")
+
+
+def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price form posts, one per sale line: the line's unit price, '0' on
+    every 7th quantity (refused)."""
+    it = sale_items(spark, sf_dir)
+    return it.select(F.col("id").alias("seq"), "product_id",
+                     F.when(F.col("quantity_sold") % 7 == 0, F.lit("0"))
+                      .otherwise(F.col("unit_price").cast("string")).alias("new_price"))
+
+
 def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "products": products(spark, sf_dir),
