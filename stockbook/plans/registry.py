@@ -501,3 +501,53 @@ def q_update_prices(spark, sf_dir):
     after, _report = catalog.update_prices(prods, tm.price_requests(spark, sf_dir))
     return for_compare(after.select("id", "product_name", "unit_price",
                                     F.col("updated_at").isNotNull().alias("changed")))
+
+
+# --- table quality -----------------------------------------------------------
+@register("conform_schema", with_ctes(f"""
+SELECT CAST(id AS BIGINT) AS id, product_name, container_unit, CAST(container_quantity AS BIGINT) AS container_quantity,
+       CAST(pieces_per_container AS BIGINT) AS pieces_per_container, individual_unit, model_size, description,
+       CAST(unit_price AS DOUBLE) AS unit_price, CAST(minimum_stock AS BIGINT) AS minimum_stock, supplier_name,
+       supplier_contact, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS updated_at,
+       CAST(0 AS BIGINT) AS loose_pieces
+FROM products
+""", "products"))
+def q_conform_schema(spark, sf_dir):
+    """Products as an older schema without loose_pieces, brought to the
+    declared schema (the column is added with its default 0)."""
+    from ..operators.quality import conform_schema
+    from ..sources.schema import PRODUCTS
+    old = tm.products(spark, sf_dir).drop("loose_pieces")
+    return for_compare(conform_schema(old, PRODUCTS))
+
+
+@register("schema_report")
+def q_schema_report(spark, sf_dir):
+    from ..operators.quality import schema_report
+    return for_compare(schema_report(spark, tm.load_all(spark, sf_dir)))
+
+
+def _integrity_sql() -> str:
+    from ..operators.quality import integrity_rules
+    parents = {"sale_id": "sales", "product_id": "products"}
+    parts = []
+    for t, rule, c in integrity_rules():
+        if rule == "not_null":
+            q = f"SELECT COUNT(*) FILTER (WHERE {c} IS NULL) FROM {t}"
+        elif rule.startswith("max_length_"):
+            q = f"SELECT COUNT(*) FILTER (WHERE length({c}) > {rule.rsplit('_', 1)[1]}) FROM {t}"
+        elif rule in ("primary_key", "unique"):
+            q = (f"SELECT COALESCE(SUM(n), 0) FROM (SELECT COUNT(*) AS n FROM {t} WHERE {c} IS NOT NULL "
+                 f"GROUP BY {c} HAVING COUNT(*) > 1)")
+        else:
+            q = f"SELECT COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {parents[c]})"
+        parts.append(f"SELECT '{t}' AS \"table\", '{rule}' AS rule, '{c}' AS \"column\", "
+                     f"CAST(({q}) AS BIGINT) AS violations")
+    return with_ctes("\nUNION ALL\n".join(parts), "products", "sales", "sale_items")
+
+
+@register("integrity_report", _integrity_sql())
+def q_integrity_report(spark, sf_dir):
+    from ..operators.quality import integrity_report
+    t = tm.load_all(spark, sf_dir)
+    return for_compare(integrity_report(t["products"], t["sales"], t["sale_items"]))
