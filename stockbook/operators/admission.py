@@ -25,12 +25,13 @@ shared checkpoint folder so the lineage stays one round deep.
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
-from ..plans.scan import chunk_rows_for, running_agg
+from ..plans.scan import chunk_rows_for, running_agg, scan_plan
 
 log = logging.getLogger(__name__)
 
@@ -51,32 +52,43 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
     rows = cut_lineage(usage.select(*unit_keys, *res_keys, seq,
                                     F.col(need).alias("_need"), F.col(take).alias("_take"),
                                     F.col(cap).alias("_cap")))
-    n = chunk_rows or chunk_rows_for(rows.count())
-    states = cut_lineage(rows.select(*unit_keys).distinct().withColumn("_st", F.lit(UNDECIDED)))
+    n = chunk_rows if chunk_rows else scan_plan(rows, res_keys)
+    decided: list[DataFrame] = []     # (unit_keys, _st) decided per round, checkpointed
+    undecided: DataFrame | None = None
     rounds = 0
     while True:
         rounds += 1
-        j = rows.join(states, unit_keys, "inner")
+        if undecided is None:
+            # round 1: every unit is undecided, no state to join
+            j = rows.withColumn("_st", F.lit(UNDECIDED))
+        else:
+            # later rounds: only resources that still carry an undecided unit
+            states = reduce(DataFrame.unionByName, decided + [undecided.withColumn("_st", F.lit(UNDECIDED))])
+            active = rows.join(undecided, unit_keys, "left_semi").select(*res_keys).distinct()
+            j = rows.join(active, res_keys, "left_semi").join(states, unit_keys, "inner")
         j = j.select("*",
                      F.when(F.col("_st") == ADMITTED, F.col("_take")).otherwise(F.lit(0)).alias("_a"),
                      F.when(F.col("_st") != REJECTED, F.col("_take")).otherwise(F.lit(0)).alias("_au"))
         j = running_agg(j, res_keys, seq, {"_lo": ("sum", "_a"), "_hi": ("sum", "_au")}, n, inclusive=False)
-        verdict = j.groupBy(*unit_keys).agg(
-            F.first("_st").alias("_st"),
+        verdict = (j.where(F.col("_st") == UNDECIDED).groupBy(*unit_keys).agg(
             F.max(F.col("_need") > F.col("_cap") - F.col("_lo")).alias("_fail"),
-            F.min(F.col("_need") <= F.col("_cap") - F.col("_hi")).alias("_fit"))
-        new = verdict.select(*unit_keys,
-                             F.when(F.col("_st") != UNDECIDED, F.col("_st"))
-                             .when(F.col("_fail"), F.lit(REJECTED))
-                             .when(F.col("_fit"), F.lit(ADMITTED))
-                             .otherwise(F.lit(UNDECIDED)).alias("_st"))
-        states = cut_lineage(new)
-        left = states.where(F.col("_st") == UNDECIDED).count()
+            F.min(F.col("_need") <= F.col("_cap") - F.col("_hi")).alias("_fit")))
+        v = cut_lineage(verdict.select(*unit_keys,
+                                       F.when(F.col("_fail"), F.lit(REJECTED))
+                                       .when(F.col("_fit"), F.lit(ADMITTED))
+                                       .otherwise(F.lit(UNDECIDED)).alias("_st")))
+        decided.append(v.where(F.col("_st") != UNDECIDED))
+        undecided = v.where(F.col("_st") == UNDECIDED).select(*unit_keys)
+        left = undecided.count()
         log.info("admission round %d: %d undecided", rounds, left)
         if left == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission not decided after {rounds} rounds ({left} undecided)")
+        if rounds % 8 == 0:
+            # keep the union of per-round results shallow
+            decided = [cut_lineage(reduce(DataFrame.unionByName, decided))]
+    states = reduce(DataFrame.unionByName, decided)
     return states.select(*unit_keys, (F.col("_st") == ADMITTED).alias("admitted"),
                          F.lit(rounds).alias("rounds"))
 
@@ -86,7 +98,7 @@ def taken_before(usage: DataFrame, admitted: DataFrame, unit_keys: list[str], re
     """For every row of ``usage``: ``taken`` = the take of admitted units
     strictly earlier on its resource, and ``touched`` = whether any was
     admitted (exact, after ``greedy_admission``)."""
-    n = chunk_rows or chunk_rows_for(usage.count())
+    n = chunk_rows if chunk_rows is not None else scan_plan(usage, res_keys)
     j = usage.join(admitted.select(*unit_keys, "admitted"), unit_keys, "left")
     j = j.withColumn("_a", F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.col(take)).otherwise(F.lit(0)))
     j = j.withColumn("_ac", F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.lit(1)).otherwise(F.lit(0)))

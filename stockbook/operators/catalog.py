@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..plans.scan import chunk_rows_for, running_agg
+from ..plans.scan import running_agg, scan_plan
 
 # Messages of the inventory page.
 REQUIRED = "Product name and unit price are required."
@@ -94,7 +94,7 @@ def add_products(products: DataFrame, candidates: DataFrame, now=None,
     first = fresh.groupBy("_kname", "_kmodel").agg(F.min("seq").alias("_first"))
     fresh = fresh.join(first, ["_kname", "_kmodel"])
     winners = fresh.where(F.col("seq") == F.col("_first")).withColumn("_one", F.lit(1))
-    n = chunk_rows or chunk_rows_for(0)
+    n = chunk_rows if chunk_rows else scan_plan(winners, [])
     winners = running_agg(winners, [], "seq", {"_rank": ("sum", "_one")}, n, inclusive=True)
     base = products.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).first()[0]
     ts = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")

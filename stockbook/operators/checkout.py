@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..plans.lineage import cut_lineage
-from ..plans.scan import chunk_rows_for, order_position, running_agg
+from ..plans.scan import order_position, running_agg, scan_plan
 from ..sources.schema import CART_ITEM
 from .admission import greedy_admission, taken_before
 
@@ -44,23 +44,25 @@ VALID_QUANTITY = "Please enter a valid quantity"
 NOT_ENOUGH = "Not enough stock."
 
 
-def parse_carts(carts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split cart payloads into lines.
+def parse_payloads(carts: DataFrame) -> DataFrame:
+    """One row per posted element, plus one row with NULL ``line_pos`` for a
+    cart whose payload is not a non-empty JSON array or object.
 
-    Returns ``(lines, empty)``: ``lines`` has one row per posted element
-    (cart_id, line_pos from 1, product_id, quantity, unit_type,
-    client_unit_price, raw text fields, line_ok); ``empty`` lists the carts
-    whose payload is not a non-empty array or object.
+    The payload is parsed once: directly as an array of line objects; an
+    object payload through its values; an array holding non-objects (the
+    direct parse gives NULL) element by element, so such elements become
+    all-NULL lines ("Invalid item entry.") like the server reads them. Fields
+    are read after the explode, so no element is parsed twice.
     """
     raw = X.php_trim("items")
-    as_array = F.from_json(raw, T.ArrayType(T.StringType()))
-    as_object = F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.StringType())))
+    per_elem = lambda arr: F.transform(arr, lambda x: F.from_json(x, CART_ITEM))
+    as_object = per_elem(F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.StringType()))))
+    as_array = F.coalesce(F.from_json(raw, T.ArrayType(CART_ITEM)),
+                          per_elem(F.from_json(raw, T.ArrayType(T.StringType()))))
     elems = F.when(raw.startswith("{"), as_object).otherwise(as_array)
-    c = carts.select("cart_id", elems.alias("_el"))
-    empty = c.where(F.coalesce(F.size("_el"), F.lit(-1)) <= 0).select("cart_id", F.lit(NO_ITEMS).alias("reason"))
-    ex = c.where(F.size("_el") > 0).select("cart_id", F.posexplode("_el").alias("_pos", "_txt"))
-    it = F.from_json("_txt", CART_ITEM)
-    lines = ex.select(
+    ex = carts.select("cart_id", F.posexplode_outer(elems).alias("_pos", "_it"))
+    it = F.col("_it")
+    return ex.select(
         "cart_id",
         (F.col("_pos") + 1).cast("int").alias("line_pos"),
         X.php_int(it["product_id"]).alias("product_id"),
@@ -70,9 +72,26 @@ def parse_carts(carts: DataFrame) -> tuple[DataFrame, DataFrame]:
         it["product_id"].alias("product_id_text"),
         it["quantity"].alias("quantity_text"),
     ).withColumn("line_ok", (F.col("product_id") > 0) & (F.col("quantity") > 0))
+
+
+def split_payloads(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, empty carts with their reason) from ``parse_payloads``."""
+    lines = parsed.where(F.col("line_pos").isNotNull())
+    empty = parsed.where(F.col("line_pos").isNull()).select("cart_id", F.lit(NO_ITEMS).alias("reason"))
     return lines, empty
 
 
+def parse_carts(carts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split cart payloads into lines.
+
+    Returns ``(lines, empty)``: ``lines`` has one row per posted element
+    (cart_id, line_pos from 1, product_id, quantity, unit_type,
+    client_unit_price, raw text fields, line_ok); ``empty`` lists the carts
+    whose payload is not a non-empty array or object.
+    """
+    return split_payloads(parse_payloads(carts))
+
+
 def _product_side(products: DataFrame) -> DataFrame:
     return products.select(F.col("id").cast("bigint").alias("_pid"), "product_name", "unit_price",
                            X.eff_ppc().alias("ppc"), X.total_pieces().alias("stock"))
@@ -113,6 +132,7 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
         F.when(cont, F.col("unit_price") * F.col("ppc").cast("decimal(20,0)"))
          .otherwise(F.col("unit_price")).alias("display_price"),
     )
+    l = cut_lineage(l)
     usage = l.where(F.col("_static").isNull()).select(
         "cart_id", "line_pos", "product_id", F.col("line_pos").cast("bigint").alias("seq"),
         F.col("pieces_needed").alias("need"), F.col("pieces_needed").alias("take"), F.col("stock").alias("cap"))
@@ -164,7 +184,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     numbering. Returns a :class:`CheckoutResult`; nothing is written.
     """
     order = order_position(carts, ["ts", "cart_id"], "seq")
-    lines, empty = parse_carts(order)
+    lines, empty = split_payloads(cut_lineage(parse_payloads(order)))
     p = _product_side(products)
     l = lines.join(p, F.col("product_id") == p["_pid"], "left")
     cont = X.is_container_unit("unit_type")
@@ -182,11 +202,10 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
                     F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
     usage = per_res.join(blocked, "cart_id", "left_anti")
-    n = chunk_rows or chunk_rows_for(l.count())
-    adm = greedy_admission(usage, ["cart_id"], ["product_id"], "seq", chunk_rows=n)
+    adm = greedy_admission(usage, ["cart_id"], ["product_id"], "seq", chunk_rows=chunk_rows)
 
     # exact stock at each cart's start (also for rejected carts, for the message)
-    avail = taken_before(per_res, adm, ["cart_id"], ["product_id"], "seq", chunk_rows=n)
+    avail = taken_before(per_res, adm, ["cart_id"], ["product_id"], "seq", chunk_rows=chunk_rows)
     avail = avail.select("cart_id", "product_id",
                          F.when(F.col("touched"), F.greatest(F.lit(0), F.col("cap") - F.col("taken")))
                           .otherwise(F.col("cap")).alias("available"))
@@ -209,8 +228,9 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                   F.sum("total_price").cast("decimal(10,2)").alias("total_amount"),
                   F.count(F.lit(1)).alias("_nlines"))
              .withColumn("_one", F.lit(1)))
+    heads = cut_lineage(heads)
     heads = running_agg(heads, [], "seq", {"_before": ("sum", "_one"), "_lines_before": ("sum", "_nlines")},
-                        n, inclusive=False)
+                        chunk_rows if chunk_rows else scan_plan(heads, []), inclusive=False)
     heads = heads.withColumn("_day", F.to_date("ts"))
     day_first = heads.groupBy("_day").agg(F.min("_before").alias("_day_first"))
     base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..plans.lineage import cut_lineage
-from ..plans.scan import chunk_rows_for, order_position, running_agg
+from ..plans.scan import order_position, running_agg, scan_plan
 
 SALE, ADD, SET = "sale", "add", "set"
 
@@ -44,7 +44,7 @@ def replay(products: DataFrame, events: DataFrame, chunk_rows: int | None = None
     ev = (events.select("event_id", "ts", "product_id", "kind", "pieces", "containers", "loose")
           .join(p.select("product_id", "ppc"), "product_id", "inner"))
     ev = order_position(ev, ["ts", "event_id"], "seq")
-    n = chunk_rows or chunk_rows_for(ev.count())
+    n = chunk_rows if chunk_rows else scan_plan(ev, ["product_id"])
 
     c, l, ppc = _zero("containers"), _zero("loose"), F.col("ppc")
     ev = ev.select(

@@ -63,20 +63,24 @@ def _rule(table: str, rule: str, column: str, n) -> DataFrame:
                     F.col("violations").cast("bigint").alias("violations"))
 
 
-def _column_rules(df: DataFrame, tdef: TableDef) -> list[DataFrame]:
-    """NOT NULL and length limits of one table in a single aggregate."""
+def _column_rules(df: DataFrame, tdef: TableDef) -> DataFrame:
+    """NOT NULL and length limits of one table: one aggregate pass, then the
+    one-row result is unpivoted to one row per rule."""
     aggs, keys = [], []
     for c in tdef.columns:
         if not c.nullable and c.name != tdef.primary_key:
-            aggs.append(F.count_if(F.col(c.name).isNull()).alias(f"nn_{c.name}"))
-            keys.append(("not_null", c.name, f"nn_{c.name}"))
+            keys.append(("not_null", c.name))
+            aggs.append(F.count_if(F.col(c.name).isNull()))
         if c.max_length:
-            aggs.append(F.count_if(F.length(c.name) > c.max_length).alias(f"len_{c.name}"))
-            keys.append((f"max_length_{c.max_length}", c.name, f"len_{c.name}"))
-    aggs.append(F.count_if(F.col(tdef.primary_key).isNull()).alias("nn_pk"))
-    keys.append(("not_null", tdef.primary_key, "nn_pk"))
-    row = df.agg(*aggs)
-    return [_rule(tdef.name, r, c, row.select(F.col(k).alias("violations"))) for r, c, k in keys]
+            keys.append((f"max_length_{c.max_length}", c.name))
+            aggs.append(F.count_if(F.length(c.name) > c.max_length))
+    keys.append(("not_null", tdef.primary_key))
+    aggs.append(F.count_if(F.col(tdef.primary_key).isNull()))
+    row = df.agg(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"),
+                                    a.cast("bigint").alias("violations"))
+                           for (r, c), a in zip(keys, aggs)]).alias("_r"))
+    return row.select(F.explode("_r").alias("_r")).select(
+        F.lit(tdef.name).alias("table"), "_r.rule", "_r.column", "_r.violations")
 
 
 def _duplicates(df: DataFrame, table: str, column: str, rule: str) -> DataFrame:
@@ -97,7 +101,7 @@ def integrity_report(products: DataFrame, sales: DataFrame, sale_items: DataFram
     """Violations per (table, rule, column); 0 rows violating is reported too."""
     parts = []
     for df, tdef in ((products, PRODUCTS), (sales, SALES), (sale_items, SALE_ITEMS)):
-        parts += _column_rules(df, tdef)
+        parts.append(_column_rules(df, tdef))
         parts.append(_duplicates(df, tdef.name, tdef.primary_key, "primary_key"))
     parts.append(_duplicates(sales, "sales", "sale_number", "unique"))
     parts.append(_orphans(sale_items, "sale_id", sales, "id", "sale_items"))

@@ -75,15 +75,42 @@ def _combine(op: str, carry, inner):
     return F.greatest(carry, inner)
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the most frequent key (the whole count when ``keys`` is empty);
+    a hash aggregate with map-side combine, then one number to the driver."""
+    if not keys:
+        return df.count()
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(g or 0)
+
+
+def scan_plan(df: DataFrame, keys: list[str], chunk_rows: int | None = None) -> int:
+    """Chunk size for ``running_agg`` on ``df`` by ``keys``: 0 (one level,
+    a plain window) when no key holds more than a chunk, else the chunk."""
+    n = chunk_rows or chunk_rows_for(df.count())
+    return 0 if largest_group(df, keys) <= n else n
+
+
 def running_agg(df: DataFrame, keys: list[str], seq: str, specs: dict[str, tuple[str, str]],
                 chunk_rows: int, inclusive: bool = True) -> DataFrame:
-    """Add running aggregates per ``keys`` in ``seq`` order, two-level.
+    """Add running aggregates per ``keys`` in ``seq`` order.
 
     ``specs`` maps an output column to ``(op, value_column)``, op in
     sum | min | max. With ``inclusive=False`` a row sees only strictly earlier
     rows (by ``seq``; rows of one key must have distinct ``seq``). Sums over
     no rows are 0; min / max over no rows are NULL.
+
+    ``chunk_rows`` > 0 scans in two levels (chunks of that many positions);
+    0 uses one plain window per key, for inputs where ``scan_plan`` found no
+    key larger than a chunk.
     """
+    frame = (Window.unboundedPreceding, 0 if inclusive else -1)
+    if not chunk_rows:
+        w = (Window.partitionBy(*keys) if keys else Window).orderBy(seq).rowsBetween(*frame)
+        d = df
+        for o, (op, v) in specs.items():
+            d = d.withColumn(o, _combine(op, F.lit(None), _OPS[op](F.col(v)).over(w)))
+        return d
     chunk = F.floor(F.col(seq) / F.lit(chunk_rows)).cast("bigint")
     d = df.withColumn("_chunk", chunk)
     part_keys = keys + ["_chunk"]
