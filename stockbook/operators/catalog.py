@@ -141,10 +141,21 @@ def _keyed_update(products: DataFrame, changes: DataFrame, columns: dict[str, st
     return j.select(*out)
 
 
-def restock(products: DataFrame, additions: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
+def quick_add_guard(additions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The quick-add form refuses a request adding nothing (0 containers and
+    0 loose pieces). Returns (requests to send, refused requests)."""
+    nothing = (X.php_int("containers") == 0) & (X.php_int("loose") == 0)
+    return additions.where(~nothing), additions.where(nothing)
+
+
+def restock(products: DataFrame, additions: DataFrame, now=None,
+            quick_add: bool = False) -> tuple[DataFrame, DataFrame]:
     """Add containers and loose pieces to existing products (not
-    normalised); unknown ids are ignored. Returns (products_after, report
-    with the new total pieces per product)."""
+    normalised); unknown ids are ignored. With ``quick_add`` the requests
+    adding nothing are dropped first, as that form does. Returns
+    (products_after, report with the new total pieces per product)."""
+    if quick_add:
+        additions, _refused = quick_add_guard(additions)
     a = additions.select(X.php_int("product_id").alias("product_id"),
                          X.php_int("containers").alias("c"), X.php_int("loose").alias("l"))
     sums = a.groupBy("product_id").agg(F.sum("c").alias("_dc"), F.sum("l").alias("_dl"), F.count(F.lit(1)).alias("requests"))

@@ -551,3 +551,76 @@ def q_integrity_report(spark, sf_dir):
     from ..operators.quality import integrity_report
     t = tm.load_all(spark, sf_dir)
     return for_compare(integrity_report(t["products"], t["sales"], t["sale_items"]))
+
+
+# --- helpers, cascade delete, preview totals ---------------------------------
+@register("stock_helpers", with_ctes("""
+SELECT CAST(id AS BIGINT) AS id,
+       CAST(container_quantity AS BIGINT) * pieces_per_container AS calc_total_pieces,
+       CASE WHEN pieces_per_container = 1
+              THEN CAST(COALESCE(container_quantity, 0) AS VARCHAR) || ' ' ||
+                   CASE WHEN COALESCE(container_quantity, 0) = 1 THEN 'piece' ELSE 'pieces' END
+            WHEN pieces_per_container IS NULL OR pieces_per_container = 0 THEN NULL
+            ELSE CAST(COALESCE(container_quantity, 0) AS VARCHAR) || ' ' ||
+                 CASE WHEN COALESCE(container_quantity, 0) = 1 THEN 'container' ELSE 'containers' END
+       END AS stock_display
+FROM products
+""", "products"))
+def q_stock_helpers(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..functions import exprs as X
+    p = tm.products(spark, sf_dir)
+    return for_compare(p.select(F.col("id"), X.calc_total_pieces().alias("calc_total_pieces"),
+                                X.format_stock_display().alias("stock_display")))
+
+
+@register("delete_cascade", with_ctes(f"""
+SELECT (SELECT COUNT(*) FROM products WHERE product_name NOT ILIKE '%{PRODUCT_TERM}%') AS products_left,
+       (SELECT COUNT(*) FROM sales WHERE CAST(sale_date AS DATE) NOT BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}')
+         AS sales_left,
+       (SELECT COUNT(*) FROM sale_items si
+         WHERE si.product_id IN (SELECT id FROM products WHERE product_name NOT ILIKE '%{PRODUCT_TERM}%')
+           AND si.sale_id IN (SELECT id FROM sales
+                              WHERE CAST(sale_date AS DATE) NOT BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'))
+         AS items_left
+""", "products", "sales", "sale_items"))
+def q_delete_cascade(spark, sf_dir):
+    """Delete the products matching the product term and the sales of the
+    date range; their sale lines go with them (ON DELETE CASCADE)."""
+    from pyspark.sql import functions as F
+    from ..functions import exprs as X
+    from ..sources.tables import delete_cascade
+    t = _t(spark, sf_dir)
+    gone_p = t["products"].where(X.contains_ci("product_name", PRODUCT_TERM)).select("id")
+    gone_s = t["sales"].where(X.date_between("sale_date", DATE_FROM, DATE_TO)).select("id")
+    p, s, i = delete_cascade(t["products"], t["sales"], t["sale_items"], gone_p, gone_s)
+    cnt = [df.agg(F.count(F.lit(1)).alias(n)).withColumn("_k", F.lit(1))
+           for df, n in ((p, "products_left"), (s, "sales_left"), (i, "items_left"))]
+    return for_compare(cnt[0].join(cnt[1], "_k").join(cnt[2], "_k").drop("_k"))
+
+
+@register("cart_preview_totals", with_ctes(_LINES_SQL + f""",
+pp AS (SELECT id, {PPC} AS ppc, {TOTAL} AS stock, unit_price FROM products),
+l2 AS (SELECT l.*, pp.ppc, pp.stock, pp.unit_price,
+              regexp_matches(l.unit_type, 'box|container|sack|bundle') AS cont,
+              CASE WHEN regexp_matches(l.unit_type, 'box|container|sack|bundle') THEN l.quantity * pp.ppc
+                   ELSE l.quantity END AS need,
+              row_number() OVER (PARTITION BY l.cart_id, l.product_id ORDER BY l.line_pos) AS k
+       FROM l JOIN pp ON pp.id = l.product_id),
+walk AS (
+  SELECT cart_id, product_id, k, line_pos, (need <= stock) AS ok,
+         CASE WHEN need <= stock THEN need ELSE 0 END AS used
+  FROM l2 WHERE k = 1
+  UNION ALL
+  SELECT l2.cart_id, l2.product_id, l2.k, l2.line_pos, (w.used + l2.need <= l2.stock),
+         w.used + CASE WHEN w.used + l2.need <= l2.stock THEN l2.need ELSE 0 END
+  FROM walk w JOIN l2 ON l2.cart_id = w.cart_id AND l2.product_id = w.product_id AND l2.k = w.k + 1)
+SELECT l2.cart_id, COUNT(*) FILTER (WHERE w.ok) AS lines,
+       CAST(COALESCE(SUM(CASE WHEN w.ok THEN (CASE WHEN l2.cont THEN l2.unit_price * l2.ppc ELSE l2.unit_price END)
+                              * l2.quantity END), 0) AS DOUBLE) AS total
+FROM l2 JOIN walk w ON w.cart_id = l2.cart_id AND w.line_pos = l2.line_pos
+GROUP BY l2.cart_id
+""", "products", "sale_items", recursive=True))
+def q_cart_preview_totals(spark, sf_dir):
+    from ..operators import checkout as co
+    return for_compare(co.cart_preview_totals(co.cart_preview(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))))
