@@ -40,7 +40,8 @@ ADMITTED, REJECTED, UNDECIDED = "A", "R", "U"
 
 def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str], seq: str,
                      need: str = "need", take: str = "take", cap: str = "cap",
-                     chunk_rows: int | None = None, max_rounds: int | None = None) -> DataFrame:
+                     chunk_rows: int | None = None, max_rounds: int | None = None,
+                     one_level: bool = False) -> DataFrame:
     """Return ``unit_keys + [admitted, rounds]`` for every unit in ``usage``.
 
     ``usage`` has one row per (unit, resource): the unit's order ``seq``
@@ -48,11 +49,13 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
     must fit), ``take`` (the amount consumed when admitted) and ``cap`` (the
     resource's capacity). ``max_rounds`` is for tests only; when it is hit
     the function raises instead of returning an approximate answer.
+    ``chunk_rows`` / ``one_level`` pass a scan plan the caller already chose
+    (``plans.scan.scan_plan``); by default it is chosen here.
     """
     rows = cut_lineage(usage.select(*unit_keys, *res_keys, seq,
                                     F.col(need).alias("_need"), F.col(take).alias("_take"),
                                     F.col(cap).alias("_cap")))
-    n = chunk_rows if chunk_rows else scan_plan(rows, res_keys)
+    n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(rows, res_keys))
     decided: list[DataFrame] = []     # (unit_keys, _st) decided per round, checkpointed
     undecided: DataFrame | None = None
     rounds = 0

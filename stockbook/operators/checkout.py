@@ -44,7 +44,7 @@ VALID_QUANTITY = "Please enter a valid quantity"
 NOT_ENOUGH = "Not enough stock."
 
 
-def parse_payloads(carts: DataFrame) -> DataFrame:
+def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per posted element, plus one row with NULL ``line_pos`` for a
     cart whose payload is not a non-empty JSON array or object.
 
@@ -60,10 +60,10 @@ def parse_payloads(carts: DataFrame) -> DataFrame:
     as_array = F.coalesce(F.from_json(raw, T.ArrayType(CART_ITEM)),
                           per_elem(F.from_json(raw, T.ArrayType(T.StringType()))))
     elems = F.when(raw.startswith("{"), as_object).otherwise(as_array)
-    ex = carts.select("cart_id", F.posexplode_outer(elems).alias("_pos", "_it"))
+    ex = carts.select("cart_id", *keep, F.posexplode_outer(elems).alias("_pos", "_it"))
     it = F.col("_it")
     return ex.select(
-        "cart_id",
+        "cart_id", *keep,
         (F.col("_pos") + 1).cast("int").alias("line_pos"),
         X.php_int(it["product_id"]).alias("product_id"),
         X.php_int(it["quantity"]).alias("quantity"),
@@ -184,17 +184,18 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     numbering. Returns a :class:`CheckoutResult`; nothing is written.
     """
     order = order_position(carts, ["ts", "cart_id"], "seq")
-    lines, empty = split_payloads(cut_lineage(parse_payloads(order)))
+    parsed = parse_payloads(order, keep=("seq", "ts"))
     p = _product_side(products)
-    l = lines.join(p, F.col("product_id") == p["_pid"], "left")
+    l = parsed.join(p, F.col("product_id") == p["_pid"], "left")
     cont = X.is_container_unit("unit_type")
-    l = l.select(
-        "cart_id", "line_pos", "product_id", "quantity", "unit_type", "product_name", "unit_price", "ppc", "stock",
+    l = cut_lineage(l.select(
+        "cart_id", "seq", "ts", "line_pos", "product_id", "quantity", "unit_type", "product_name", "unit_price",
+        "ppc", "stock",
         F.when(~F.col("line_ok"), F.lit(INVALID_ITEM))
          .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)).alias("_static"),
         F.when(cont, F.col("quantity") * F.col("ppc")).otherwise(F.col("quantity")).alias("pieces"),
-    )
-    l = cut_lineage(l.join(order.select("cart_id", "seq", "ts"), "cart_id"))
+    ))
+    l, empty = split_payloads(l)
     blocked = l.where(F.col("_static").isNotNull()).select("cart_id").distinct()
 
     per_res = (l.where(F.col("_static").isNull())
@@ -202,10 +203,13 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
                     F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
     usage = per_res.join(blocked, "cart_id", "left_anti")
-    adm = greedy_admission(usage, ["cart_id"], ["product_id"], "seq", chunk_rows=chunk_rows)
+    # one skew check for both scans over products (per_res holds usage's rows)
+    n = chunk_rows if chunk_rows else scan_plan(per_res, ["product_id"])
+    adm = greedy_admission(usage, ["cart_id"], ["product_id"], "seq", chunk_rows=n or None,
+                           one_level=not n)
 
     # exact stock at each cart's start (also for rejected carts, for the message)
-    avail = taken_before(per_res, adm, ["cart_id"], ["product_id"], "seq", chunk_rows=chunk_rows)
+    avail = taken_before(per_res, adm, ["cart_id"], ["product_id"], "seq", chunk_rows=n)
     avail = avail.select("cart_id", "product_id",
                          F.when(F.col("touched"), F.greatest(F.lit(0), F.col("cap") - F.col("taken")))
                           .otherwise(F.col("cap")).alias("available"))

@@ -27,8 +27,6 @@ from .lineage import cut_lineage
 
 # Rows per chunk never go below this, so small inputs scan in one level.
 MIN_CHUNK_ROWS = 1 << 16
-# monotonically_increasing_id keeps the partition index in the upper 31 bits.
-_PARTITION_SHIFT = 33
 
 
 def chunk_rows_for(n_rows: int) -> int:
@@ -50,20 +48,6 @@ def order_position(df: DataFrame, order_cols: list, name: str = "seq",
     return cut_lineage(out) if materialize else out
 
 
-def dense_position(df: DataFrame, seq: str = "seq", name: str = "pos") -> DataFrame:
-    """Turn a position from ``order_position`` into 0..n-1 without gaps.
-
-    Only a per-partition row count travels: one row per sorted partition,
-    broadcast (its size is bounded by the number of partitions)."""
-    part = F.shiftright(F.col(seq), _PARTITION_SHIFT)
-    counts = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_base"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (df.join(F.broadcast(offsets.select("_part", "_base", "_off")), part == F.col("_part"))
-            .withColumn(name, F.col("_off") + F.col(seq) - F.col("_base"))
-            .drop("_part", "_base", "_off"))
-
-
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -75,20 +59,23 @@ def _combine(op: str, carry, inner):
     return F.greatest(carry, inner)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key (the whole count when ``keys`` is empty);
-    a hash aggregate with map-side combine, then one number to the driver."""
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows, rows of the most frequent key) in one aggregate job; the whole
+    count is both when ``keys`` is empty."""
     if not keys:
-        return df.count()
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(g or 0)
+        n = df.count()
+        return n, n
+    r = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+         .agg(F.sum("_n").alias("rows"), F.max("_n").alias("top")).first())
+    return int(r["rows"] or 0), int(r["top"] or 0)
 
 
 def scan_plan(df: DataFrame, keys: list[str], chunk_rows: int | None = None) -> int:
     """Chunk size for ``running_agg`` on ``df`` by ``keys``: 0 (one level,
     a plain window) when no key holds more than a chunk, else the chunk."""
-    n = chunk_rows or chunk_rows_for(df.count())
-    return 0 if largest_group(df, keys) <= n else n
+    rows, top = group_sizes(df, keys)
+    n = chunk_rows or chunk_rows_for(rows)
+    return 0 if top <= n else n
 
 
 def running_agg(df: DataFrame, keys: list[str], seq: str, specs: dict[str, tuple[str, str]],
