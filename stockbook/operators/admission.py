@@ -56,6 +56,8 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
                                     F.col(need).alias("_need"), F.col(take).alias("_take"),
                                     F.col(cap).alias("_cap")))
     n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(rows, res_keys))
+    if rows.isEmpty():
+        return rows.select(*unit_keys, F.lit(False).alias("admitted"), F.lit(0).alias("rounds"))
     decided: list[DataFrame] = []     # (unit_keys, _st) decided per round, checkpointed
     undecided: DataFrame | None = None
     rounds = 0

@@ -132,14 +132,20 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
         F.when(cont, F.col("unit_price") * F.col("ppc").cast("decimal(20,0)"))
          .otherwise(F.col("unit_price")).alias("display_price"),
     )
-    l = cut_lineage(l)
-    usage = l.where(F.col("_static").isNull()).select(
+    # a line alone on its (cart, product) has nothing earlier to compete with:
+    # it fits iff its pieces fit the stock; only shared groups need the fixed point
+    sizes = (l.where(F.col("_static").isNull()).groupBy("cart_id", "product_id")
+             .agg(F.count(F.lit(1)).alias("_group_lines")))
+    l = cut_lineage(l.join(sizes, ["cart_id", "product_id"], "left"))
+    usage = l.where(F.col("_static").isNull() & (F.col("_group_lines") > 1)).select(
         "cart_id", "line_pos", "product_id", F.col("line_pos").cast("bigint").alias("seq"),
         F.col("pieces_needed").alias("need"), F.col("pieces_needed").alias("take"), F.col("stock").alias("cap"))
     adm = greedy_admission(usage, ["cart_id", "line_pos"], ["cart_id", "product_id"], "seq",
                            chunk_rows=chunk_rows)
     out = l.join(adm, ["cart_id", "line_pos"], "left")
-    ok = F.coalesce(F.col("admitted"), F.lit(False))
+    alone_fits = (F.col("_group_lines") == 1) & (F.col("pieces_needed") <= F.col("stock"))
+    ok = F.coalesce(F.col("admitted"), F.lit(False)) | F.coalesce(alone_fits, F.lit(False))
+    ok = F.col("_static").isNull() & ok
     return out.select(
         "cart_id", "line_pos", "product_id", "quantity", "unit_type", "pieces_needed", "display_price",
         ok.alias("accepted"),
