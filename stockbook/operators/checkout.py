@@ -171,6 +171,8 @@ class CheckoutResult:
     sale_items: DataFrame  # new sale lines
     stock: DataFrame       # product_id, container_quantity, loose_pieces, updated_at (changed products)
     products: DataFrame    # the products table after checkout
+    last_sale_id: int = 0  # largest sale id after this batch
+    last_item_id: int = 0  # largest sale item id after this batch
 
 
 def _max_id(df: DataFrame | None, c: str) -> int:
@@ -182,12 +184,17 @@ def _max_id(df: DataFrame | None, c: str) -> int:
 
 
 def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = None,
-             sale_items: DataFrame | None = None, chunk_rows: int | None = None) -> CheckoutResult:
+             sale_items: DataFrame | None = None, chunk_rows: int | None = None,
+             id_base: tuple[int, int] | None = None) -> CheckoutResult:
     """Sell a batch of carts in (ts, cart_id) order against ``products``.
 
     ``sales`` / ``sale_items``, when given, are the existing tables: new ids
     continue after their largest id and sale numbers continue each day's
-    numbering. Returns a :class:`CheckoutResult`; nothing is written.
+    numbering (only the existing sales of the batch's days are read, a
+    pushed range on ``sale_date``). ``id_base`` = (largest sale id, largest
+    item id) when the caller knows them (the table store keeps them), which
+    saves scanning the id columns. Returns a :class:`CheckoutResult`;
+    nothing is written.
     """
     order = order_position(carts, ["ts", "cart_id"], "seq")
     parsed = parse_payloads(order, keep=("seq", "ts"))
@@ -243,9 +250,16 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                         chunk_rows if chunk_rows else scan_plan(heads, []), inclusive=False)
     heads = heads.withColumn("_day", F.to_date("ts"))
     day_first = heads.groupBy("_day").agg(F.min("_before").alias("_day_first"))
-    base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")
-    if sales is not None:
-        nums = (sales.where((F.length("sale_number") == 20) & F.col("sale_number").startswith(X.SALE_PREFIX))
+    if id_base is None:
+        base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")
+    else:
+        base_sale, base_item = int(id_base[0]), int(id_base[1])
+    counts = heads.agg(F.count(F.lit(1)).alias("n"), F.sum("_nlines").alias("lines"),
+                       F.min("_day").alias("lo"), F.max("_day").alias("hi")).first()
+    if sales is not None and counts["n"]:
+        days = sales.where((F.col("sale_date") >= F.lit(counts["lo"]).cast("timestamp_ntz"))
+                           & (F.col("sale_date") < F.date_add(F.lit(counts["hi"]), 1).cast("timestamp_ntz")))
+        nums = (days.where((F.length("sale_number") == 20) & F.col("sale_number").startswith(X.SALE_PREFIX))
                 .select(F.to_date(F.substring("sale_number", 5, 8), "yyyyMMdd").alias("_day"),
                         F.substring("sale_number", 13, 8).try_cast("bigint").alias("_n"))
                 .groupBy("_day").agg(F.max("_n").alias("_day_used")))
@@ -298,7 +312,8 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         "cart_id", ok.alias("accepted"),
         F.when(~ok, F.coalesce(F.col("reason"), F.col("_r"))).alias("reason"),
         "sale_id", "sale_number", "total_amount", "rounds")
-    return CheckoutResult(decisions, new_sales, new_items, stock, new_products)
+    return CheckoutResult(decisions, new_sales, new_items, stock, new_products,
+                          base_sale + int(counts["n"] or 0), base_item + int(counts["lines"] or 0))
 
 
 def apply_stock(products: DataFrame, stock: DataFrame) -> DataFrame:

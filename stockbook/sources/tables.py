@@ -16,6 +16,8 @@ sale month inside a batch, so date filters prune files.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +59,23 @@ class TableStore:
         fs, p = self._fs(f"{self.root}/_commits/{int(batch)}")
         return fs.exists(p)
 
-    def _commit(self, batch: int) -> None:
+    def _commit(self, batch: int, meta: dict | None = None) -> None:
         fs, p = self._fs(f"{self.root}/_commits/{int(batch)}")
-        fs.create(p, True).close()
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(meta or {}).encode()))
+        out.close()
+
+    def meta(self, batch: int | None = None) -> dict:
+        """The small record kept with a published batch (default: the latest)."""
+        done = self.committed()
+        if not done:
+            return {}
+        b = done[-1] if batch is None else int(batch)
+        line = self.spark.read.text(f"{self.root}/_commits/{b}").first()
+        return json.loads(line[0]) if line and line[0] else {}
 
     # -- reads --
-    def _read(self, name: str, tdef: TableDef) -> DataFrame | None:
+    def _read(self, name: str, tdef: TableDef) -> tuple[DataFrame, list[int]] | None:
         done = self.committed()
         if not done:
             return None
@@ -77,7 +90,12 @@ class TableStore:
         if r is None:
             return None
         df, done = r
-        latest = df.where(F.col("batch").isin(done)).agg(F.max("batch")).first()[0]
+        # newest committed batch that wrote a snapshot (a folder listing, no scan)
+        latest = next((b for b in reversed(done)
+                       if self._fs(f"{self.root}/products/batch={b}")[0].exists(
+                           self._fs(f"{self.root}/products/batch={b}")[1])), None)
+        if latest is None:
+            return None
         return df.where(F.col("batch") == F.lit(latest)).select(*PRODUCTS.names)
 
     def appended(self, name: str) -> DataFrame | None:
@@ -90,7 +108,7 @@ class TableStore:
 
     # -- writes --
     def publish(self, batch: int, products: DataFrame | None = None,
-                appends: dict[str, DataFrame] | None = None) -> bool:
+                appends: dict[str, DataFrame] | None = None, meta: dict | None = None) -> bool:
         """Write one batch and publish it; False when it was already
         published (a replay). Folders of an unpublished attempt are
         overwritten by the retry."""
@@ -107,7 +125,7 @@ class TableStore:
         if products is not None:
             (products.withColumn("batch", F.lit(int(batch))).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/products"))
-        self._commit(batch)
+        self._commit(batch, meta)
         return True
 
 

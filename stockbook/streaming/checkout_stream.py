@@ -13,6 +13,7 @@ ordered by (ts, cart_id); across micro-batches by arrival.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.checkout import checkout
 from ..sources.schema import CARTS
@@ -22,12 +23,14 @@ from ..sources.tables import TableStore
 def seed_store(store: TableStore, products: DataFrame, sales: DataFrame | None = None,
                sale_items: DataFrame | None = None) -> None:
     """Publish the starting tables as batch 0."""
-    appends = {}
+    appends, meta = {}, {"last_sale_id": 0, "last_item_id": 0}
     if sales is not None:
         appends["sales"] = sales
+        meta["last_sale_id"] = int(sales.agg(F.max("id")).first()[0] or 0)
     if sale_items is not None:
         appends["sale_items"] = sale_items
-    store.publish(0, products=products, appends=appends)
+        meta["last_item_id"] = int(sale_items.agg(F.max("id")).first()[0] or 0)
+    store.publish(0, products=products, appends=appends, meta=meta)
 
 
 def process_batch(store: TableStore, carts: DataFrame, batch_id: int) -> bool:
@@ -35,9 +38,12 @@ def process_batch(store: TableStore, carts: DataFrame, batch_id: int) -> bool:
     batch = int(batch_id) + 1          # batch 0 holds the seed tables
     if store.is_committed(batch) or carts.isEmpty():
         return False
-    res = checkout(carts, store.products(), store.appended("sales"), store.appended("sale_items"))
+    last = store.meta()
+    res = checkout(carts, store.products(), store.appended("sales"), store.appended("sale_items"),
+                   id_base=(last.get("last_sale_id", 0), last.get("last_item_id", 0)))
     return store.publish(batch, products=res.products,
-                         appends={"sales": res.sales, "sale_items": res.sale_items})
+                         appends={"sales": res.sales, "sale_items": res.sale_items},
+                         meta={"last_sale_id": res.last_sale_id, "last_item_id": res.last_item_id})
 
 
 def start(spark: SparkSession, carts_dir: str, store_root: str, checkpoint_location: str,
