@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sales import item_counts_for
+from .sales import in_days, item_counts_for
 
 
 def _clean_term(q) -> str | None:
@@ -48,8 +48,7 @@ def receipts_by_number(sales: DataFrame, items: DataFrame, q) -> DataFrame:
 def receipts_by_date(sales: DataFrame, items: DataFrame, day) -> DataFrame:
     """Sales made on ``day``; a term that is not a date finds nothing."""
     t = _clean_term(day)
-    sel = _none(sales) if t is None else sales.where(
-        X.sale_day("sale_date") == F.lit(t).try_cast("date"))
+    sel = _none(sales) if t is None else in_days(sales, t, t)
     return _newest_first(_listing(sel, items))
 
 

@@ -35,6 +35,19 @@ def default_range(as_of=None) -> tuple[str, str]:
     return day.replace(day=1).isoformat(), day.isoformat()
 
 
+def in_days(sales: DataFrame, date_from, date_to) -> DataFrame:
+    """Sales whose day lies in [date_from, date_to]. When the table carries
+    the ``sale_month`` partition column (as the table store writes it), the
+    matching month range is added, so whole month folders are pruned before
+    the pushed ``sale_date`` range filters row groups."""
+    cond = X.date_between("sale_date", date_from, date_to)
+    if "sale_month" in sales.columns:
+        lo = F.date_format(F.lit(str(date_from)).try_cast("date"), "yyyy-MM")
+        hi = F.date_format(F.lit(str(date_to)).try_cast("date"), "yyyy-MM")
+        cond = cond & F.col("sale_month").between(lo, hi)
+    return sales.where(cond)
+
+
 def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False) -> DataFrame:
     """COUNT(items.id) per sale of ``sel`` (0 when it has none).
 
@@ -61,7 +74,7 @@ def sales_history(sales: DataFrame, items: DataFrame, date_from=None, date_to=No
         d_from, d_to = default_range()
         date_from = date_from or d_from
         date_to = date_to or d_to
-    in_range = sales.where(X.date_between("sale_date", date_from, date_to))
+    in_range = in_days(sales, date_from, date_to)
     top = in_range.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(limit)
     out = item_counts_for(top, items, bounded=True)
     return (out.withColumn("formatted_date", X.fmt_sale_date("sale_date"))
@@ -78,7 +91,7 @@ def sales_analytics(sales: DataFrame, date_from=None, date_to=None) -> DataFrame
         date_to = date_to or d_to
     amt = F.col("total_amount")
     zero = F.lit(0)
-    return (sales.where(X.date_between("sale_date", date_from, date_to))
+    return (in_days(sales, date_from, date_to)
             .agg(F.count(F.lit(1)).alias("total_sales"),
                  F.coalesce(F.sum(amt), zero.cast("decimal(20,2)")).alias("total_revenue"),
                  F.coalesce(F.avg(amt), zero.cast("decimal(14,6)")).alias("average_sale"),
@@ -90,10 +103,10 @@ def dashboard_kpis(products: DataFrame, sales: DataFrame, as_of=None) -> DataFra
     """Product count, sales and revenue of the day ``as_of`` (default
     today), and the dashboard's low-stock count (containers * ppc <= minimum,
     loose pieces ignored)."""
-    day = F.lit(_as_date_text(as_of)).try_cast("date")
+    day_text = _as_date_text(as_of)
     p = products.agg(F.count(F.lit(1)).alias("total_products"),
                      F.count_if(X.dashboard_low_stock()).alias("low_stock"))
-    today = sales.where(X.sale_day("sale_date") == day)
+    today = in_days(sales, day_text, day_text)
     s = today.agg(F.count(F.lit(1)).alias("today_sales"),
                   F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(20,2)")).alias("today_revenue"))
     # both sides are one-row aggregates; joined on a constant key
