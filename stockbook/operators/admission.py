@@ -11,7 +11,11 @@ fixed point of set operations:
   take of admitted units (lower bound of what is taken) and of admitted +
   undecided units (upper bound);
 * a unit whose rows all fit under the upper bound is admitted; a unit with a
-  row that fails under the lower bound is rejected; others stay undecided.
+  row that fails under the lower bound is rejected; others stay undecided;
+* the next round keeps, per resource, only the rows from its first
+  undecided unit on; what admitted units before that point took is final
+  and carried as one number per resource (``_base``). Rounds therefore
+  shrink to the contended tails instead of rescanning every row.
 
 All earlier units of the earliest undecided unit are decided, so its bounds
 are equal and it decides; every round therefore decides at least one unit
@@ -52,44 +56,49 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
     ``chunk_rows`` / ``one_level`` pass a scan plan the caller already chose
     (``plans.scan.scan_plan``); by default it is chosen here.
     """
-    rows = cut_lineage(usage.select(*unit_keys, *res_keys, seq,
-                                    F.col(need).alias("_need"), F.col(take).alias("_take"),
-                                    F.col(cap).alias("_cap")))
-    n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(rows, res_keys))
-    if rows.isEmpty():
-        return rows.select(*unit_keys, F.lit(False).alias("admitted"), F.lit(0).alias("rounds"))
-    decided: list[DataFrame] = []     # (unit_keys, _st) decided per round, checkpointed
-    undecided: DataFrame | None = None
+    act = cut_lineage(usage.select(*unit_keys, *res_keys, seq,
+                                   F.col(need).alias("_need"), F.col(take).alias("_take"),
+                                   F.col(cap).alias("_cap"),
+                                   F.lit(UNDECIDED).alias("_st"), F.lit(0).cast("bigint").alias("_base")))
+    if act.isEmpty():
+        return act.select(*unit_keys, F.lit(False).alias("admitted"), F.lit(0).alias("rounds")).distinct()
+    n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(act, res_keys))
+    decided: list[DataFrame] = []     # (unit_keys, _st) decided per round
     rounds = 0
     while True:
         rounds += 1
-        if undecided is None:
-            # round 1: every unit is undecided, no state to join
-            j = rows.withColumn("_st", F.lit(UNDECIDED))
-        else:
-            # later rounds: only resources that still carry an undecided unit
-            states = reduce(DataFrame.unionByName, decided + [undecided.withColumn("_st", F.lit(UNDECIDED))])
-            active = rows.join(undecided, unit_keys, "left_semi").select(*res_keys).distinct()
-            j = rows.join(active, res_keys, "left_semi").join(states, unit_keys, "inner")
-        j = j.select("*",
-                     F.when(F.col("_st") == ADMITTED, F.col("_take")).otherwise(F.lit(0)).alias("_a"),
-                     F.when(F.col("_st") != REJECTED, F.col("_take")).otherwise(F.lit(0)).alias("_au"))
+        # bounds on what admitted earlier units took: _base covers everything
+        # before the resource's first undecided row, the scan covers the rest
+        j = act.select("*",
+                       F.when(F.col("_st") == ADMITTED, F.col("_take")).otherwise(F.lit(0)).alias("_a"),
+                       F.when(F.col("_st") != REJECTED, F.col("_take")).otherwise(F.lit(0)).alias("_au"))
         j = running_agg(j, res_keys, seq, {"_lo": ("sum", "_a"), "_hi": ("sum", "_au")}, n, inclusive=False)
-        verdict = (j.where(F.col("_st") == UNDECIDED).groupBy(*unit_keys).agg(
-            F.max(F.col("_need") > F.col("_cap") - F.col("_lo")).alias("_fail"),
-            F.min(F.col("_need") <= F.col("_cap") - F.col("_hi")).alias("_fit")))
-        v = cut_lineage(verdict.select(*unit_keys,
-                                       F.when(F.col("_fail"), F.lit(REJECTED))
-                                       .when(F.col("_fit"), F.lit(ADMITTED))
-                                       .otherwise(F.lit(UNDECIDED)).alias("_st")))
-        decided.append(v.where(F.col("_st") != UNDECIDED))
-        undecided = v.where(F.col("_st") == UNDECIDED).select(*unit_keys)
-        left = undecided.count()
+        room_lo = F.col("_cap") - F.col("_base") - F.col("_lo")
+        room_hi = F.col("_cap") - F.col("_base") - F.col("_hi")
+        v = cut_lineage(
+            j.where(F.col("_st") == UNDECIDED).groupBy(*unit_keys)
+            .agg(F.max(F.col("_need") > room_lo).alias("_fail"), F.min(F.col("_need") <= room_hi).alias("_fit"))
+            .select(*unit_keys, F.when(F.col("_fail"), F.lit(REJECTED)).when(F.col("_fit"), F.lit(ADMITTED))
+                    .otherwise(F.lit(UNDECIDED)).alias("_new")))
+        decided.append(v.where(F.col("_new") != UNDECIDED).withColumnRenamed("_new", "_st"))
+        left = v.where(F.col("_new") == UNDECIDED).count()
         log.info("admission round %d: %d undecided", rounds, left)
         if left == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission not decided after {rounds} rounds ({left} undecided)")
+        # next round: per resource only the rows from its first undecided unit on;
+        # what admitted units before that point took moves into _base
+        upd = (act.join(v, unit_keys, "left")
+               .withColumn("_st", F.coalesce(F.col("_new"), F.col("_st"))).drop("_new"))
+        front = upd.where(F.col("_st") == UNDECIDED).groupBy(*res_keys).agg(F.min(seq).alias("_front"))
+        upd = upd.join(front, res_keys, "inner")
+        moved = (upd.where((F.col(seq) < F.col("_front")) & (F.col("_st") == ADMITTED))
+                 .groupBy(*res_keys).agg(F.sum("_take").alias("_moved")))
+        act = cut_lineage(
+            upd.where(F.col(seq) >= F.col("_front")).join(moved, res_keys, "left")
+            .withColumn("_base", F.col("_base") + F.coalesce(F.col("_moved"), F.lit(0)).cast("bigint"))
+            .drop("_front", "_moved"))
         if rounds % 8 == 0:
             # keep the union of per-round results shallow
             decided = [cut_lineage(reduce(DataFrame.unionByName, decided))]
