@@ -425,15 +425,21 @@ chk AS (SELECT rk.*, ex.existing_id, ex.existing_total,
 @register("new_product_check", with_ctes(_REQ_SQL + """
 SELECT seq, product_name, model_size, status,
        CASE WHEN invalid THEN 'Product name and unit price are required.' END AS message,
-       CAST(CASE WHEN NOT invalid THEN existing_id END AS BIGINT) AS existing_id,
-       CAST(CASE WHEN NOT invalid THEN existing_total END AS BIGINT) AS existing_total,
-       CASE WHEN NOT invalid AND existing_id IS NOT NULL THEN container_quantity * pieces_per_container END
-         AS adding_pieces
+       CAST(CASE WHEN NOT invalid THEN existing_id END AS DOUBLE) AS existing_id,
+       CAST(CASE WHEN NOT invalid THEN existing_total END AS DOUBLE) AS existing_total,
+       CAST(CASE WHEN NOT invalid AND existing_id IS NOT NULL THEN container_quantity * pieces_per_container END
+            AS DOUBLE) AS adding_pieces
 FROM chk
 """, "products", "sale_items"))
 def q_new_product_check(spark, sf_dir):
+    """Integer columns that are NULL for new or invalid requests are emitted
+    as DOUBLE on both sides, so engines agree on how a missing integer looks."""
+    from pyspark.sql import functions as F
     from ..operators import catalog
-    return for_compare(catalog.new_product_check(tm.products(spark, sf_dir), tm.product_requests(spark, sf_dir)))
+    out = catalog.new_product_check(tm.products(spark, sf_dir), tm.product_requests(spark, sf_dir))
+    out = out.select(*[F.col(c).cast("double").alias(c) if c in ("existing_id", "existing_total", "adding_pieces")
+                       else F.col(c) for c in out.columns])
+    return for_compare(out)
 
 
 @register("add_products", with_ctes(_REQ_SQL + """,
