@@ -45,8 +45,12 @@ def receipts_by_number(sales: DataFrame, items: DataFrame, q) -> DataFrame:
     return _newest_first(_listing(sel, items))
 
 
-def receipts_by_date(sales: DataFrame, items: DataFrame, day) -> DataFrame:
-    """Sales made on ``day``; a term that is not a date finds nothing."""
+def receipts_by_date(sales: DataFrame, items: DataFrame, day=None) -> DataFrame:
+    """Sales made on ``day`` (default: today, the "View Today" button); a
+    term that is not a date finds nothing."""
+    if day is None:
+        import datetime as _dt
+        day = _dt.date.today().isoformat()
     t = _clean_term(day)
     sel = _none(sales) if t is None else in_days(sales, t, t)
     return _newest_first(_listing(sel, items))

@@ -88,3 +88,11 @@ def test_quick_add_guard(spark):
     ok, refused = catalog.quick_add_guard(adds)
     assert [r.seq for r in refused.collect()] == [1]
     assert sorted(r.seq for r in ok.collect()) == [2, 3]
+
+
+def test_view_today(spark):
+    import datetime as dt
+    s = spark.createDataFrame([(1, "SALE1", Decimal("1.00"), dt.datetime.combine(dt.date.today(), dt.time(9)),
+                                "A", None, None, None, None)], SALES)
+    i = spark.createDataFrame([], ITEMS)
+    assert [r.id for r in rc.receipts_by_date(s, i).collect()] == [1]
