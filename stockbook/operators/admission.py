@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, reuse
 from ..plans.scan import chunk_rows_for, running_agg, scan_plan
 
 log = logging.getLogger(__name__)
@@ -75,7 +75,9 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
         j = running_agg(j, res_keys, seq, {"_lo": ("sum", "_a"), "_hi": ("sum", "_au")}, n, inclusive=False)
         room_lo = F.col("_cap") - F.col("_base") - F.col("_lo")
         room_hi = F.col("_cap") - F.col("_base") - F.col("_hi")
-        v = cut_lineage(
+        # the round's verdicts: read by the count below, the next round and the
+        # final result; their lineage starts at this round's checkpointed rows
+        v = reuse(
             j.where(F.col("_st") == UNDECIDED).groupBy(*unit_keys)
             .agg(F.max(F.col("_need") > room_lo).alias("_fail"), F.min(F.col("_need") <= room_hi).alias("_fit"))
             .select(*unit_keys, F.when(F.col("_fail"), F.lit(REJECTED)).when(F.col("_fit"), F.lit(ADMITTED))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, reuse
 from ..plans.scan import order_position, running_agg, scan_plan
 from ..sources.schema import CART_ITEM
 from .admission import greedy_admission, taken_before
@@ -136,7 +136,7 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
     # it fits iff its pieces fit the stock; only shared groups need the fixed point
     sizes = (l.where(F.col("_static").isNull()).groupBy("cart_id", "product_id")
              .agg(F.count(F.lit(1)).alias("_group_lines")))
-    l = cut_lineage(l.join(sizes, ["cart_id", "product_id"], "left"))
+    l = reuse(l.join(sizes, ["cart_id", "product_id"], "left"))
     usage = l.where(F.col("_static").isNull() & (F.col("_group_lines") > 1)).select(
         "cart_id", "line_pos", "product_id", F.col("line_pos").cast("bigint").alias("seq"),
         F.col("pieces_needed").alias("need"), F.col("pieces_needed").alias("take"), F.col("stock").alias("cap"))
@@ -201,7 +201,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     p = _product_side(products)
     l = parsed.join(p, F.col("product_id") == p["_pid"], "left")
     cont = X.is_container_unit("unit_type")
-    l = cut_lineage(l.select(
+    l = reuse(l.select(
         "cart_id", "seq", "ts", "line_pos", "product_id", "quantity", "unit_type", "product_name", "unit_price",
         "ppc", "stock",
         F.when(~F.col("line_ok"), F.lit(INVALID_ITEM))
@@ -236,7 +236,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     rounds = adm.agg(F.max("rounds")).first()[0] or 0
 
     acc = adm.where("admitted").select("cart_id")
-    acc_lines = cut_lineage(l.join(acc, "cart_id", "left_semi").withColumn(
+    acc_lines = reuse(l.join(acc, "cart_id", "left_semi").withColumn(
         "total_price", (F.col("unit_price") * F.col("quantity").cast("decimal(20,0)")).cast("decimal(10,2)")))
 
     # headers: ids and per-day numbers in request order
@@ -245,7 +245,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                   F.sum("total_price").cast("decimal(10,2)").alias("total_amount"),
                   F.count(F.lit(1)).alias("_nlines"))
              .withColumn("_one", F.lit(1)))
-    heads = cut_lineage(heads)
+    heads = reuse(heads)
     heads = running_agg(heads, [], "seq", {"_before": ("sum", "_one"), "_lines_before": ("sum", "_nlines")},
                         chunk_rows if chunk_rows else scan_plan(heads, []), inclusive=False)
     heads = heads.withColumn("_day", F.to_date("ts"))
@@ -273,7 +273,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         (F.lit(base_sale) + F.col("_before") + 1).cast("int").alias("sale_id"),
         X.sale_number("_day", F.coalesce(F.col("_day_used"), F.lit(0)) + F.col("_before") - F.col("_day_first") + 1)
         .alias("sale_number"))
-    heads = cut_lineage(heads)
+    heads = reuse(heads)
 
     cinfo = order.select("cart_id",
                          X.php_trim(F.coalesce("staff_name", F.lit(X.DEFAULT_STAFF))).alias("staff_name"),

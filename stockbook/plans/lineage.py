@@ -7,6 +7,7 @@ step. Local checkpoints are never used.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..session import checkpoint_dir
@@ -16,3 +17,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return the re-read plan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a result that several later steps read (memory, spilling to
+    disk). Only for results whose lineage is shallow and starts at a
+    checkpoint or at the input tables: a lost block is recomputed from there,
+    and the recomputation gives the same rows."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
