@@ -143,3 +143,27 @@ def test_parse_carts_lenient_casts(spark):
     rows = sorted((r.line_pos, r.product_id, r.quantity, r.unit_type, r.line_ok) for r in lines.collect())
     assert rows == [(1, 3, 1000, "pieces", True), (2, 2, 4, "pieces", True), (3, 0, 0, "pieces", False)]
     assert empty.count() == 0
+
+
+def test_checkout_continues_ids_and_day_numbers(spark):
+    from decimal import Decimal
+    prods = {1: dict(id=1, product_name="Bolt", container_quantity=100, pieces_per_container=1,
+                     loose_pieces=0, unit_price=2)}
+    sales = spark.createDataFrame(
+        [(41, "SALE2024010100000007", Decimal("2.00"), datetime(2024, 1, 1, 9), "Staff", "", "", "", None),
+         (42, "SALE2023123100000003", Decimal("2.00"), datetime(2023, 12, 31, 9), "Staff", "", "", "", None)],
+        "id int, sale_number string, total_amount decimal(10,2), sale_date timestamp, staff_name string, "
+        "customer_name string, customer_address string, lpo_number string, notes string")
+    items = spark.createDataFrame([(500, 41, 1, 1, "piece", Decimal("2"), Decimal("2"))],
+                                  "id long, sale_id int, product_id int, quantity_sold int, unit_type string, "
+                                  "unit_price decimal(10,2), total_price decimal(10,2)")
+    carts = [dict(cart_id=1, ts=datetime(2024, 1, 1, 10), items=json.dumps([{"product_id": 1, "quantity": 2}])),
+             dict(cart_id=2, ts=datetime(2024, 1, 2, 10), items=json.dumps([{"product_id": 1, "quantity": 1},
+                                                                          {"product_id": 1, "quantity": 1}]))]
+    res = co.checkout(_carts_df(spark, carts), _products_df(spark, prods), sales, items)
+    got = {r.cart_id: (r.sale_id, r.sale_number) for r in res.decisions.collect()}
+    assert got == {1: (43, "SALE2024010100000008"), 2: (44, "SALE2024010200000001")}
+    assert sorted(r.id for r in res.sale_items.collect()) == [501, 502, 503]
+    assert (res.last_sale_id, res.last_item_id) == (44, 503)
+    tot = {r.id: r.total_amount for r in res.sales.collect()}
+    assert tot == {43: Decimal("4.00"), 44: Decimal("4.00")}
