@@ -18,6 +18,10 @@ from ..plans.scan import running_agg, scan_plan
 # Messages of the inventory page.
 REQUIRED = "Product name and unit price are required."
 PRICE_POSITIVE = "Price must be greater than 0."
+# The database's error for a value outside a column's range (MySQL error 1264).
+OUT_OF_RANGE = "SQLSTATE[22003]: Numeric value out of range: 1264 Out of range value for column '{}' at row 1"
+MONEY_MAX = 99999999.99
+INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
 NEW, DUPLICATE, INVALID = "new", "duplicate", "invalid"
 
@@ -43,9 +47,14 @@ def read_product_form(candidates: DataFrame) -> DataFrame:
     out.append((X.php_number(F.col("unit_price")) if "unit_price" in cols else F.lit(0.0)).alias("unit_price"))
     f = candidates.select(*out)
     model_key = F.when(X.php_falsy_str("model_size"), F.lit("")).otherwise(F.col("model_size"))
+    # a value outside its column's range fails the INSERT (after the checks)
+    range_error = F.when(F.col("unit_price") > F.lit(MONEY_MAX), F.lit(OUT_OF_RANGE.format("unit_price")))
+    for c in _INTS:
+        range_error = range_error.when(~F.col(c).between(INT_MIN, INT_MAX), F.lit(OUT_OF_RANGE.format(c)))
     return (f.withColumn("_kname", F.lower("product_name"))
             .withColumn("_kmodel", F.lower(model_key))
-            .withColumn("_invalid", X.php_falsy_str("product_name") | (F.col("unit_price") <= 0)))
+            .withColumn("_invalid", X.php_falsy_str("product_name") | (F.col("unit_price") <= 0))
+            .withColumn("_range_error", range_error))
 
 
 def _existing_by_key(products: DataFrame) -> DataFrame:
@@ -70,10 +79,12 @@ def new_product_check(products: DataFrame, candidates: DataFrame) -> DataFrame:
     j = f.join(_existing_by_key(products), ["_kname", "_kmodel"], "left")
     e = F.col("_e")
     status = (F.when(F.col("_invalid"), F.lit(INVALID))
-              .when(e.isNotNull(), F.lit(DUPLICATE)).otherwise(F.lit(NEW)))
+              .when(e.isNotNull(), F.lit(DUPLICATE))
+              .when(F.col("_range_error").isNotNull(), F.lit(INVALID)).otherwise(F.lit(NEW)))
     return j.select(
         "seq", "product_name", "model_size", status.alias("status"),
-        F.when(F.col("_invalid"), F.lit(REQUIRED)).alias("message"),
+        F.when(F.col("_invalid"), F.lit(REQUIRED))
+         .when(e.isNull(), F.col("_range_error")).alias("message"),
         F.when(~F.col("_invalid"), e["existing_id"]).alias("existing_id"),
         F.when(~F.col("_invalid"), e["existing_total"]).alias("existing_total"),
         F.when(~F.col("_invalid") & e.isNotNull(),
@@ -195,8 +206,9 @@ def update_prices(products: DataFrame, changes: DataFrame, now=None) -> tuple[Da
     price. Returns (products_after, report of every request)."""
     c = changes.select("seq", X.php_int("product_id").alias("product_id"),
                        X.php_number("new_price").alias("price"))
-    c = c.withColumn("accepted", F.col("price") > 0).withColumn(
-        "message", F.when(~F.col("accepted"), F.lit(PRICE_POSITIVE)))
+    c = c.withColumn("message", F.when(F.col("price") <= 0, F.lit(PRICE_POSITIVE))
+                     .when(F.col("price") > F.lit(MONEY_MAX), F.lit(OUT_OF_RANGE.format("unit_price"))))
+    c = c.withColumn("accepted", F.col("message").isNull())
     last = (c.where("accepted").groupBy("product_id")
             .agg(F.max_by("price", "seq").alias("_price"))
             .join(products.select(F.col("id").cast("bigint").alias("product_id")), "product_id", "left_semi"))

@@ -38,6 +38,9 @@ from .admission import greedy_admission, taken_before
 NO_ITEMS = "No items provided."
 INVALID_ITEM = "Invalid item entry."
 NOT_FOUND = "Product not found."
+# The database's error for a value outside a column's range (MySQL error 1264).
+OUT_OF_RANGE = "SQLSTATE[22003]: Numeric value out of range: 1264 Out of range value for column '{}' at row 1"
+MONEY_MAX = "99999999.99"
 # Browser-side refusals of the cart form.
 SELECT_PRODUCT = "Please select a product"
 VALID_QUANTITY = "Please enter a valid quantity"
@@ -209,8 +212,17 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         F.when(cont, F.col("quantity") * F.col("ppc")).otherwise(F.col("quantity")).alias("pieces"),
     ))
     l, empty = split_payloads(l)
-    blocked = l.where(F.col("_static").isNotNull()).select("cart_id").distinct()
-
+    # a header or line amount beyond DECIMAL(10,2) fails its INSERT, which
+    # rolls the cart back after all its lines passed the checks
+    line_total = F.col("unit_price") * F.col("quantity").cast("decimal(20,0)")
+    amounts = (l.where(F.col("_static").isNull()).groupBy("cart_id")
+               .agg(F.sum(line_total).alias("_sum"), F.max(line_total).alias("_max_line")))
+    too_big = amounts.select(
+        "cart_id",
+        F.when(F.col("_sum") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_amount")))
+         .when(F.col("_max_line") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_price")))
+         .alias("_insert_error")).where(F.col("_insert_error").isNotNull())
+    blocked = l.where(F.col("_static").isNotNull()).select("cart_id").union(too_big.select("cart_id")).distinct()
     per_res = (l.where(F.col("_static").isNull())
                .groupBy("cart_id", "product_id")
                .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
@@ -305,12 +317,13 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                  .join(adm.select("cart_id", "admitted"), "cart_id", "left")
                  .join(empty, "cart_id", "left")
                  .join(reasons.withColumnRenamed("reason", "_r"), "cart_id", "left")
+                 .join(too_big, "cart_id", "left")
                  .join(heads.select("cart_id", "sale_id", "sale_number", "total_amount"), "cart_id", "left")
                  .withColumn("rounds", F.lit(int(rounds))))
     ok = F.coalesce(F.col("admitted"), F.lit(False))
     decisions = decisions.select(
         "cart_id", ok.alias("accepted"),
-        F.when(~ok, F.coalesce(F.col("reason"), F.col("_r"))).alias("reason"),
+        F.when(~ok, F.coalesce(F.col("reason"), F.col("_r"), F.col("_insert_error"))).alias("reason"),
         "sale_id", "sale_number", "total_amount", "rounds")
     return CheckoutResult(decisions, new_sales, new_items, stock, new_products,
                           base_sale + int(counts["n"] or 0), base_item + int(counts["lines"] or 0))

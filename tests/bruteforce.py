@@ -70,11 +70,21 @@ def checkout(carts, products):
             unit = get("unit_type")
             unit = php_trim(str(unit)) if unit is not None else "pieces"
             pieces = qty * eff_ppc(p) if any(w in unit.lower() for w in CONTAINER) else qty
-            prepared.append((pid, pieces))
+            prepared.append((pid, pieces, money(p["unit_price"]) * qty))
         if err:
             out[cart["cart_id"]] = (False, err)
             continue
-        for pid, pieces in prepared:
+        cap = Decimal("99999999.99")
+        for col, bad in (("total_amount", sum(t for _, _, t in prepared) > cap),
+                         ("total_price", any(t > cap for _, _, t in prepared))):
+            if bad:
+                err = ("SQLSTATE[22003]: Numeric value out of range: 1264 Out of range value for column "
+                       f"'{col}' at row 1")
+                break
+        if err:
+            out[cart["cart_id"]] = (False, err)
+            continue
+        for pid, pieces, _t in prepared:
             p = prods[pid]
             ppc = eff_ppc(p)
             t = max(0, total(p) - pieces)

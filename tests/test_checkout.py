@@ -167,3 +167,20 @@ def test_checkout_continues_ids_and_day_numbers(spark):
     assert (res.last_sale_id, res.last_item_id) == (44, 503)
     tot = {r.id: r.total_amount for r in res.sales.collect()}
     assert tot == {43: Decimal("4.00"), 44: Decimal("4.00")}
+
+
+def test_checkout_amount_out_of_range_rejects_only_that_cart(spark):
+    prods = {1: dict(id=1, product_name="Big", container_quantity=10, pieces_per_container=1, loose_pieces=0,
+                     unit_price=60000000), 2: dict(id=2, product_name="Small", container_quantity=10,
+                                                   pieces_per_container=1, loose_pieces=0, unit_price=1)}
+    t = datetime(2024, 1, 1)
+    carts = [dict(cart_id=1, ts=t, items=json.dumps([{"product_id": 1, "quantity": 1}, {"product_id": 1, "quantity": 1}])),
+             dict(cart_id=2, ts=t + timedelta(seconds=1), items=json.dumps([{"product_id": 1, "quantity": 2}])),
+             dict(cart_id=3, ts=t + timedelta(seconds=2), items=json.dumps([{"product_id": 2, "quantity": 2}]))]
+    want, after = bf.checkout(carts, prods)
+    res = co.checkout(_carts_df(spark, carts), _products_df(spark, prods))
+    got = {r.cart_id: (r.accepted, r.reason) for r in res.decisions.collect()}
+    assert got == want
+    assert not got[1][0] and "'total_amount'" in got[1][1]
+    assert not got[2][0] and "'total_amount'" in got[2][1]
+    assert got[3] == (True, None)

@@ -96,3 +96,18 @@ def test_view_today(spark):
                                 "A", None, None, None, None)], SALES)
     i = spark.createDataFrame([], ITEMS)
     assert [r.id for r in rc.receipts_by_date(s, i).collect()] == [1]
+
+
+def test_product_form_out_of_range(spark):
+    prods = spark.createDataFrame([(1, "Bolt", None, 0, 1, 0)],
+                                  "id int, product_name string, model_size string, container_quantity int, "
+                                  "pieces_per_container int, loose_pieces int")
+    cands = spark.createDataFrame([(1, "Nut", "", "1000000000", "1"), (2, "Pin", "", "5", "3000000000"),
+                                   (3, "bolt", "", "5", "1"), (4, "Cap", "0", "2.5", "1")],
+                                  "seq long, product_name string, model_size string, unit_price string, "
+                                  "container_quantity string")
+    got = {r.seq: (r.status, r.message) for r in catalog.new_product_check(prods, cands).collect()}
+    assert got[1] == ("invalid", catalog.OUT_OF_RANGE.format("unit_price"))
+    assert got[2] == ("invalid", catalog.OUT_OF_RANGE.format("container_quantity"))
+    assert got[3] == ("duplicate", None)          # letter case and empty model match
+    assert got[4] == ("new", None)                # model '0' reads as no model
