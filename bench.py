@@ -4,6 +4,9 @@ Reads the generated tables at $BENCH_SF_DIR (default /root/testdata/sf0.1),
 derives the application tables once and stores them as Parquet in a scratch
 folder (sales partitioned by sale month, as the table store writes them),
 then times every headline job over the stored tables on local[$BENCH_CPUS].
+Each stored table is written as 2 x cpus files (sales: one file per month),
+as a real input is split across many files; without that, the load step's
+coalesced last stage leaves one file and the jobs read it on a few threads.
 Each job is fully executed with a no-op write (nothing is collected). Prints
 one JSON line.
 """
@@ -40,13 +43,14 @@ def main() -> None:
     checkpoint_dir(spark)
 
     t0 = time.time()
-    tm.products(spark, sf_dir).write.parquet(f"{scratch}/products")
+    files = 2 * cpus
+    tm.products(spark, sf_dir).repartition(files).write.parquet(f"{scratch}/products")
     (tm.sales(spark, sf_dir).withColumn("sale_month", F.date_format("sale_date", "yyyy-MM"))
      .repartition("sale_month").write.partitionBy("sale_month").parquet(f"{scratch}/sales"))
-    tm.sale_items(spark, sf_dir).write.parquet(f"{scratch}/sale_items")
-    tm.stock_events(spark, sf_dir).write.parquet(f"{scratch}/stock_events")
-    tm.carts(spark, sf_dir).write.parquet(f"{scratch}/carts")
-    tm.product_requests(spark, sf_dir).write.parquet(f"{scratch}/product_requests")
+    tm.sale_items(spark, sf_dir).repartition(files).write.parquet(f"{scratch}/sale_items")
+    tm.stock_events(spark, sf_dir).repartition(files).write.parquet(f"{scratch}/stock_events")
+    tm.carts(spark, sf_dir).repartition(files).write.parquet(f"{scratch}/carts")
+    tm.product_requests(spark, sf_dir).repartition(files).write.parquet(f"{scratch}/product_requests")
     load_sec = time.time() - t0
 
     products = read_table(spark, f"{scratch}/products", PRODUCTS)

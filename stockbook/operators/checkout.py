@@ -127,19 +127,19 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
     l = (lines.select("cart_id", "line_pos", pid.alias("product_id"), qty.alias("quantity"), unit.alias("unit_type"))
          .join(p, F.col("product_id") == p["_pid"], "left"))
     cont = X.is_container_unit("unit_type", case_sensitive=True)
-    l = l.select(
+    l = reuse(l.select(
         "*",
         F.when(F.col("_pid").isNull(), F.lit(SELECT_PRODUCT))
          .when(F.col("quantity").isNull() | (F.col("quantity") < 1), F.lit(VALID_QUANTITY)).alias("_static"),
         F.when(cont, F.col("quantity") * F.col("ppc")).otherwise(F.col("quantity")).alias("pieces_needed"),
         F.when(cont, F.col("unit_price") * F.col("ppc").cast("decimal(20,0)"))
          .otherwise(F.col("unit_price")).alias("display_price"),
-    )
+    ))
     # a line alone on its (cart, product) has nothing earlier to compete with:
     # it fits iff its pieces fit the stock; only shared groups need the fixed point
     sizes = (l.where(F.col("_static").isNull()).groupBy("cart_id", "product_id")
              .agg(F.count(F.lit(1)).alias("_group_lines")))
-    l = reuse(l.join(sizes, ["cart_id", "product_id"], "left"))
+    l = l.join(sizes, ["cart_id", "product_id"], "left")
     usage = l.where(F.col("_static").isNull() & (F.col("_group_lines") > 1)).select(
         "cart_id", "line_pos", "product_id", F.col("line_pos").cast("bigint").alias("seq"),
         F.col("pieces_needed").alias("need"), F.col("pieces_needed").alias("take"), F.col("stock").alias("cap"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, reuse
 from ..plans.scan import order_position, running_agg, scan_plan
 
 SALE, ADD, SET = "sale", "add", "set"
@@ -54,7 +54,8 @@ def replay(products: DataFrame, events: DataFrame, chunk_rows: int | None = None
          .otherwise(F.lit(0).cast("bigint")).alias("_delta"),
         F.when(F.col("kind") == SET, 1).otherwise(0).alias("_is_set"),
     )
-    ev = running_agg(ev, ["product_id"], "seq", {"_seg": ("sum", "_is_set"), "_g": ("sum", "_delta")}, n)
+    # read twice below (segment starts and the main path): computed once
+    ev = reuse(running_agg(ev, ["product_id"], "seq", {"_seg": ("sum", "_is_set"), "_g": ("sum", "_delta")}, n))
 
     # start of each segment: the set event itself, or the opening stock
     starts = (ev.where(F.col("kind") == SET)
