@@ -88,6 +88,7 @@ def main() -> None:
         if out is not None:
             out.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
+        spark.catalog.clearCache()
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_job_seconds", "value": total, "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),

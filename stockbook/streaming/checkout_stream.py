@@ -41,9 +41,13 @@ def process_batch(store: TableStore, carts: DataFrame, batch_id: int) -> bool:
     last = store.meta()
     res = checkout(carts, store.products(), store.appended("sales"), store.appended("sale_items"),
                    id_base=(last.get("last_sale_id", 0), last.get("last_item_id", 0)))
-    return store.publish(batch, products=res.products,
+    done = store.publish(batch, products=res.products,
                          appends={"sales": res.sales, "sale_items": res.sale_items},
                          meta={"last_sale_id": res.last_sale_id, "last_item_id": res.last_item_id})
+    # the batch is on disk now: drop what its jobs kept in memory, so a
+    # long-running stream does not pile up cached blocks
+    carts.sparkSession.catalog.clearCache()
+    return done
 
 
 def start(spark: SparkSession, carts_dir: str, store_root: str, checkpoint_location: str,
