@@ -48,20 +48,29 @@ def in_days(sales: DataFrame, date_from, date_to) -> DataFrame:
     return sales.where(cond)
 
 
-def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False) -> DataFrame:
+def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False,
+                    wide: bool = False) -> DataFrame:
     """COUNT(items.id) per sale of ``sel`` (0 when it has none).
 
-    Items are reduced to those of the selected sales first (semi join), then
-    counted with a partial + final hash aggregate, then joined on the unique
-    sale id, so no sale row is multiplied. ``bounded`` marks a selection of a
-    known small size (a top-n), which is broadcast.
+    Selective searches: items are reduced to those of the selected sales
+    first (semi join; a small selection is broadcast by AQE, so the items
+    are not shuffled), then counted. ``bounded`` marks a selection of a known
+    small size (a top-n), which is always broadcast. ``wide`` marks a
+    selection expected to hold most sales: then the items are counted first
+    (partial counts per task, so only one row per sale and task is
+    shuffled) and the counts joined, instead of shuffling every item row
+    into a semi join. Either way the join is on the unique sale id, so no
+    sale row is multiplied.
     """
-    ids = sel.select(F.col("id").alias("sale_id"))
-    if bounded:
-        ids = F.broadcast(ids)
-    counts = (items.select("sale_id", "id")
-              .join(ids, "sale_id", "left_semi")
-              .groupBy("sale_id").agg(F.count("id").alias("item_count")))
+    if wide:
+        counts = items.groupBy("sale_id").agg(F.count("id").alias("item_count"))
+    else:
+        ids = sel.select(F.col("id").alias("sale_id"))
+        if bounded:
+            ids = F.broadcast(ids)
+        counts = (items.select("sale_id", "id")
+                  .join(ids, "sale_id", "left_semi")
+                  .groupBy("sale_id").agg(F.count("id").alias("item_count")))
     out = sel.join(counts, sel["id"] == counts["sale_id"], "left").drop(counts["sale_id"])
     return out.withColumn("item_count", F.coalesce(F.col("item_count"), F.lit(0).cast("bigint")))
 
