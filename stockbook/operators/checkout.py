@@ -33,6 +33,7 @@ from ..plans.lineage import cut_lineage, reuse
 from ..plans.scan import order_position, running_agg, scan_plan
 from ..sources.schema import CART_ITEM
 from .admission import greedy_admission, taken_before
+from .sales import in_days
 
 # The messages of the checkout page.
 NO_ITEMS = "No items provided."
@@ -269,8 +270,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     counts = heads.agg(F.count(F.lit(1)).alias("n"), F.sum("_nlines").alias("lines"),
                        F.min("_day").alias("lo"), F.max("_day").alias("hi")).first()
     if sales is not None and counts["n"]:
-        days = sales.where((F.col("sale_date") >= F.lit(counts["lo"]).cast("timestamp_ntz"))
-                           & (F.col("sale_date") < F.date_add(F.lit(counts["hi"]), 1).cast("timestamp_ntz")))
+        days = in_days(sales, counts["lo"].isoformat(), counts["hi"].isoformat())
         nums = (days.where((F.length("sale_number") == 20) & F.col("sale_number").startswith(X.SALE_PREFIX))
                 .select(F.to_date(F.substring("sale_number", 5, 8), "yyyyMMdd").alias("_day"),
                         F.substring("sale_number", 13, 8).try_cast("bigint").alias("_n"))

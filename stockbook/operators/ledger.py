@@ -16,8 +16,10 @@ order, a *segment* starts at every set event (segment 0 at the opening
 stock). Inside a segment with start value S, let X_n = S + running sum of
 deltas (add +c*ppc+l, sale -pieces). The clamp at 0 only acts at sales, so
 total_n = X_n - min(0, min over sale rows k <= n of X_k). Running sums and
-the running minimum are two-level scans (``plans.scan``), so one very busy
-product does not end up in a single task.
+the running minimum go through ``plans.scan.running_agg``: a plain window per
+product, or, when a runtime check finds a product with more rows than a
+chunk, a two-level scan that splits it, so one very busy product does not
+end up in a single task.
 """
 
 from __future__ import annotations

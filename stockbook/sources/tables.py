@@ -104,7 +104,10 @@ class TableStore:
         if r is None:
             return None
         df, done = r
-        return df.where(F.col("batch").isin(done)).select(*tdef.names)
+        # sales keep their month partition column, so date filters of the
+        # reports (``operators.sales.in_days``) prune month folders
+        extra = ["sale_month"] if name == "sales" else []
+        return df.where(F.col("batch").isin(done)).select(*tdef.names, *extra)
 
     # -- writes --
     def publish(self, batch: int, products: DataFrame | None = None,
