@@ -115,9 +115,11 @@ def search_receipts(kind: str, q, sales: DataFrame, items: DataFrame,
 
 
 def receipt_search_summary(result: DataFrame) -> DataFrame:
-    """Number of receipts found and their total value."""
-    return result.agg(F.count(F.lit(1)).alias("receipts_found"),
-                      F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(20,2)")).alias("total_value"))
+    """Number of receipts found and their total value (also as the page's
+    'GHC 1,234.50' text)."""
+    s = result.agg(F.count(F.lit(1)).alias("receipts_found"),
+                   F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(20,2)")).alias("total_value"))
+    return s.withColumn("total_value_text", X.money_text("total_value", "GHC "))
 
 
 def receipt_header(sales: DataFrame, sale_id: int | None = None, sale_number: str | None = None) -> DataFrame:

@@ -100,12 +100,17 @@ def sales_analytics(sales: DataFrame, date_from=None, date_to=None) -> DataFrame
         date_to = date_to or d_to
     amt = F.col("total_amount")
     zero = F.lit(0)
-    return (in_days(sales, date_from, date_to)
-            .agg(F.count(F.lit(1)).alias("total_sales"),
-                 F.coalesce(F.sum(amt), zero.cast("decimal(20,2)")).alias("total_revenue"),
-                 F.coalesce(F.avg(amt), zero.cast("decimal(14,6)")).alias("average_sale"),
-                 F.coalesce(F.max(amt), zero.cast("decimal(10,2)")).alias("highest_sale"),
-                 F.coalesce(F.min(amt), zero.cast("decimal(10,2)")).alias("lowest_sale")))
+    figures = (in_days(sales, date_from, date_to)
+               .agg(F.count(F.lit(1)).alias("total_sales"),
+                    F.coalesce(F.sum(amt), zero.cast("decimal(20,2)")).alias("total_revenue"),
+                    F.coalesce(F.avg(amt), zero.cast("decimal(14,6)")).alias("average_sale"),
+                    F.coalesce(F.max(amt), zero.cast("decimal(10,2)")).alias("highest_sale"),
+                    F.coalesce(F.min(amt), zero.cast("decimal(10,2)")).alias("lowest_sale")))
+    # the cards as the page shows them
+    return figures.select(
+        "*", X.number_format("total_sales", 0).alias("total_sales_text"),
+        *[X.money_text(c, "$").alias(f"{c}_text")
+          for c in ("total_revenue", "average_sale", "highest_sale", "lowest_sale")])
 
 
 def dashboard_kpis(products: DataFrame, sales: DataFrame, as_of=None) -> DataFrame:

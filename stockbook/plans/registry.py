@@ -109,13 +109,27 @@ _AVG6 = ("CAST((2 * SUM(CAST(round(total_amount * 100) AS HUGEINT)) * 10000 + CO
          "// (2 * COUNT(*)) AS DOUBLE) / 1000000")
 
 
+# the same average rounded half up to cents, exactly, for the card text
+_AVG_CENTS = ("(2 * ((2 * SUM(CAST(round(total_amount * 100) AS HUGEINT)) * 10000 + COUNT(*)) // (2 * COUNT(*)))"
+              " + 10000) // 20000")
+
+
 @register("sales_analytics", with_ctes(f"""
-SELECT COUNT(*) AS total_sales,
-       CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS total_revenue,
-       COALESCE({_AVG6}, 0) AS average_sale,
-       CAST(COALESCE(MAX(total_amount), 0) AS DOUBLE) AS highest_sale,
-       CAST(COALESCE(MIN(total_amount), 0) AS DOUBLE) AS lowest_sale
-FROM sales s WHERE CAST(s.sale_date AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'
+SELECT total_sales, total_revenue, average_sale, highest_sale, lowest_sale,
+       format('{{:,}}', total_sales) AS total_sales_text,
+       '$' || format('{{:,.2f}}', total_revenue) AS total_revenue_text,
+       '$' || format('{{:,.2f}}', avg_cents / 100.0) AS average_sale_text,
+       '$' || format('{{:,.2f}}', highest_sale) AS highest_sale_text,
+       '$' || format('{{:,.2f}}', lowest_sale) AS lowest_sale_text
+FROM (
+  SELECT COUNT(*) AS total_sales,
+         CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS total_revenue,
+         COALESCE({_AVG6}, 0) AS average_sale,
+         CAST(COALESCE({_AVG_CENTS}, 0) AS BIGINT) AS avg_cents,
+         CAST(COALESCE(MAX(total_amount), 0) AS DOUBLE) AS highest_sale,
+         CAST(COALESCE(MIN(total_amount), 0) AS DOUBLE) AS lowest_sale
+  FROM sales s WHERE CAST(s.sale_date AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'
+) a
 """, "sales"))
 def q_sales_analytics(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -176,7 +190,8 @@ def q_receipts_high_value(spark, sf_dir):
 
 
 @register("receipt_search_summary", with_ctes(f"""
-SELECT COUNT(*) AS receipts_found, CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS total_value
+SELECT COUNT(*) AS receipts_found, CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS total_value,
+       'GHC ' || format('{{:,.2f}}', COALESCE(SUM(total_amount), 0)) AS total_value_text
 FROM (SELECT DISTINCT s.id, s.total_amount
       FROM sales s JOIN sale_items si ON s.id = si.sale_id JOIN products p ON si.product_id = p.id
       WHERE p.product_name ILIKE '%{PRODUCT_TERM}%') r
