@@ -15,7 +15,9 @@ fixed point of set operations:
 * the next round keeps, per resource, only the rows from its first
   undecided unit on; what admitted units before that point took is final
   and carried as one number per resource (``_base``). Rounds therefore
-  shrink to the contended tails instead of rescanning every row.
+  shrink to the contended tails instead of rescanning every row;
+* each round runs ``PASSES_PER_ROUND`` passes of the bounds before the
+  active rows are written again, so checkpoint writes are fewer than passes.
 
 All earlier units of the earliest undecided unit are decided, so its bounds
 are equal and it decides; every round therefore decides at least one unit
@@ -40,6 +42,8 @@ from ..plans.scan import chunk_rows_for, running_agg, scan_plan
 log = logging.getLogger(__name__)
 
 ADMITTED, REJECTED, UNDECIDED = "A", "R", "U"
+# Bound passes computed per checkpoint of the active rows.
+PASSES_PER_ROUND = 2
 
 
 def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str], seq: str,
@@ -63,46 +67,54 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
     if act.isEmpty():
         return act.select(*unit_keys, F.lit(False).alias("admitted"), F.lit(0).alias("rounds")).distinct()
     n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(act, res_keys))
-    decided: list[DataFrame] = []     # (unit_keys, _st) decided per round
+    decided: list[DataFrame] = []     # (unit_keys, _st) decided per pass
     rounds = 0
-    while True:
-        rounds += 1
-        # bounds on what admitted earlier units took: _base covers everything
-        # before the resource's first undecided row, the scan covers the rest
+
+    def refine(act: DataFrame) -> DataFrame:
+        """One pass of the bounds: a verdict for every undecided unit."""
+        # _base covers what admitted units took before the resource's first
+        # undecided row, the scan covers the rest
         j = act.select("*",
                        F.when(F.col("_st") == ADMITTED, F.col("_take")).otherwise(F.lit(0)).alias("_a"),
                        F.when(F.col("_st") != REJECTED, F.col("_take")).otherwise(F.lit(0)).alias("_au"))
         j = running_agg(j, res_keys, seq, {"_lo": ("sum", "_a"), "_hi": ("sum", "_au")}, n, inclusive=False)
         room_lo = F.col("_cap") - F.col("_base") - F.col("_lo")
         room_hi = F.col("_cap") - F.col("_base") - F.col("_hi")
-        # the round's verdicts: read by the count below, the next round and the
-        # final result; their lineage starts at this round's checkpointed rows
-        v = reuse(
+        # read by the count, the next pass and the final result; the lineage
+        # starts at the round's checkpointed rows
+        return reuse(
             j.where(F.col("_st") == UNDECIDED).groupBy(*unit_keys)
             .agg(F.max(F.col("_need") > room_lo).alias("_fail"), F.min(F.col("_need") <= room_hi).alias("_fit"))
             .select(*unit_keys, F.when(F.col("_fail"), F.lit(REJECTED)).when(F.col("_fit"), F.lit(ADMITTED))
                     .otherwise(F.lit(UNDECIDED)).alias("_new")))
-        decided.append(v.where(F.col("_new") != UNDECIDED).withColumnRenamed("_new", "_st"))
+
+    while True:
+        # PASSES_PER_ROUND passes share one count and one checkpoint: a later
+        # pass reads the earlier passes' verdicts (kept in memory) directly
+        for _ in range(max(1, PASSES_PER_ROUND)):
+            rounds += 1
+            v = refine(act)
+            decided.append(v.where(F.col("_new") != UNDECIDED).withColumnRenamed("_new", "_st"))
+            act = (act.join(v, unit_keys, "left")
+                   .withColumn("_st", F.coalesce(F.col("_new"), F.col("_st"))).drop("_new"))
         left = v.where(F.col("_new") == UNDECIDED).count()
-        log.info("admission round %d: %d undecided", rounds, left)
+        log.info("admission pass %d: %d undecided", rounds, left)
         if left == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"admission not decided after {rounds} rounds ({left} undecided)")
+            raise RuntimeError(f"admission not decided after {rounds} passes ({left} undecided)")
         # next round: per resource only the rows from its first undecided unit on;
         # what admitted units before that point took moves into _base
-        upd = (act.join(v, unit_keys, "left")
-               .withColumn("_st", F.coalesce(F.col("_new"), F.col("_st"))).drop("_new"))
-        front = upd.where(F.col("_st") == UNDECIDED).groupBy(*res_keys).agg(F.min(seq).alias("_front"))
-        upd = upd.join(front, res_keys, "inner")
+        front = act.where(F.col("_st") == UNDECIDED).groupBy(*res_keys).agg(F.min(seq).alias("_front"))
+        upd = act.join(front, res_keys, "inner")
         moved = (upd.where((F.col(seq) < F.col("_front")) & (F.col("_st") == ADMITTED))
                  .groupBy(*res_keys).agg(F.sum("_take").alias("_moved")))
         act = cut_lineage(
             upd.where(F.col(seq) >= F.col("_front")).join(moved, res_keys, "left")
             .withColumn("_base", F.col("_base") + F.coalesce(F.col("_moved"), F.lit(0)).cast("bigint"))
             .drop("_front", "_moved"))
-        if rounds % 8 == 0:
-            # keep the union of per-round results shallow
+        if len(decided) >= 16:
+            # keep the union of per-pass results shallow
             decided = [cut_lineage(reduce(DataFrame.unionByName, decided))]
     states = reduce(DataFrame.unionByName, decided)
     return states.select(*unit_keys, (F.col("_st") == ADMITTED).alias("admitted"),
