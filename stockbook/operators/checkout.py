@@ -224,10 +224,11 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
          .when(F.col("_max_line") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_price")))
          .alias("_insert_error")).where(F.col("_insert_error").isNotNull())
     blocked = l.where(F.col("_static").isNotNull()).select("cart_id").union(too_big.select("cart_id")).distinct()
-    per_res = (l.where(F.col("_static").isNull())
-               .groupBy("cart_id", "product_id")
-               .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
-                    F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
+    # read by the skew check, the admission and the availability pass
+    per_res = reuse(l.where(F.col("_static").isNull())
+                    .groupBy("cart_id", "product_id")
+                    .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
+                         F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
     usage = per_res.join(blocked, "cart_id", "left_anti")
     # one skew check for both scans over products (per_res holds usage's rows)
     n = chunk_rows if chunk_rows else scan_plan(per_res, ["product_id"])
