@@ -39,7 +39,9 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", app="stockbook-bench", shuffle_partitions=max(8, 2 * cpus),
                       extra={"spark.driver.memory": "16g"})
     scratch = tempfile.mkdtemp(prefix="stockbook-bench-")
-    spark.sparkContext.setCheckpointDir(os.path.join(scratch, "ckpt")) if not spark.sparkContext.getCheckpointDir() else None
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        # local benchmark only: a scratch folder when none is configured
+        spark.sparkContext.setCheckpointDir(os.path.join(scratch, "ckpt"))
     checkpoint_dir(spark)
 
     t0 = time.time()
