@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..plans.lineage import cut_lineage, reuse
+from ..plans.lineage import reuse
 from ..plans.scan import order_position, running_agg, scan_plan
 from ..sources.schema import CART_ITEM
 from .admission import greedy_admission, taken_before

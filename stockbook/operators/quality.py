@@ -18,7 +18,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.schema import PRODUCTS, SALE_ITEMS, SALES, TABLES, TableDef
 
@@ -125,4 +124,4 @@ def integrity_rules() -> list[tuple[str, str, str]]:
     return out
 
 
-__all__ = ["conform_schema", "schema_report", "integrity_report", "integrity_rules", "T"]
+__all__ = ["conform_schema", "schema_report", "integrity_report", "integrity_rules"]

@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import schema
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -255,5 +253,5 @@ def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
     return head + ",\n".join(SQL_CTES[n].strip() for n in used) + "\n" + body
 
 
-__all__ = ["products", "sales", "sale_items", "stock_events", "carts", "load_all",
-           "SQL_CTES", "with_ctes", "schema"]
+__all__ = ["products", "sales", "sale_items", "stock_events", "carts", "product_requests",
+           "stock_requests", "price_requests", "load_all", "SQL_CTES", "with_ctes"]
