@@ -184,3 +184,14 @@ def test_checkout_amount_out_of_range_rejects_only_that_cart(spark):
     assert not got[1][0] and "'total_amount'" in got[1][1]
     assert not got[2][0] and "'total_amount'" in got[2][1]
     assert got[3] == (True, None)
+
+
+@pytest.mark.parametrize("seed,n_products,n_carts,chunk", [(21, 2, 120, 4), (22, 12, 150, None), (23, 3, 200, 7)])
+def test_checkout_more_shapes(spark, seed, n_products, n_carts, chunk):
+    prods, carts = _random_case(seed, n_products=n_products, n_carts=n_carts)
+    want, after = bf.checkout(carts, prods)
+    res = co.checkout(_carts_df(spark, carts), _products_df(spark, prods), chunk_rows=chunk)
+    assert {r.cart_id: (r.accepted, r.reason) for r in res.decisions.collect()} == want
+    for r in res.stock.collect():
+        assert (after[r.product_id]["container_quantity"], after[r.product_id]["loose_pieces"]) == \
+            (r.container_quantity, r.loose_pieces)
