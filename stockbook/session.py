@@ -20,6 +20,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the iterative jobs run hundreds of small jobs: keep less status history
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "400",
+    "spark.ui.retainedTasks": "20000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
 
 
