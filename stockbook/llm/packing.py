@@ -12,9 +12,10 @@ sequences of their own. All others are matched to sequences in rounds:
    largest document below it that fits, then what else fits beside it. A
    document goes to the first gap in sort rank that reaches it, so no two
    gaps ever take the same document;
-4. gaps shrink, what was not placed stays for the next round. When a round
-   places next to nothing, the volume left opens new sequences, seeded by the
-   largest documents.
+4. gaps shrink, what was not placed stays for the next round. After a round
+   of one range nothing left fits any gap; then, or when a round places next to
+   nothing, the volume left opens new sequences, seeded by the largest
+   documents.
 
 Each round is written to the shared folder. The driver reads the histogram of
 sizes, which ``capacity`` bounds, and nothing per document.
@@ -150,7 +151,7 @@ def _open(rows: DataFrame, counts: np.ndarray, n: int, capacity: int) -> DataFra
     return rows.where(~seed).unionByName(placed).unionByName(bins)
 
 
-def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 50_000) -> DataFrame:
+def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 100_000) -> DataFrame:
     """``(id, bin, offset)`` for items ``(id bigint, size int)`` with unique
     ids and sizes 1..capacity; ``bin`` is the id of a bin's first item."""
     rows = items.select(F.lit(DOC).alias("kind"), "id", "size", F.lit(None).cast("bigint").alias("bin"),
@@ -179,7 +180,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 5
                                       .otherwise(F.get(lookup, F.col("size"))))
                  .withColumn("spread", F.xxhash64("id", "kind")))
         total = int(counts.sum())
-        ranges = max(2, -(-2 * total // rows_per_range))
+        ranges = -(-2 * total // rows_per_range)  # about as many gaps as documents
         swept = (keyed.repartitionByRange(ranges, "key", "spread")
                  .sortWithinPartitions("key", "kind", "size", "spread")
                  .select("kind", "id", "size", "key").mapInArrow(_sweep(capacity), _ROUND))
@@ -188,7 +189,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 5
         counts = _histogram(rows, capacity)
         placed = int(before.sum() - counts.sum())
         opening = 0
-        if placed < 0.02 * before.sum():
+        if ranges == 1 or placed < 0.05 * before.sum():
             opening = -(-int((counts * all_sizes).sum()) // capacity)
     out = done[0] if done else rows.select("id", "bin", "offset")
     for d in done[1:]:
