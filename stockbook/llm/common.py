@@ -68,3 +68,4 @@ def n_words(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A repeatable number in [0, 1) from the columns' values."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
+
