@@ -6,9 +6,11 @@ from .mixing import op3_entropy_mixing
 from .packing import op5_best_fit_packing
 from .quality import op7_quality_classifier
 from .shingle_join import op10_ngram_jaccard_join
+from .spotsigs import op1_spotsigs_fingerprints
 from .token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_spotsigs_fingerprints": op1_spotsigs_fingerprints,
     "op3_entropy_mixing": op3_entropy_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
