@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import op8_line_dedup
 from .mixing import op3_entropy_mixing
 from .packing import op5_best_fit_packing
 from .quality import op7_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_line_dedup": op8_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
