@@ -43,6 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame) -> DataFrame:
     """``(doc_id bigint, text string)``, a null text as the empty text. Every
     other column is left behind, so names of extra columns never clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

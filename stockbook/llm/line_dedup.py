@@ -224,6 +224,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return _without(thinned, near_repeats(thinned, edits))
 
 
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, if it has that column, set to the text's
+    length (null for a null text)."""
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.char_length(F.col("text").cast("string")).cast(docs.schema["n_chars"].dataType)
+    return docs.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` after line dedup: line counts and a digest of the text."""
     docs = table(spark, sf_dir, "documents")

@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, stage, table
@@ -343,6 +343,31 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE)
                     .alias("component_id")))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """``docs``, all columns, without the documents that have a link to one of
+    smaller id, directly or over others. Of rows with one doc_id one stays
+    (texts compared by hash); rows without doc_id stay unless their component
+    has an id."""
+    names = docs.columns
+    found = ngram_jaccard_join(docs, width, share)
+    gone = stage(found.where("component_id is not null and not (doc_id <=> component_id)")
+                 .select(F.struct("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
+                       F.struct(F.col("doc_id").cast("bigint").alias("doc_id")).alias("id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("h"))
+    left = held.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti")
+    # repeated ids: the row of least text hash, by a small table of such ids
+    twice = stage(left.where("id.doc_id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+                  .where("n > 1").select(F.col("id").alias("twice"), "least"), "twice")
+    if twice.limit(1).count():
+        of = Window.partitionBy("id", "h").orderBy("h")
+        once = left.join(twice, F.col("id") == F.col("twice"), "left")
+        left = (once.where("twice is null").select("row")
+                .union(once.where("h = least").withColumn("k", F.row_number().over(of)).where("k = 1").select("row")))
+    return left.select(*[F.col("row").getField(n).alias(n) for n in names])
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents`` (5-word shingles, 0.75)."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))

@@ -60,6 +60,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self.size = self._tokenizer.get_vocab_size()
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._packed = TwoGenerationCache(self._pack, cache_entries)
         #: Token counts of pre-tokens, computed when first asked for.
