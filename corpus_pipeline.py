@@ -4,26 +4,55 @@
 sf_dir)`` and returns a DataFrame, which is written as Parquet and reread as
 the next stage's ``docs``. All stages but the last return the columns of
 ``documents``.
+
+Null texts, null ids, repeated rows, empty tables and extra columns are treated
+as each operator's docstring says; extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockbook.llm import packing
+from stockbook.llm import line_dedup as lines
+from stockbook.llm import mixing, packing, quality, shingle_join
 from stockbook.llm.common import stage, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents and drop those the classifier rejects."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that repeat or nearly repeat an earlier one; every document
+    stays, and ``n_chars`` follows the new text."""
+    return lines.with_lengths(lines.dedup_lines(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, that of least id."""
+    return shingle_join.keep_one(docs)
+
+
+def entropy_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents as often as the mix of sources asks for."""
+    return mixing.mix(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into training sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("entropy_mixing", entropy_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Tokenizing, training and iterating stages cannot be told in SQL; the stages
+#: Training, tokenizing and iterating stages cannot be told in SQL; the stages
 #: are tested against brute force instead.
 ORACLE_SQL = None
 
