@@ -4,9 +4,9 @@
 pre-tokens always give equal ids. ``Encoder`` splits with Python's ``re`` and
 asks ``tokenizers`` only for pre-tokens it has not seen. The split is used for
 texts whose code points all lie below U+0250, where the pattern's classes are
-spelled out (and tested against the library code point by code point). Any
-other text, and any text holding an added token's string, is encoded whole by
-``tokenizers``.
+spelled out (and tested against the library code point by code point); a
+pre-token's ids are those of the library's own merge model. Any other text, and
+any text holding an added token's string, is encoded whole by ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -29,6 +29,17 @@ PRETOKEN = re.compile(
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable Latin-1 byte stands for itself, the
+    others, in order, for the code points from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
@@ -60,18 +71,19 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self.size = self._tokenizer.get_vocab_size()
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._packed = TwoGenerationCache(self._pack, cache_entries)
+        self._packed = TwoGenerationCache(lambda p: _pack(self.pretoken(p)), cache_entries)
         #: Token counts of pre-tokens, computed when first asked for.
-        self.lengths = TwoGenerationCache(lambda p: len(self.whole(p)), cache_entries)
+        self.lengths = TwoGenerationCache(lambda p: len(self.pretoken(p)), cache_entries)
 
     def whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pack(self, text: str) -> bytes:
-        ids = self.whole(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def pretoken(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
 
     def splits(self, text: str) -> bool:
         """Whether the text is the concatenation of its pre-tokens here."""
@@ -80,10 +92,14 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.splits(text):
-            return self._pack(text)
+            return _pack(self.whole(text))
         return b"".join(map(self._packed.__getitem__, PRETOKEN.findall(text)))
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
