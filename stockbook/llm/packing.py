@@ -181,8 +181,9 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 1
                  .withColumn("spread", F.xxhash64("id", "kind")))
         total = int(counts.sum())
         ranges = -(-2 * total // rows_per_range)  # about as many gaps as documents
-        swept = (keyed.repartitionByRange(ranges, "key", "spread")
-                 .sortWithinPartitions("key", "kind", "size", "spread")
+        # what one task may hold at most is swept by one task
+        dealt = keyed.repartitionByRange(ranges, "key", "spread") if ranges > 1 else keyed.coalesce(1)
+        swept = (dealt.sortWithinPartitions("key", "kind", "size", "spread")
                  .select("kind", "id", "size", "key").mapInArrow(_sweep(capacity), _ROUND))
         rows = stage(swept, "round")
         done.append(rows.where(F.col("kind") == PLACED).select("id", "bin", "offset"))
