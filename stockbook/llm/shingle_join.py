@@ -16,15 +16,20 @@ agreeing one has elements, and the signatures of empty partitions, which very
 many sets would share, are left out. The few sets spread thinner than that
 also emit their empty partitions, so no link between two of them is lost.
 
-1. equal sets are one node (copies are never compared);
-2. signatures are sorted together; each node of a signature's group is paired
-   with the group's first node, the pairs are verified on the sets, and the
-   verified links give components;
-3. groups that still hold several components are compared inside in full:
-   bit-parity sketches give an exact lower bound on the difference, what
-   passes is verified, and at most one link per joined pair of components is
-   emitted. A group beyond ``BLOCK`` nodes is dealt to tasks in pairs of
-   blocks.
+1. equal sets are one node (copies are never compared). A node has a bit-parity
+   sketch: two sketches differ in no more places than the sets in elements;
+2. signatures are sorted together. Groups of less than ``HOT`` nodes give all
+   their pairs;
+3. linked sets agree in at least ``slack`` signatures, the number of used
+   partitions above k. A node with fewer hot signatures than slack therefore
+   meets every partner in a small group too, and leaves its hot groups. In a
+   hot group only the other nodes stay, and each is paired with the first one;
+4. pairs whose sketches differ too much are dropped, the rest are verified on
+   the sets, and the verified links give components;
+5. nodes that hot groups join, where they still are in several components, are
+   compared in full, by sketches and sets, and at most one link per joined pair
+   of components is emitted. More than ``BLOCK`` such nodes are dealt to tasks
+   in pairs of blocks.
 
 Every link between different components is found, so the components are those
 of all links. Shingles and sets are compared by 64-bit hashes.
@@ -48,7 +53,10 @@ from .components import connected_components
 
 WIDTH = 5
 SHARE = 75          # link when 100 * intersection >= SHARE * union
+HOT = 8             # nodes from which on a signature's group is hot
 BLOCK = 2048        # nodes compared in one task at a time
+SPACE_BITS = 6      # low bits of a signature: its space
+SIGNATURE_BITS = 48
 BROADCAST_NODES = 200_000
 _OUT_ROWS = 200_000
 
@@ -106,10 +114,11 @@ def spaces(size: int, share: int = SHARE) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(hashes: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """The set's PartEnum signatures over all its spaces (signed 64-bit)."""
+def signatures(hashes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The set's PartEnum signatures over all its spaces, and (space, slack)
+    of each space."""
     place, element = _mix(hashes, 1) >> np.uint64(32), _mix(hashes, 2)
-    out = []
+    out, slacks = [], []
     for space, k, partitions in spaces(len(hashes), share):
         p = ((place * np.uint64(partitions)) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(partitions, np.uint64)
@@ -118,8 +127,34 @@ def signatures(hashes: np.ndarray, share: int = SHARE) -> np.ndarray:
         used = np.unique(p)
         which = used if len(used) > k else np.arange(partitions)
         with np.errstate(over="ignore"):
-            out.append(_mix(sums[which] ^ _mix(np.uint64(space << 32) + which.astype(np.uint64), 3)))
-    return np.concatenate(out).astype(np.int64)
+            mixed = _mix(sums[which] ^ _mix(np.uint64(space << 32) + which.astype(np.uint64), 3))
+        out.append((mixed >> np.uint64(64 - SIGNATURE_BITS + SPACE_BITS) << np.uint64(SPACE_BITS)) | np.uint64(space))
+        slacks.append((space, len(used) - k))
+    return np.concatenate(out).astype(np.int64), slacks
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the elements hashed to 64 * 2**i places, about one or two
+    for each element."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    at = (_mix(hashes, 4) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` words: neighbouring places share a parity."""
+    while len(x) > size:
+        b = np.unpackbits(x.view(np.uint8))
+        x = np.packbits(b[0::2] ^ b[1::2]).view(np.uint64)
+    return x
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, share: int = SHARE) -> bool:
+    """Whether sets of sizes n, m with these sketches can link."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    differ = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+    return min(n, m) * 100 >= share * max(n, m) and differ <= (n + m) * (100 - share) // (100 + share)
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
@@ -130,20 +165,34 @@ def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, node)`` of every row; node null for empty sets."""
+def _sets(docs: DataFrame, width: int, share: int) -> DataFrame:
+    """``(doc_id, n_shingles, node, sketch, slacks)`` of every row; the last
+    three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node = [], []
+            n, node, sketches, slacks = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                                  names=["doc_id", "n_shingles", "node"])
+                sketches.append(sketch(s) if len(s) else None)
+                slacks.append([{"space": a, "slack": b} for a, b in _slacks(s, share)] if len(s) else None)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                                   pa.array(sketches, pa.binary()), pa.array(slacks, _SLACKS)],
+                                  names=["doc_id", "n_shingles", "node", "sketch", "slacks"])
+
+    return id_text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, "
+                                         "slacks array<struct<space:int,slack:int>>")
+
+
+_SLACKS = pa.list_(pa.struct([("space", pa.int32()), ("slack", pa.int32())]))
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+
+def _slacks(hashes: np.ndarray, share: int) -> list[tuple[int, int]]:
+    place = _mix(hashes, 1) >> np.uint64(32)
+    return [(space, len(np.unique((place * np.uint64(parts)) >> np.uint64(32))) - k)
+            for space, k, parts in spaces(len(hashes), share)]
 
 
 def _signature_rows(docs: DataFrame, width: int, share: int) -> DataFrame:
@@ -158,7 +207,7 @@ def _signature_rows(docs: DataFrame, width: int, share: int) -> DataFrame:
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                sigs.append(signatures(s, share))
+                sigs.append(signatures(s, share)[0])
                 nodes.append(np.full(len(sigs[-1]), node, np.int64))
                 n += len(nodes[-1])
                 if n > _OUT_ROWS:
@@ -172,29 +221,86 @@ def _signature_rows(docs: DataFrame, width: int, share: int) -> DataFrame:
     return id_text(docs).select("text").mapInArrow(run, "sig bigint, node bigint")
 
 
-def _first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node) to (sig, hub, node): each further distinct
-    node of a signature with the signature's first node."""
-    last_sig = last_node = hub = None
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, node) to (a, b, sig): all pairs (a, b, null) of a
+    small group, the members (node, null, sig) of a hot one. A group is held
+    until it ends or is known to be hot."""
+
+    def members(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(sig)], names=["a", "b", "sig"])
+
+    held_sig, held_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot, last = None, None       # the hot group under way and its last node
     for batch in batches:
-        sig = batch.column("sig").to_numpy(zero_copy_only=False)
-        node = batch.column("node").to_numpy(zero_copy_only=False)
+        sig = np.concatenate([held_sig, batch.column("sig").to_numpy(zero_copy_only=False)])
+        node = np.concatenate([held_node, batch.column("node").to_numpy(zero_copy_only=False)])
+        if not len(sig):
+            continue
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        fresh[0] = not (hot is not None and sig[0] == hot and node[0] == last)
+        sig, node = sig[fresh], node[fresh]
+        more = int(np.searchsorted(sig, hot, "right")) if hot is not None and len(sig) and sig[0] == hot else 0
+        if more:
+            yield members(sig[:more], node[:more])
+            last = node[more - 1]
+            sig, node = sig[more:], node[more:]
         if not len(sig):
+            held_sig, held_node = sig, node
             continue
-        start = np.ones(len(sig), bool)
-        start[1:] = sig[1:] != sig[:-1]
-        fresh = start.copy()
-        fresh[1:] |= node[1:] != node[:-1]
-        if last_sig is not None and sig[0] == last_sig:
-            start[0] = False
-            fresh[0] = node[0] != last_node
-        at = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-        hubs = np.where(at >= 0, node[np.maximum(at, 0)], hub if hub is not None else 0)
-        last_sig, last_node, hub = sig[-1], node[-1], hubs[-1]
-        keep = fresh & ~start
-        if keep.any():
-            yield pa.record_batch([pa.array(sig[keep]), pa.array(hubs[keep]), pa.array(node[keep])],
-                                  names=["sig", "hub", "node"])
+        hot = None
+        end = int(np.searchsorted(sig, sig[-1], "left"))
+        held_sig, held_node = sig[end:], node[end:]
+        if len(held_sig) >= HOT:
+            yield members(held_sig, held_node)
+            hot, last = held_sig[0], held_node[-1]
+            held_sig, held_node = held_sig[:0], held_node[:0]
+        yield from _small_groups(sig[:end], node[:end], members)
+    yield from _small_groups(held_sig, held_node, members)
+
+
+def _small_groups(sig: np.ndarray, node: np.ndarray, members) -> Iterator[pa.RecordBatch]:
+    """Whole groups: pairs of the small ones, members of the others."""
+    if not len(sig):
+        return
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig))).repeat(np.diff(np.append(first, len(sig))))
+    big = size >= HOT
+    if big.any():
+        yield members(sig[big], node[big])
+    sig, node = sig[~big], node[~big]
+    pairs = [np.stack([node[:-d], node[d:]], 1)[sig[:-d] == sig[d:]] for d in range(1, min(HOT - 1, len(sig) - 1) + 1)]
+    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    if len(pairs):
+        yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()),
+                               pa.nulls(len(pairs), pa.int64())], names=["a", "b", "sig"])
+
+
+def _stay_hot(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows ``(sig, node)`` of hot groups whose node has at least as many
+    hot signatures in their space as its slack there."""
+    space = F.col("sig").bitwiseAND(F.lit((1 << SPACE_BITS) - 1)).cast("int")
+    hot = hot.withColumn("space", space)
+    slack = nodes.select("node", F.explode("slacks").alias("s")).select("node", "s.space", "s.slack")
+    stays = (hot.groupBy("node", "space").agg(F.count(F.lit(1)).alias("n")).join(slack, ["node", "space"])
+             .where("n >= slack").select("node", "space"))
+    return hot.join(stays, ["node", "space"]).select("sig", "node")
+
+
+def _sift(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """Pairs that may link by size and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
+            ok = pa.array([may_link(x, y, n, m, share) for x, y, n, m in zip(*cols, strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
+
+    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n"))
+    two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m"))
+    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * share
+    return (pairs.join(one, "a").join(two, "b").where(close).select("a", "b", "x", "y", "n", "m")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -291,23 +397,20 @@ def _compare_group(share: int):
     return run
 
 
-def _remaining_groups(links: DataFrame, components: DataFrame) -> DataFrame:
-    """``(group, node, component)`` of signature groups of three or more nodes
-    in several components, equal groups once, large ones in pairs of blocks."""
-    members = (links.select("sig", "node").union(links.select("sig", F.col("hub").alias("node"))).distinct()
-               .join(components, "node", "left")
-               .select("sig", "node", F.coalesce("component", "node").alias("component")))
-    members = stage(members, "members")
-    groups = (members.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
-        .where("n >= 3 and lo <> hi").groupBy("n", "content").agg(F.min("sig").alias("sig")))
-    rows = members.join(groups.select("sig", "n"), "sig")
+def _remaining_groups(starred: DataFrame, components: DataFrame) -> DataFrame:
+    """``(group, node, component)``: nodes joined by hot groups, however many
+    groups join them, where they are in several components; large ones in pairs
+    of blocks. Any two nodes of one hot group are in one group here."""
+    joined = connected_components(starred).withColumnRenamed("component", "cluster")
+    members = stage(joined.join(components, "node", "left")
+                    .select("cluster", "node", F.coalesce("component", "node").alias("component")), "members")
+    split = (members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
+                                            F.max("component").alias("hi")).where("lo <> hi"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-            .select(F.struct("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
+    return (members.join(split.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(F.struct("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
                     .alias("group"), "node", "component"))
 
 
@@ -320,15 +423,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE)
     takes part in links but is never the smallest (a component of null ids has
     a null ``component_id``); other columns are ignored.
     """
-    sets = stage(_sets(docs, width), "sets")
+    sets = stage(_sets(docs, width, share), "sets")
+    nodes = stage(sets.where("node is not null").select("node", "n_shingles", "sketch", "slacks")
+                  .dropDuplicates(["node"]), "nodes")
     rows = _signature_rows(docs, width, share).repartition("sig").sortWithinPartitions("sig", "node")
-    links = stage(rows.mapInArrow(_first_links, "sig bigint, hub bigint, node bigint"), "links")
-    pairs = stage(links.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    hashes = stage(_node_sets(docs, stage(nodes, "nodes"), width), "hashes")
+    met = stage(rows.mapInArrow(_meet, "a bigint, b bigint, sig bigint"), "met")
+    hot = stage(_stay_hot(met.where("sig is not null").select("sig", F.col("a").alias("node")), nodes), "hot")
+    hubs = hot.groupBy("sig").agg(F.min("node").alias("a"))
+    starred = stage(hot.join(hubs, "sig").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "starred")
+    pairs = met.where("sig is null").select("a", "b").union(starred).distinct()
+    pairs = stage(_sift(pairs, nodes, share), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    hashes = stage(_node_sets(docs, stage(wanted, "wanted"), width), "hashes")
     found = stage(_verify(pairs, hashes, share), "found")
     components = connected_components(found)
-    groups = stage(_remaining_groups(links, components), "groups")
+    groups = stage(_remaining_groups(starred, components), "groups")
     if groups.limit(1).count():
         more = (groups.join(hashes, "node").groupBy("group")
                 .applyInPandas(_compare_group(share), "a bigint, b bigint"))
