@@ -208,9 +208,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             .select(*[F.col("row").getField(n).alias(n) for n in names]))
 
 
-def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that a mix with the standard weights takes of ``documents``."""
-    mixed = balance(table(spark, sf_dir, "documents"))
+def op3_columns(mixed: DataFrame) -> DataFrame:
+    """One row per row of the documents, with the words taken of it."""
     return (mixed.select("doc_id", "source", "size", "source_size", "target", "copies",
                          (F.col("copies") * F.col("size")).alias("taken"),
                          F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("k")).drop("k"))
+
+
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix with the standard weights takes of ``documents``."""
+    return op3_columns(balance(table(spark, sf_dir, "documents")))

@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     path = vocabulary or tokens.vocabulary_path()
     spark = docs.sparkSession
     enc = tokens.Encoder(path, 1)
-    frequent = {p: len(enc.whole(p)) for p in frequent_pretokens(docs, per_task, table_size)}
+    frequent = {p: len(enc.pretoken(p)) for p in frequent_pretokens(docs, per_task, table_size)}
     lengths = spark.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
