@@ -28,7 +28,8 @@ from .common import stage, table
 
 MIN_CHARS = 20
 EDITS = 2
-PARITY_BITS = 24
+PARITY_CHARS = "etaoinsrhdlucmfwgypbvkz."   # one byte each
+PARITY_BITS = len(PARITY_CHARS)
 KEY_BITS = 48
 BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
@@ -115,10 +116,13 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
 
 
 def parity(line: Column) -> Column:
-    """Parity of the characters, by code point modulo PARITY_BITS."""
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("bigint"),
-                       lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"),
-                                                                 (F.ascii(c) % PARITY_BITS).cast("int"))))
+    """Parity of how often each of PARITY_CHARS occurs, one bit each. An edit
+    changes at most two of them."""
+    bits = F.lit(0).cast("bigint")
+    for i, c in enumerate(PARITY_CHARS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        bits = bits + count.bitwiseAND(F.lit(1)).cast("bigint") * (1 << i)
+    return bits
 
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
