@@ -68,8 +68,12 @@ def php_number(c) -> Column:
 
 
 def php_int(c) -> Column:
-    """(int) of a string: '2.7'->2, '3abc'->3, '1e3'->1000, ''->0, NULL->0."""
-    return F.coalesce(php_number(c).try_cast("bigint"), F.lit(0)).cast("bigint")
+    """(int) of a string: '2.7'->2, '3abc'->3, '1e3'->1000, ''->0, NULL->0.
+    Whole numbers do not pass through double; beyond bigint they saturate."""
+    txt = F.regexp_extract(col(c).cast("string"), _PHP_NUMERIC_PREFIX, 1)
+    limit = F.when(txt.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
+    return (F.when(txt.rlike("^[+-]?[0-9]+$"), F.coalesce(txt.try_cast("bigint"), limit))
+            .otherwise(F.coalesce(php_number(c).try_cast("bigint"), F.lit(0))).cast("bigint"))
 
 
 def fmt_sale_date(c) -> Column:
@@ -133,10 +137,6 @@ def date_between(c, date_from, date_to) -> Column:
     return sale_day(c).between(lo, hi)
 
 
-def month_start(as_of) -> Column:
-    return F.trunc(F.lit(as_of).try_cast("date"), "MM")
-
-
 # ----------------------------------------------------------------------------
 # Stock arithmetic
 # ----------------------------------------------------------------------------
@@ -238,9 +238,11 @@ def is_container_unit(unit, case_sensitive: bool = False) -> Column:
 
 
 def sale_number(day, n, width: int = 8) -> Column:
-    """'SALE' + yyyymmdd + zero-padded per-day number (20 characters)."""
+    """'SALE' + yyyymmdd + per-day number, zero-padded to ``width`` (20
+    characters); a longer number is kept whole."""
+    text = col(n).cast("string")
     return F.concat(F.lit(SALE_PREFIX), F.date_format(col(day), "yyyyMMdd"),
-                    F.lpad(col(n).cast("string"), width, "0"))
+                    F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))
 
 
 def money(c) -> Column:

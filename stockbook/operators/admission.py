@@ -13,8 +13,9 @@ fixed point of set operations:
 * a unit whose rows all fit under the upper bound is admitted; a unit with a
   row that fails under the lower bound is rejected; others stay undecided;
 * the next round keeps, per resource, only the rows from its first
-  undecided unit on; what admitted units before that point took is final
-  and carried as one number per resource (``_base``). Rounds therefore
+  undecided unit on, without those of rejected units (they take nothing);
+  what admitted units before that point took is final and carried as one
+  number per resource (``_base``). Rounds therefore
   shrink to the contended tails instead of rescanning every row;
 * each round runs ``PASSES_PER_ROUND`` passes of the bounds before the
   active rows are written again, so checkpoint writes are fewer than passes.
@@ -110,7 +111,7 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
         moved = (upd.where((F.col(seq) < F.col("_front")) & (F.col("_st") == ADMITTED))
                  .groupBy(*res_keys).agg(F.sum("_take").alias("_moved")))
         act = cut_lineage(
-            upd.where(F.col(seq) >= F.col("_front")).join(moved, res_keys, "left")
+            upd.where((F.col(seq) >= F.col("_front")) & (F.col("_st") != REJECTED)).join(moved, res_keys, "left")
             .withColumn("_base", F.col("_base") + F.coalesce(F.col("_moved"), F.lit(0)).cast("bigint"))
             .drop("_front", "_moved"))
         if len(decided) >= 16:

@@ -152,6 +152,11 @@ def _keyed_update(products: DataFrame, changes: DataFrame, columns: dict[str, st
     return j.select(*out)
 
 
+def _in_int(c: str) -> F.Column:
+    """Whether a value fits the stock columns."""
+    return F.col(c).between(-(1 << 31), (1 << 31) - 1)
+
+
 def quick_add_guard(additions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The quick-add form refuses a request adding nothing (0 containers and
     0 loose pieces). Returns (requests to send, refused requests)."""
@@ -163,12 +168,14 @@ def restock(products: DataFrame, additions: DataFrame, now=None,
             quick_add: bool = False) -> tuple[DataFrame, DataFrame]:
     """Add containers and loose pieces to existing products (not
     normalised); unknown ids are ignored. With ``quick_add`` the requests
-    adding nothing are dropped first, as that form does. Returns
-    (products_after, report with the new total pieces per product)."""
+    adding nothing are dropped first, as that form does. Requests beyond the
+    columns' range are refused; so are all of a product's whose sum is. Returns
+    (products_after, report with the new total pieces per changed product)."""
     if quick_add:
         additions, _refused = quick_add_guard(additions)
     a = additions.select(X.php_int("product_id").alias("product_id"),
                          X.php_int("containers").alias("c"), X.php_int("loose").alias("l"))
+    a = a.where(_in_int("c") & _in_int("l"))    # the database refuses any other value
     sums = a.groupBy("product_id").agg(F.sum("c").alias("_dc"), F.sum("l").alias("_dl"), F.count(F.lit(1)).alias("requests"))
     p = products.select(F.col("id").cast("bigint").alias("product_id"), X.eff_ppc().alias("_ppc"),
                         F.coalesce(F.col("container_quantity").cast("bigint"), F.lit(0)).alias("_c0"),
@@ -177,6 +184,7 @@ def restock(products: DataFrame, additions: DataFrame, now=None,
         "product_id", "requests",
         (F.col("_c0") + F.col("_dc")).alias("container_quantity_new"),
         (F.col("_l0") + F.col("_dl")).alias("loose_pieces_new"), "_ppc")
+    ch = ch.where(_in_int("container_quantity_new") & _in_int("loose_pieces_new"))
     report = ch.select("product_id", "requests", F.col("container_quantity_new").alias("container_quantity"),
                        F.col("loose_pieces_new").alias("loose_pieces"),
                        (F.col("container_quantity_new") * F.col("_ppc") + F.col("loose_pieces_new")).alias("total_pieces"))
@@ -190,6 +198,7 @@ def set_stock(products: DataFrame, changes: DataFrame, now=None) -> tuple[DataFr
     wins; unknown ids change nothing."""
     c = changes.select("seq", X.php_int("product_id").alias("product_id"),
                        X.php_int("containers").alias("c"), X.php_int("loose").alias("l"))
+    c = c.where(_in_int("c") & _in_int("l"))    # the database refuses any other value
     last = c.groupBy("product_id").agg(F.max_by(F.struct("c", "l"), "seq").alias("_v"),
                                        F.count(F.lit(1)).alias("requests"))
     known = last.join(products.select(F.col("id").cast("bigint").alias("product_id")), "product_id", "left_semi")

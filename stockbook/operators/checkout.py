@@ -132,7 +132,10 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
         "*",
         F.when(F.col("_pid").isNull(), F.lit(SELECT_PRODUCT))
          .when(F.col("quantity").isNull() | (F.col("quantity") < 1), F.lit(VALID_QUANTITY)).alias("_static"),
-        F.when(cont, F.col("quantity") * F.col("ppc")).otherwise(F.col("quantity")).alias("pieces_needed"),
+        # a need beyond bigint is certainly refused, like the largest one
+        F.when(cont, F.coalesce((F.col("quantity").cast("decimal(20,0)") * F.col("ppc").cast("decimal(18,0)"))
+                                .try_cast("bigint"), F.lit((1 << 62) - 1)))
+         .otherwise(F.col("quantity")).alias("pieces_needed"),
         F.when(cont, F.col("unit_price") * F.col("ppc").cast("decimal(20,0)"))
          .otherwise(F.col("unit_price")).alias("display_price"),
     ))
@@ -170,7 +173,8 @@ def cart_preview_totals(preview: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 @dataclass
 class CheckoutResult:
-    decisions: DataFrame   # cart_id, accepted, reason, sale_id, sale_number, total_amount, rounds
+    decisions: DataFrame   # one row per posted cart: cart_id, accepted, reason, sale_id, sale_number,
+                           # total_amount, rounds (admission passes; 0 for carts without a valid line)
     sales: DataFrame       # new sale headers
     sale_items: DataFrame  # new sale lines
     stock: DataFrame       # product_id, container_quantity, loose_pieces, updated_at (changed products)
@@ -179,6 +183,17 @@ class CheckoutResult:
     last_item_id: int = 0  # largest sale item id after this batch
 
 
+def _pieces(container) -> F.Column:
+    """Pieces a line takes from the stock. A line asking for more than the
+    stock is refused whatever was sold before it and takes nothing; the stock
+    never falls below 0, so a line takes at most the stock. Both keep sums far
+    from overflow; the product is computed as a decimal."""
+    asked = F.col("quantity").cast("decimal(20,0)") * F.when(container, F.col("ppc")).otherwise(1).cast("decimal(18,0)")
+    stock = F.col("stock").cast("decimal(38,0)")
+    return (F.when(F.col("quantity") > F.col("stock"), 0)
+            .otherwise(F.greatest(F.lit(0), F.least(asked, stock))).cast("bigint"))
+
+
 def _max_id(df: DataFrame | None, c: str) -> int:
     """Largest id so far (0 when none): one number read on the driver."""
     if df is None:
@@ -200,7 +215,15 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     saves scanning the id columns. Returns a :class:`CheckoutResult`;
     nothing is written.
     """
-    order = order_position(carts, ["ts", "cart_id"], "seq")
+    if id_base is None:
+        base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")
+    else:
+        base_sale, base_item = int(id_base[0]), int(id_base[1])
+    # a cart without a time is sold now; ``seq`` identifies a cart from here on,
+    # since one cart_id may be posted twice
+    timed = carts.withColumn("ts", F.coalesce("ts", F.current_timestamp().cast(carts.schema["ts"].dataType)))
+    order = (order_position(timed, ["ts", "cart_id"], "seq")
+             .withColumnRenamed("cart_id", "_posted_id").withColumn("cart_id", F.col("seq")))
     parsed = parse_payloads(order, keep=("seq", "ts"))
     p = _product_side(products)
     l = parsed.join(p, F.col("product_id") == p["_pid"], "left")
@@ -210,7 +233,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         "ppc", "stock",
         F.when(~F.col("line_ok"), F.lit(INVALID_ITEM))
          .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)).alias("_static"),
-        F.when(cont, F.col("quantity") * F.col("ppc")).otherwise(F.col("quantity")).alias("pieces"),
+        _pieces(cont).alias("pieces"),
     ))
     l, empty = split_payloads(l)
     # a header or line amount beyond DECIMAL(10,2) fails its INSERT, which
@@ -247,8 +270,6 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                                           F.when(F.col("quantity") > F.col("available"), stock_msg)))
     reasons = (lv.where(F.col("_err").isNotNull()).groupBy("cart_id")
                .agg(F.min_by("_err", "line_pos").alias("reason")))
-    rounds = adm.agg(F.max("rounds")).first()[0] or 0
-
     acc = adm.where("admitted").select("cart_id")
     acc_lines = reuse(l.join(acc, "cart_id", "left_semi").withColumn(
         "total_price", (F.col("unit_price") * F.col("quantity").cast("decimal(20,0)")).cast("decimal(10,2)")))
@@ -264,17 +285,13 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                         chunk_rows if chunk_rows else scan_plan(heads, []), inclusive=False)
     heads = heads.withColumn("_day", F.to_date("ts"))
     day_first = heads.groupBy("_day").agg(F.min("_before").alias("_day_first"))
-    if id_base is None:
-        base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")
-    else:
-        base_sale, base_item = int(id_base[0]), int(id_base[1])
     counts = heads.agg(F.count(F.lit(1)).alias("n"), F.sum("_nlines").alias("lines"),
                        F.min("_day").alias("lo"), F.max("_day").alias("hi")).first()
     if sales is not None and counts["n"]:
         days = in_days(sales, counts["lo"].isoformat(), counts["hi"].isoformat())
-        nums = (days.where((F.length("sale_number") == 20) & F.col("sale_number").startswith(X.SALE_PREFIX))
+        nums = (days.where((F.length("sale_number") >= 20) & F.col("sale_number").startswith(X.SALE_PREFIX))
                 .select(F.to_date(F.substring("sale_number", 5, 8), "yyyyMMdd").alias("_day"),
-                        F.substring("sale_number", 13, 8).try_cast("bigint").alias("_n"))
+                        F.substring("sale_number", 13, 19).try_cast("bigint").alias("_n"))
                 .groupBy("_day").agg(F.max("_n").alias("_day_used")))
         nums = nums.join(day_first.select("_day"), "_day", "left_semi")
     else:
@@ -283,7 +300,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     heads = heads.select(
         "cart_id", "seq", "ts", "total_amount", "_lines_before",
         F.lit(base_item).cast("bigint").alias("_bi"),
-        (F.lit(base_sale) + F.col("_before") + 1).cast("int").alias("sale_id"),
+        (F.lit(base_sale) + F.col("_before") + 1).cast("bigint").alias("sale_id"),
         X.sale_number("_day", F.coalesce(F.col("_day_used"), F.lit(0)) + F.col("_before") - F.col("_day_first") + 1)
         .alias("sale_number"))
     heads = reuse(heads)
@@ -314,18 +331,17 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         "updated_at")
     new_products = apply_stock(products, stock)
 
-    decisions = (order.select("cart_id", "seq")
-                 .join(adm.select("cart_id", "admitted"), "cart_id", "left")
+    decisions = (order.select("cart_id", "_posted_id")
+                 .join(adm.select("cart_id", "admitted", "rounds"), "cart_id", "left")
                  .join(empty, "cart_id", "left")
                  .join(reasons.withColumnRenamed("reason", "_r"), "cart_id", "left")
                  .join(too_big, "cart_id", "left")
-                 .join(heads.select("cart_id", "sale_id", "sale_number", "total_amount"), "cart_id", "left")
-                 .withColumn("rounds", F.lit(int(rounds))))
+                 .join(heads.select("cart_id", "sale_id", "sale_number", "total_amount"), "cart_id", "left"))
     ok = F.coalesce(F.col("admitted"), F.lit(False))
     decisions = decisions.select(
-        "cart_id", ok.alias("accepted"),
+        F.col("_posted_id").alias("cart_id"), ok.alias("accepted"),
         F.when(~ok, F.coalesce(F.col("reason"), F.col("_r"), F.col("_insert_error"))).alias("reason"),
-        "sale_id", "sale_number", "total_amount", "rounds")
+        "sale_id", "sale_number", "total_amount", F.coalesce("rounds", F.lit(0)).alias("rounds"))
     return CheckoutResult(decisions, new_sales, new_items, stock, new_products,
                           base_sale + int(counts["n"] or 0), base_item + int(counts["lines"] or 0))
 

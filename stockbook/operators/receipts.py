@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sales import in_days, item_counts_for
+from .sales import in_days, item_counts_for, today
 
 
 def _clean_term(q) -> str | None:
@@ -49,24 +49,29 @@ def receipts_by_date(sales: DataFrame, items: DataFrame, day=None) -> DataFrame:
     """Sales made on ``day`` (default: today, the "View Today" button); a
     term that is not a date finds nothing."""
     if day is None:
-        import datetime as _dt
-        day = _dt.date.today().isoformat()
+        day = today()
     t = _clean_term(day)
     sel = _none(sales) if t is None else in_days(sales, t, t)
     return _newest_first(_listing(sel, items))
 
 
-def receipts_by_amount(sales: DataFrame, items: DataFrame, amount) -> DataFrame:
-    """Sales whose amount equals ``amount``; a non-numeric term finds nothing."""
-    t = _clean_term(amount)
+def _amount(term: str | None) -> Decimal | None:
+    """The term as an amount a sale can have, else None: not a number, beyond
+    the column's range, or with more than two decimals."""
     try:
-        val = Decimal(t) if t is not None else None
+        val = Decimal(term) if term is not None and "_" not in term else None
     except InvalidOperation:
         val = None
-    if val is None or not val.is_finite():
-        sel = _none(sales)
-    else:
-        sel = sales.where(F.col("total_amount") == F.lit(val))
+    if val is None or not val.is_finite() or abs(val) >= 10**8 or val.adjusted() < -2 and val != 0:
+        return None
+    cents = val.quantize(Decimal("0.01"))
+    return cents if cents == val else None
+
+
+def receipts_by_amount(sales: DataFrame, items: DataFrame, amount) -> DataFrame:
+    """Sales whose amount equals ``amount``; a non-numeric term finds nothing."""
+    val = _amount(_clean_term(amount))
+    sel = _none(sales) if val is None else sales.where(F.col("total_amount") == F.lit(val))
     return _newest_first(_listing(sel, items))
 
 

@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
+def today() -> str:
+    """The session's current day (sessions are pinned to UTC)."""
+    return _dt.datetime.now(_dt.timezone.utc).date().isoformat()
+
+
 def _as_date_text(d) -> str:
     if d is None:
-        return _dt.date.today().isoformat()
+        return today()
     if isinstance(d, (_dt.date, _dt.datetime)):
         return d.strftime("%Y-%m-%d")
     return str(d)
@@ -120,8 +125,8 @@ def dashboard_kpis(products: DataFrame, sales: DataFrame, as_of=None) -> DataFra
     day_text = _as_date_text(as_of)
     p = products.agg(F.count(F.lit(1)).alias("total_products"),
                      F.count_if(X.dashboard_low_stock()).alias("low_stock"))
-    today = in_days(sales, day_text, day_text)
-    s = today.agg(F.count(F.lit(1)).alias("today_sales"),
+    of_day = in_days(sales, day_text, day_text)
+    s = of_day.agg(F.count(F.lit(1)).alias("today_sales"),
                   F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(20,2)")).alias("today_revenue"))
     # both sides are one-row aggregates; joined on a constant key
     return (p.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k")

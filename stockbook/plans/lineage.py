@@ -24,4 +24,17 @@ def reuse(df: DataFrame) -> DataFrame:
     disk). Only for results whose lineage is shallow and starts at a
     checkpoint or at the input tables: a lost block is recomputed from there,
     and the recomputation gives the same rows."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
+
+
+#: What ``reuse`` keeps in memory until ``release``.
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the results that ``reuse`` kept so far (they only save
+    recomputation). Tables a user cached are not touched."""
+    while _kept:
+        _kept.pop().unpersist()

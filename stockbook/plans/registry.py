@@ -20,6 +20,7 @@ from ..operators import receipts as rc
 from ..operators import sales as sl
 from ..sources import testmap as tm
 from ..sources.testmap import with_ctes
+from .lineage import release
 
 # Parameters of the registered queries (FIXTURES.md §B).
 AS_OF = "1997-01-15"
@@ -41,7 +42,7 @@ def register(name: str, sql: str | None = None):
             # results kept in memory by earlier queries are not needed any
             # more (they only save recomputation), so one long session
             # running every query does not pile them up
-            spark.catalog.clearCache()
+            release()
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run

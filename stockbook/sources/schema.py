@@ -73,7 +73,7 @@ PRODUCTS = TableDef(
 SALES = TableDef(
     "sales",
     (
-        Column("id", T.IntegerType(), False),
+        Column("id", T.LongType(), False),
         Column("sale_number", T.StringType(), False, max_length=20),
         Column("total_amount", MONEY, False),
         Column("sale_date", T.TimestampType()),
@@ -90,7 +90,7 @@ SALE_ITEMS = TableDef(
     "sale_items",
     (
         Column("id", T.LongType(), False),
-        Column("sale_id", T.IntegerType(), False),
+        Column("sale_id", T.LongType(), False),
         Column("product_id", T.IntegerType(), False),
         Column("quantity_sold", T.IntegerType(), False),
         Column("unit_type", T.StringType(), True, "piece", 50),

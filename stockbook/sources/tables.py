@@ -5,7 +5,9 @@ Layout under one root folder (shared storage on a cluster)::
     <root>/products/batch=<b>/...   full snapshot written by batch b
     <root>/sales/batch=<b>/...      rows appended by batch b
     <root>/sale_items/batch=<b>/... rows appended by batch b
-    <root>/_commits/<b>              marker, written last
+    <root>/_commits/<b>[.<origin>]   marker, written last; <origin> names what
+                                     was published (a stream's batch), so a
+                                     replay finds it under any number
 
 A batch is visible only once its marker exists, so the header, lines and
 stock of a checkout appear together or not at all; a replayed batch whose
@@ -20,6 +22,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schema import PRODUCTS, SALE_ITEMS, SALES, TableDef
 
@@ -53,25 +56,37 @@ class TableStore:
         fs, p = self._fs(f"{self.root}/_commits")
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
+        return sorted(self._markers())
+
+    def _markers(self) -> dict[int, str]:
+        """Marker names by batch number."""
+        fs, p = self._fs(f"{self.root}/_commits")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(n.partition(".")[0]): n for n in names if n.partition(".")[0].isdigit()}
 
     def is_committed(self, batch: int) -> bool:
-        fs, p = self._fs(f"{self.root}/_commits/{int(batch)}")
-        return fs.exists(p)
+        return int(batch) in self._markers()
+
+    def has_origin(self, origin: str) -> bool:
+        """Whether a batch of this origin was published, under any number."""
+        return any(n.partition(".")[2] == origin for n in self._markers().values())
 
-    def _commit(self, batch: int, meta: dict | None = None) -> None:
-        fs, p = self._fs(f"{self.root}/_commits/{int(batch)}")
+    def next_batch(self) -> int:
+        return max(self._markers(), default=-1) + 1
+
+    def _commit(self, batch: int, meta: dict | None = None, origin: str | None = None) -> None:
+        fs, p = self._fs(f"{self.root}/_commits/{int(batch)}" + (f".{origin}" if origin else ""))
         out = fs.create(p, True)
         out.write(bytearray(json.dumps(meta or {}).encode()))
         out.close()
 
     def meta(self, batch: int | None = None) -> dict:
         """The small record kept with a published batch (default: the latest)."""
-        done = self.committed()
+        done = self._markers()
         if not done:
             return {}
-        b = done[-1] if batch is None else int(batch)
-        line = self.spark.read.text(f"{self.root}/_commits/{b}").first()
+        b = max(done) if batch is None else int(batch)
+        line = self.spark.read.text(f"{self.root}/_commits/{done[b]}").first()
         return json.loads(line[0]) if line and line[0] else {}
 
     # -- reads --
@@ -82,8 +97,10 @@ class TableStore:
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return None
-        df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
-        return df, done
+        schema = T.StructType([*tdef.struct.fields, T.StructField("batch", T.IntegerType())])
+        if name == "sales":
+            schema = schema.add("sale_month", T.StringType())
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}"), done
 
     def products(self) -> DataFrame | None:
         r = self._read("products", PRODUCTS)
@@ -107,16 +124,25 @@ class TableStore:
         # sales keep their month partition column, so date filters of the
         # reports (``operators.sales.in_days``) prune month folders
         extra = ["sale_month"] if name == "sales" else []
-        return df.where(F.col("batch").isin(done)).select(*tdef.names, *extra)
+        # committed numbers are 0..last but for the few that failed
+        gaps = sorted(set(range(done[-1] + 1)) - set(done))
+        seen = F.col("batch") <= done[-1]
+        return df.where(seen & ~F.col("batch").isin(gaps) if gaps else seen).select(*tdef.names, *extra)
 
     # -- writes --
     def publish(self, batch: int, products: DataFrame | None = None,
-                appends: dict[str, DataFrame] | None = None, meta: dict | None = None) -> bool:
+                appends: dict[str, DataFrame] | None = None, meta: dict | None = None,
+                origin: str | None = None) -> bool:
         """Write one batch and publish it; False when it was already
-        published (a replay). Folders of an unpublished attempt are
-        overwritten by the retry."""
-        if self.is_committed(batch):
+        published (a replay). What an unpublished attempt left in the batch's
+        folders is removed first, so the retry's rows are all there is. The
+        record ``meta`` continues that of the batch before."""
+        if self.is_committed(batch) or origin is not None and self.has_origin(origin):
             return False
+        for name in ("products", *APPEND_TABLES):
+            fs, p = self._fs(f"{self.root}/{name}/batch={int(batch)}")
+            fs.delete(p, True)
+        meta = self.meta() | (meta or {})
         for name, df in (appends or {}).items():
             w = df.withColumn("batch", F.lit(int(batch)))
             parts = ["batch"]
@@ -128,7 +154,7 @@ class TableStore:
         if products is not None:
             (products.withColumn("batch", F.lit(int(batch))).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/products"))
-        self._commit(batch, meta)
+        self._commit(batch, meta, origin)
         return True
 
 

@@ -55,7 +55,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(c, o.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left")
     k = F.col("o_orderkey")
     return j.select(
-        (k + 1).cast("int").alias("id"),
+        (k + 1).cast("bigint").alias("id"),
         F.concat(F.lit("SALE"), F.date_format("o_orderdate", "yyyyMMdd"),
                  F.lpad(k.cast("string"), 8, "0")).alias("sale_number"),
         F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),

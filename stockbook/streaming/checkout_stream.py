@@ -4,9 +4,9 @@ against the stock left by all earlier micro-batches.
 ``readStream`` (JSON lines or Parquet files of carts) -> ``foreachBatch``:
 the batch job (``operators.checkout.checkout``) runs on the micro-batch with
 the latest published products, sales and sale items, and the three outputs
-are published together under the micro-batch id (``sources.tables``). A
-micro-batch that is replayed after a failure finds its commit marker and is
-skipped, so the outputs are exactly-once. Within a micro-batch carts are
+are published together as the store's next batch, marked with the micro-batch id
+(``sources.tables``). A micro-batch that is replayed after a failure finds its
+marker and is skipped, so the outputs are exactly-once. Within a micro-batch carts are
 ordered by (ts, cart_id); across micro-batches by arrival.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checkout import checkout
+from ..plans.lineage import release
 from ..sources.schema import CARTS
 from ..sources.tables import TableStore
 
@@ -35,18 +36,21 @@ def seed_store(store: TableStore, products: DataFrame, sales: DataFrame | None =
 
 def process_batch(store: TableStore, carts: DataFrame, batch_id: int) -> bool:
     """Sell one micro-batch; returns False when it was published before."""
-    batch = int(batch_id) + 1          # batch 0 holds the seed tables
-    if store.is_committed(batch) or carts.isEmpty():
+    # batches are numbered by the store, which maintenance publishes to as well;
+    # the marker's origin tells which micro-batch a batch is
+    origin = f"stream-{int(batch_id)}"
+    if store.has_origin(origin) or carts.isEmpty():
         return False
-    last = store.meta()
+    batch, last = store.next_batch(), store.meta()
+    known = "last_sale_id" in last and "last_item_id" in last
     res = checkout(carts, store.products(), store.appended("sales"), store.appended("sale_items"),
-                   id_base=(last.get("last_sale_id", 0), last.get("last_item_id", 0)))
+                   id_base=(last["last_sale_id"], last["last_item_id"]) if known else None)
     done = store.publish(batch, products=res.products,
                          appends={"sales": res.sales, "sale_items": res.sale_items},
-                         meta={"last_sale_id": res.last_sale_id, "last_item_id": res.last_item_id})
+                         meta={"last_sale_id": res.last_sale_id, "last_item_id": res.last_item_id}, origin=origin)
     # the batch is on disk now: drop what its jobs kept in memory, so a
     # long-running stream does not pile up cached blocks
-    carts.sparkSession.catalog.clearCache()
+    release()
     return done
 
 
