@@ -455,11 +455,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE)
 def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """``docs``, all columns, without the documents that have a link to one of
     smaller id, directly or over others. Of rows with one doc_id one stays
-    (texts compared by hash); rows without doc_id stay unless their component
-    has an id."""
+    (texts compared by hash); rows without doc_id cannot be told apart and stay."""
     names = docs.columns
     found = ngram_jaccard_join(docs, width, share)
-    gone = stage(found.where("component_id is not null and not (doc_id <=> component_id)")
+    gone = stage(found.where("doc_id <> component_id")
                  .select(F.struct("doc_id").alias("gone_id")).distinct(), "gone")
     few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
