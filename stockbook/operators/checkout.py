@@ -110,7 +110,7 @@ def js_parse_int(c) -> F.Column:
     return F.when(m == "", F.lit(None).cast("bigint")).otherwise(m.try_cast("bigint"))
 
 
-def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def cart_preview(carts: DataFrame, products: DataFrame) -> DataFrame:
     """Each posted line replayed through the browser's "add item" button.
 
     A line is refused if its product is not in the picker, its quantity is
@@ -119,46 +119,52 @@ def cart_preview(carts: DataFrame, products: DataFrame, chunk_rows: int | None =
     Container units (case-sensitive test) need qty * ppc pieces and show the
     price * ppc. Returns one row per line with ``accepted``, ``reason``,
     ``pieces_needed``, ``display_price``, ``line_total``.
+
+    All lines of a cart come from one payload, so the lines of a (cart,
+    product) are few: they are gathered in order and folded once.
     """
-    lines, _empty = parse_carts(carts)
+    one = carts.withColumn("_cart", F.monotonically_increasing_id())   # a cart_id may be posted twice
+    lines, _empty = split_payloads(parse_payloads(one, keep=("_cart",)))
     qty = js_parse_int(F.col("quantity_text"))
     pid = js_parse_int(F.col("product_id_text"))
     unit = F.when(F.col("unit_type") == "", F.lit("pieces")).otherwise(F.col("unit_type"))
     p = _product_side(products)
-    l = (lines.select("cart_id", "line_pos", pid.alias("product_id"), qty.alias("quantity"), unit.alias("unit_type"))
+    l = (lines.select("_cart", "cart_id", "line_pos", pid.alias("product_id"), qty.alias("quantity"),
+                      unit.alias("unit_type"))
          .join(p, F.col("product_id") == p["_pid"], "left"))
     cont = X.is_container_unit("unit_type", case_sensitive=True)
-    l = reuse(l.select(
-        "*",
+    line = F.struct(
+        "line_pos", "cart_id", "quantity", "unit_type", "stock",
         F.when(F.col("_pid").isNull(), F.lit(SELECT_PRODUCT))
-         .when(F.col("quantity").isNull() | (F.col("quantity") < 1), F.lit(VALID_QUANTITY)).alias("_static"),
+         .when(F.col("quantity").isNull() | (F.col("quantity") < 1), F.lit(VALID_QUANTITY)).alias("static"),
         # a need beyond bigint is certainly refused, like the largest one
         F.when(cont, F.coalesce((F.col("quantity").cast("decimal(20,0)") * F.col("ppc").cast("decimal(18,0)"))
                                 .try_cast("bigint"), F.lit((1 << 62) - 1)))
-         .otherwise(F.col("quantity")).alias("pieces_needed"),
+         .otherwise(F.col("quantity")).alias("need"),
         F.when(cont, F.col("unit_price") * F.col("ppc").cast("decimal(20,0)"))
-         .otherwise(F.col("unit_price")).alias("display_price"),
-    ))
-    # a line alone on its (cart, product) has nothing earlier to compete with:
-    # it fits iff its pieces fit the stock; only shared groups need the fixed point
-    sizes = (l.where(F.col("_static").isNull()).groupBy("cart_id", "product_id")
-             .agg(F.count(F.lit(1)).alias("_group_lines")))
-    l = l.join(sizes, ["cart_id", "product_id"], "left")
-    usage = l.where(F.col("_static").isNull() & (F.col("_group_lines") > 1)).select(
-        "cart_id", "line_pos", "product_id", F.col("line_pos").cast("bigint").alias("seq"),
-        F.col("pieces_needed").alias("need"), F.col("pieces_needed").alias("take"), F.col("stock").alias("cap"))
-    adm = greedy_admission(usage, ["cart_id", "line_pos"], ["cart_id", "product_id"], "seq",
-                           chunk_rows=chunk_rows)
-    out = l.join(adm, ["cart_id", "line_pos"], "left")
-    alone_fits = (F.col("_group_lines") == 1) & (F.col("pieces_needed") <= F.col("stock"))
-    ok = F.coalesce(F.col("admitted"), F.lit(False)) | F.coalesce(alone_fits, F.lit(False))
-    ok = F.col("_static").isNull() & ok
-    return out.select(
-        "cart_id", "line_pos", "product_id", "quantity", "unit_type", "pieces_needed", "display_price",
-        ok.alias("accepted"),
-        F.coalesce(F.col("_static"), F.when(~ok, F.lit(NOT_ENOUGH))).alias("reason"),
-        F.when(ok, F.col("display_price") * F.col("quantity").cast("decimal(20,0)")).alias("line_total"),
-    )
+         .otherwise(F.col("unit_price")).alias("price"))
+    groups = (l.select("_cart", "product_id", line.alias("line")).groupBy("_cart", "product_id")
+              .agg(F.sort_array(F.collect_list("line")).alias("lines")))
+
+    def add(state, x):
+        left = x["stock"] - state["used"]
+        fits = x["static"].isNull() & (x["need"] <= left)
+        return F.struct(F.when(fits, state["used"] + x["need"]).otherwise(state["used"]).alias("used"),
+                        F.concat(state["out"], F.array(F.struct(fits.alias("ok"), left.alias("left")))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("used"),
+                     F.array().cast("array<struct<ok:boolean,left:bigint>>").alias("out"))
+    verdicts = F.aggregate("lines", start, add, lambda s: s["out"])
+    x = F.col("e.lines")
+    ok = F.coalesce(F.col("e.v.ok"), F.lit(False))
+    refusal = F.concat(F.lit(NOT_ENOUGH + " Need "), x["need"].cast("string"), F.lit(" pieces, but only "),
+                       F.col("e.v.left").cast("string"), F.lit(" available."))
+    return (groups.withColumn("v", verdicts).select("product_id", F.explode(F.arrays_zip("lines", "v")).alias("e"))
+            .select(x["cart_id"].alias("cart_id"), x["line_pos"].alias("line_pos"), "product_id",
+                    x["quantity"].alias("quantity"), x["unit_type"].alias("unit_type"),
+                    x["need"].alias("pieces_needed"), x["price"].alias("display_price"), ok.alias("accepted"),
+                    F.coalesce(x["static"], F.when(~ok, refusal)).alias("reason"),
+                    F.when(ok, x["price"] * x["quantity"].cast("decimal(20,0)")).alias("line_total")))
 
 
 def cart_preview_totals(preview: DataFrame) -> DataFrame:

@@ -393,7 +393,8 @@ walk AS (
   FROM walk w JOIN l2 ON l2.cart_id = w.cart_id AND l2.product_id = w.product_id AND l2.k = w.k + 1)
 SELECT l2.cart_id, l2.line_pos, l2.product_id, l2.quantity, l2.unit_type, l2.need AS pieces_needed,
        CAST(CASE WHEN l2.cont THEN l2.unit_price * l2.ppc ELSE l2.unit_price END AS DOUBLE) AS display_price,
-       w.ok AS accepted, CASE WHEN w.ok THEN NULL ELSE 'Not enough stock.' END AS reason,
+       w.ok AS accepted, CASE WHEN w.ok THEN NULL ELSE 'Not enough stock. Need ' || l2.need || ' pieces, but only '
+            || (l2.stock - w.used) || ' available.' END AS reason,
        CAST(CASE WHEN w.ok THEN (CASE WHEN l2.cont THEN l2.unit_price * l2.ppc ELSE l2.unit_price END)
                  * l2.quantity END AS DOUBLE) AS line_total
 FROM l2 JOIN walk w ON w.cart_id = l2.cart_id AND w.line_pos = l2.line_pos

@@ -121,7 +121,8 @@ def preview(carts, products):
             need = qty * eff_ppc(p) if any(w in unit for w in CONTAINER) else qty
             have = sum(n for (q, n) in accepted if q == pid)
             if have + need > total(p):
-                out[(cart["cart_id"], pos)] = (False, "Not enough stock.")
+                out[(cart["cart_id"], pos)] = (False, f"Not enough stock. Need {need} pieces, but only "
+                                                      f"{total(p) - have} available.")
                 continue
             accepted.append((pid, need))
             out[(cart["cart_id"], pos)] = (True, None)

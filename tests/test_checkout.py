@@ -126,13 +126,12 @@ def test_checkout_on_mapped_carts(spark):
     assert len(got) == 1473
 
 
-@pytest.mark.parametrize("chunk", [None, 2])
-def test_preview_matches_browser_loop(spark, chunk):
+def test_preview_matches_browser_loop(spark):
     prods, carts = _random_case(11, n_carts=40)
     carts = [c for c in carts if c["items"].startswith("[") and c["items"] != "[]"]
     want = bf.preview(carts, prods)
     got = {(r.cart_id, r.line_pos): (r.accepted, r.reason)
-           for r in co.cart_preview(_carts_df(spark, carts), _products_df(spark, prods), chunk_rows=chunk).collect()}
+           for r in co.cart_preview(_carts_df(spark, carts), _products_df(spark, prods)).collect()}
     assert got == want
 
 
