@@ -322,9 +322,9 @@ walk AS (
   UNION ALL
   SELECT ev.product_id, ev.rn, ev.event_id, ev.kind, ev.ts,
          CASE ev.kind WHEN 'sale' THEN GREATEST(0, w.c * w.ppc + w.l - ev.pieces) // w.ppc
-                      WHEN 'add' THEN w.c + ev.containers ELSE ev.containers END,
+                      WHEN 'add' THEN w.c + ev.containers WHEN 'set' THEN ev.containers ELSE w.c END,
          CASE ev.kind WHEN 'sale' THEN GREATEST(0, w.c * w.ppc + w.l - ev.pieces) % w.ppc
-                      WHEN 'add' THEN w.l + ev.loose ELSE ev.loose END,
+                      WHEN 'add' THEN w.l + ev.loose WHEN 'set' THEN ev.loose ELSE w.l END,
          w.ppc
   FROM walk w JOIN ev ON ev.product_id = w.product_id AND ev.rn = w.rn + 1
 )
@@ -501,6 +501,36 @@ def q_restock(spark, sf_dir):
     return for_compare(report)
 
 
+# the products table after the requests, every row
+@register("restock_products", with_ctes("""
+SELECT CAST(p.id AS BIGINT) AS id, p.product_name,
+       CAST(CASE WHEN a.product_id IS NULL THEN p.container_quantity
+                 ELSE COALESCE(p.container_quantity, 0) + a.dc END AS BIGINT) AS container_quantity,
+       CAST(CASE WHEN a.product_id IS NULL THEN p.loose_pieces
+                 ELSE COALESCE(p.loose_pieces, 0) + a.dl END AS BIGINT) AS loose_pieces
+FROM products p LEFT JOIN (SELECT product_id, SUM(COALESCE(containers, 0)) AS dc, SUM(COALESCE(loose, 0)) AS dl
+                           FROM stock_events WHERE kind = 'add' GROUP BY product_id) a ON a.product_id = p.id
+""", "products", "stock_events"))
+def q_restock_products(spark, sf_dir):
+    from ..operators import catalog
+    after, _report = catalog.restock(tm.products(spark, sf_dir), tm.stock_requests(spark, sf_dir, "add"))
+    return for_compare(after.select("id", "product_name", "container_quantity", "loose_pieces"))
+
+
+@register("set_stock_products", with_ctes("""
+SELECT CAST(p.id AS BIGINT) AS id, p.product_name,
+       CAST(CASE WHEN s.product_id IS NULL THEN p.container_quantity ELSE s.c END AS BIGINT) AS container_quantity,
+       CAST(CASE WHEN s.product_id IS NULL THEN p.loose_pieces ELSE s.l END AS BIGINT) AS loose_pieces
+FROM products p LEFT JOIN (SELECT product_id, arg_max(COALESCE(containers, 0), event_id) AS c,
+                                  arg_max(COALESCE(loose, 0), event_id) AS l
+                           FROM stock_events WHERE kind = 'set' GROUP BY product_id) s ON s.product_id = p.id
+""", "products", "stock_events"))
+def q_set_stock_products(spark, sf_dir):
+    from ..operators import catalog
+    after, _report = catalog.set_stock(tm.products(spark, sf_dir), tm.stock_requests(spark, sf_dir, "set"))
+    return for_compare(after.select("id", "product_name", "container_quantity", "loose_pieces"))
+
+
 @register("set_stock", with_ctes(""",
 s AS (SELECT product_id, arg_max(COALESCE(containers, 0), event_id) AS c, arg_max(COALESCE(loose, 0), event_id) AS l,
              COUNT(*) AS requests

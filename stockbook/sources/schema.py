@@ -117,7 +117,7 @@ STOCK_EVENTS = T.StructType([
     T.StructField("event_id", T.LongType(), False),
     T.StructField("ts", T.TimestampType(), True),
     T.StructField("product_id", T.IntegerType(), True),
-    T.StructField("kind", T.StringType(), True),        # sale | add | set
+    T.StructField("kind", T.StringType(), True),        # sale | add | set; others change nothing
     T.StructField("pieces", T.IntegerType(), True),     # sale: pieces deducted
     T.StructField("containers", T.IntegerType(), True), # add / set
     T.StructField("loose", T.IntegerType(), True),      # add / set

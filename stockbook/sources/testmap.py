@@ -22,7 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    j = p.join(s, (s.s_suppkey == p.p_partkey % 12) & (s.s_suppkey < 10), "left")
+    # every supplier delivers; two more remainders leave some products without
+    n = s.agg(F.max("s_suppkey").alias("last"))
+    j = (p.join(n).withColumn("_key", F.col("p_partkey") % (F.col("last") + 3))
+         .join(s, F.col("s_suppkey") == F.col("_key"), "left"))
     k = F.col("p_partkey")
     unit = (F.when(F.col("p_type") == "ECONOMY", "Box").when(F.col("p_type") == "LARGE", "Sack")
             .when(F.col("p_type") == "MEDIUM", "Bundle").when(F.col("p_type") == "PROMO", "Gallon")
@@ -88,11 +91,12 @@ def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").where(F.col("event_type") != "view")
+    e = _read(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int")
     kind = (F.when(F.col("event_type") == "purchase", "sale")
             .when(F.col("event_type").isin("signup", "click"), "add")
-            .when(F.col("event_type") == "error", "set"))
+            .when(F.col("event_type") == "error", "set")
+            .otherwise(F.col("event_type")))      # a view changes no stock
     return e.select(
         F.col("event_id").cast("bigint"),
         F.col("ts"),
@@ -191,7 +195,7 @@ products AS (
          s_name AS supplier_name,
          CAST(NULL AS VARCHAR) AS supplier_contact,
          CAST(CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 5 END AS INTEGER) AS loose_pieces
-  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 12 AND s_suppkey < 10
+  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % ((SELECT max(s_suppkey) FROM supplier) + 3)
 )"""
 
 SQL_SALES = """
@@ -228,11 +232,11 @@ stock_events AS (
   SELECT CAST(event_id AS BIGINT) AS event_id, ts,
          CAST(user_id + 1 AS INTEGER) AS product_id,
          CASE event_type WHEN 'purchase' THEN 'sale' WHEN 'signup' THEN 'add'
-                         WHEN 'click' THEN 'add' WHEN 'error' THEN 'set' END AS kind,
+                         WHEN 'click' THEN 'add' WHEN 'error' THEN 'set' ELSE event_type END AS kind,
          CAST(floor(value) AS INTEGER) % 20 AS pieces,
          TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 4 AS containers,
          TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 5 AS loose
-  FROM events WHERE event_type <> 'view'
+  FROM events
 )"""
 
 SQL_CTES = {

@@ -19,7 +19,7 @@ def _case(seed, n_products=5, n_events=150):
              for i in range(1, n_products + 1)}
     t0 = datetime(2024, 1, 1)
     evs = [dict(event_id=i, ts=t0 + timedelta(minutes=rnd.randint(0, 40)), product_id=rnd.randint(1, n_products + 1),
-                kind=rnd.choice(["sale", "sale", "add", "set"]), pieces=rnd.choice([None, 0, 1, 5, 30]),
+                kind=rnd.choice(["sale", "sale", "add", "set", "view"]), pieces=rnd.choice([None, 0, 1, 5, 30]),
                 containers=rnd.choice([None, -2, 0, 1, 3]), loose=rnd.choice([None, -1, 0, 2, 7]))
            for i in range(n_events)]
     return prods, evs
