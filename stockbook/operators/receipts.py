@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sales import in_days, item_counts_for, today
+from .sales import TOP_BROADCAST, in_days, item_counts_for, today
 
 
 def _clean_term(q) -> str | None:
@@ -92,7 +92,7 @@ def receipts_by_product(sales: DataFrame, items: DataFrame, products: DataFrame,
 def receipts_recent(sales: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` newest sales (10 on the receipts page, 5 and 3 in checks)."""
     top = sales.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(n)
-    return _newest_first(_listing(top, items, bounded=True))
+    return _newest_first(_listing(top, items, bounded=n <= TOP_BROADCAST))
 
 
 def receipts_high_value(sales: DataFrame, items: DataFrame, threshold=100) -> DataFrame:

@@ -53,6 +53,10 @@ def in_days(sales: DataFrame, date_from, date_to) -> DataFrame:
     return sales.where(cond)
 
 
+#: Largest top-n whose ids are broadcast.
+TOP_BROADCAST = 100_000
+
+
 def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False,
                     wide: bool = False) -> DataFrame:
     """COUNT(items.id) per sale of ``sel`` (0 when it has none).
@@ -60,7 +64,7 @@ def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False,
     Selective searches: items are reduced to those of the selected sales
     first (semi join; a small selection is broadcast by AQE, so the items
     are not shuffled), then counted. ``bounded`` marks a selection of a known
-    small size (a top-n), which is always broadcast. ``wide`` marks a
+    small size (a top-n of at most TOP_BROADCAST), which is broadcast. ``wide`` marks a
     selection expected to hold most sales: then the items are counted first
     (partial counts per task, so only one row per sale and task is
     shuffled) and the counts joined, instead of shuffling every item row
@@ -90,7 +94,7 @@ def sales_history(sales: DataFrame, items: DataFrame, date_from=None, date_to=No
         date_to = date_to or d_to
     in_range = in_days(sales, date_from, date_to)
     top = in_range.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(limit)
-    out = item_counts_for(top, items, bounded=True)
+    out = item_counts_for(top, items, bounded=limit <= TOP_BROADCAST)
     return (out.withColumn("formatted_date", X.fmt_sale_date("sale_date"))
             .withColumn("customer_display", X.php_fallback("customer_name", X.WALK_IN_CUSTOMER))
             .orderBy(F.col("sale_date").desc(), F.col("id").desc()))
