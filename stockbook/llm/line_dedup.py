@@ -11,9 +11,10 @@ The join: every line is cut into EDITS + 1 segments. A line within EDITS edits
 of it holds at least one of them whole, shifted by as much as the edits before
 and after it allow. So each line is indexed by (length, segment number,
 segment) and probes, for its own and each shorter length in reach, just the
-substrings at the places a segment can have moved to. Character parities (each
-edit changes at most two) prune inside the join; what is left is verified by
-banded bit-parallel edit distance: one word holds the band of a column.
+substrings at the places a segment can have moved to. Lines that meet no other
+line drop out; character parities (each edit changes at most two) prune the
+pairs inside the join; what is left is verified by banded bit-parallel edit
+distance: one word holds the band of a column.
 
 Equal lines are found by 64-bit hashes. Texts are shuffled only when the list
 of lines to remove passes ``BROADCAST_ROWS``. DataFrame functions only.
@@ -28,8 +29,7 @@ from .common import stage, table
 
 MIN_CHARS = 20
 EDITS = 2
-PARITY_CHARS = "etaoinsrhdlucmfwgypbvkz."   # one byte each
-PARITY_BITS = len(PARITY_CHARS)
+PARITY_CHARS = " etaoinsrhdlucmfgpbwvkyz.,"   # one byte each
 KEY_BITS = 48
 BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
@@ -100,7 +100,9 @@ def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
 
 def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     """Keys of all substrings where a segment of an equal or shorter line may
-    stand, by the bounds on the shift from the left and from the right."""
+    stand, by the bounds on the shift from the left and from the right. These
+    keep every substring inside a line of at least (edits + 1) ** 2
+    characters."""
     out = []
     for shorter in range(edits + 1):
         length = (n - shorter).cast("int")
@@ -108,11 +110,8 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
             start, size = _segment(length, i, edits)
             low = max(-(i - 1), shorter - (edits + 1 - i))
             high = min(i - 1, shorter + (edits + 1 - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(inside, _key(length, i, F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+            out += [_key(length, i, F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
+    return F.array(*out)
 
 
 def parity(line: Column) -> Column:
@@ -126,25 +125,39 @@ def parity(line: Column) -> Column:
 
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc, no, doc2, no2)``: distinct pairs of lines that share a segment
-    and may be within ``edits``; the first one stands earlier."""
-    n = F.char_length("line")
-    # line number and parity in one number, so that rows stay narrow
-    tagged = lines.select("doc", (F.col("no").cast("bigint") * (1 << PARITY_BITS) + parity(F.col("line"))).alias("tag"),
-                          "line", n.alias("n"))
-    index = tagged.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "tag")
-    probes = tagged.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"),
-                           F.col("doc").alias("doc2"), F.col("tag").alias("tag2"))
-    low = F.lit((1 << PARITY_BITS) - 1)
-    differ = F.bit_count(F.col("tag").bitwiseXOR(F.col("tag2")).bitwiseAND(low))
-    other = (F.col("doc") != F.col("doc2")) | (F.shiftright("tag", PARITY_BITS) != F.shiftright("tag2", PARITY_BITS))
-    pairs = (index.alias("a").join(probes.alias("b"), (F.col("a.key") == F.col("b.key")) & other & (differ <= 2 * edits))
-             .select(F.struct("doc", F.shiftright("tag", PARITY_BITS).cast("int").alias("no")).alias("x"),
-                     F.struct(F.col("doc2").alias("doc"), F.shiftright("tag2", PARITY_BITS).cast("int").alias("no"))
-                     .alias("y")))
+    """``(a, b)``: distinct pairs of lines ``(doc, no)`` that share a segment
+    and may be within ``edits``; ``a`` stands earlier.
+
+    Most lines share no segment with any other. So the rows of both sides that
+    meet another line are found first (semi joins, which multiply nothing), and
+    only those lines get their parities, which prune the join of pairs.
+    """
+    if MIN_CHARS < (edits + 1) ** 2:
+        raise ValueError("lines are too short for so many edits")
+    sized = lines.withColumn("n", F.char_length("line"))
+    index = sized.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
+    probes = sized.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
+    i, p = index.alias("i"), probes.alias("p")
+    other = (F.col("i.key") == F.col("p.key")) & ((F.col("i.doc") != F.col("p.doc")) | (F.col("i.no") != F.col("p.no")))
+    met = stage(i.join(p, other, "left_semi").select(F.lit(True).alias("indexed"), "key", "doc", "no")
+                .union(p.join(i, other, "left_semi").select(F.lit(False), "key", "doc", "no")), "met")
+    wanted = stage(met.select("doc", "no").distinct(), "wanted")
+    marks = stage(lines.join(_hint(wanted)(wanted), ["doc", "no"])
+                  .select("doc", "no", parity(F.col("line")).alias("parity")), "parities")
+    rows = met.join(_hint(marks)(marks), ["doc", "no"])
+    at = F.struct("doc", "no")
+    left = rows.where("indexed").select("key", at.alias("x"), F.col("parity").alias("px"))
+    right = rows.where("not indexed").select("key", at.alias("y"), F.col("parity").alias("py"))
+    close = F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 2 * edits
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("x") != F.col("y")) & close)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _hint(staged: DataFrame):
+    """Broadcast for a staged table of at most BROADCAST_ROWS rows."""
+    return F.broadcast if staged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+
+
 def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of two lines whose lengths differ by at most ``edits``
     and are above it, exact up to ``edits`` (beyond that, some number above).
@@ -207,8 +220,7 @@ def near_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     holds every line once."""
     pairs = stage(candidates(_lines(docs), edits), "pairs")
     wanted = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct(), "wanted")
-    hint = F.broadcast if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda d: d)
-    texts = stage(_lines(docs).join(hint(wanted), ["doc", "no"]).select(F.struct("doc", "no").alias("at"), "line"), "texts")
+    texts = stage(_lines(docs).join(_hint(wanted)(wanted), ["doc", "no"]).select(F.struct("doc", "no").alias("at"), "line"), "texts")
     checked = (pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
                .join(texts.select(F.col("at").alias("b"), F.col("line").alias("y")), "b"))
     close = checked.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
