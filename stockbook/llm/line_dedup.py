@@ -1,11 +1,14 @@
 """Line dedup by a segment-partition edit join.
 
 A line is the text between line feeds, compared without surrounding blanks;
-only lines of at least ``MIN_CHARS`` characters count. A line goes when
+blank lines stay. A line goes when
 
-- the same line stands earlier (in order of doc_id, then line number), or
+- the same line stands earlier (in order of doc_id, then line number), however
+  short it is, or
 - an earlier line, itself the first of its kind, is at most ``EDITS`` edits
-  (insertions, deletions, substitutions of characters) away.
+  (insertions, deletions, substitutions of characters) away, both of at least
+  ``MIN_CHARS`` characters, of which the edits are at most a quarter. Shorter
+  lines are compared exactly only: two edits make another word of them.
 
 The join: every line is cut into EDITS + 1 segments. A line within EDITS edits
 of it holds at least one of them whole, shifted by as much as the edits before
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-MIN_CHARS = 20
 EDITS = 2
+MIN_CHARS = 4 * EDITS     # of lines in the edit join; every non-blank line counts for exact repeats
 PARITY_CHARS = " etaoinsrhdlucmfgpbwvkyz.,"   # one byte each
 KEY_BITS = 48
 BROADCAST_ROWS = 1_000_000
@@ -40,11 +43,11 @@ def _doc(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("bigint"), F.lit(_LAST))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc, no, line)`` of the lines that count."""
+def _lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """``(doc, no, line)`` of the lines of at least ``least`` characters."""
     parts = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("no", "raw"))
     return (parts.select("doc", "no", F.trim(F.col("raw"), F.lit(" \t\r")).alias("line"))
-            .where(F.char_length("line") >= MIN_CHARS))
+            .where(F.char_length("line") >= least))
 
 
 def _numbers(removed: DataFrame) -> DataFrame:
@@ -101,8 +104,7 @@ def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
 def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     """Keys of all substrings where a segment of an equal or shorter line may
     stand, by the bounds on the shift from the left and from the right. These
-    keep every substring inside a line of at least (edits + 1) ** 2
-    characters."""
+    keep every substring inside a line of at least MIN_CHARS characters."""
     out = []
     for shorter in range(edits + 1):
         length = (n - shorter).cast("int")
@@ -126,14 +128,13 @@ def parity(line: Column) -> Column:
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``(a, b)``: distinct pairs of lines ``(doc, no)`` that share a segment
-    and may be within ``edits``; ``a`` stands earlier.
+    and may be within ``edits``; ``a`` stands earlier. The lines have more than
+    ``edits`` characters, so that no segment is empty.
 
     Most lines share no segment with any other. So the rows of both sides that
     meet another line are found first (semi joins, which multiply nothing), and
     only those lines get their parities, which prune the join of pairs.
     """
-    if MIN_CHARS < (edits + 1) ** 2:
-        raise ValueError("lines are too short for so many edits")
     sized = lines.withColumn("n", F.char_length("line"))
     index = sized.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
     probes = sized.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
@@ -218,9 +219,10 @@ def _banded(x: Column, y: Column, edits: int, width: int, mask: int, top: int) -
 def near_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``(doc, no)`` of lines with an earlier line within ``edits``; ``docs``
     holds every line once."""
-    pairs = stage(candidates(_lines(docs), edits), "pairs")
+    lines = _lines(docs, max(1, 4 * edits))
+    pairs = stage(candidates(lines, edits), "pairs")
     wanted = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct(), "wanted")
-    texts = stage(_lines(docs).join(_hint(wanted)(wanted), ["doc", "no"]).select(F.struct("doc", "no").alias("at"), "line"), "texts")
+    texts = stage(lines.join(_hint(wanted)(wanted), ["doc", "no"]).select(F.struct("doc", "no").alias("at"), "line"), "texts")
     checked = (pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
                .join(texts.select(F.col("at").alias("b"), F.col("line").alias("y")), "b"))
     close = checked.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)

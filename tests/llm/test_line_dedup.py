@@ -98,3 +98,20 @@ def test_banded_distance_and_keys(spark):
         assert min(r["d"], 3) == min(r["l"], 3)
         if r["l"] <= 2:
             assert r["o"] and r["p"] <= 4
+
+
+def test_short_lines(spark):
+    rows = [(1, "Les.\nAnd ornd.\nx\n\nabcdefghi"), (2, "Les.\nLet.\n \n\nAnd ornd."), (3, "x\nAnd ornde."),
+            (4, "abcdefgXYi\nLes."), (5, "abcdefg\ny")]
+    got = dict(tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == {1: rows[0][1], 2: "Let.\n \n", 3: "", 4: "", 5: "abcdefg\ny"}
+
+
+def test_edit_join_of_short_lines_against_all_pairs(spark):
+    rng = random.Random(7)
+    lines = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(8, 13))) for _ in range(150)})
+    rng.shuffle(lines)
+    rows = [(d, "\n".join(lines[d::25])) for d in range(25)]
+    got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    assert sum(len(t.split("\n")) for _, t in got if t) < len(lines)
