@@ -3,8 +3,8 @@
 A line is the text between line feeds, compared without surrounding blanks;
 blank lines stay. A line goes when
 
-- the same line stands earlier (in order of doc_id, then line number), however
-  short it is, or
+- the same line stands earlier (in order of doc_id, then a hash of the text
+  where rows share an id, then line number), however short it is, or
 - an earlier line, itself the first of its kind, is at most ``EDITS`` edits
   (insertions, deletions, substitutions of characters) away, both of at least
   ``MIN_CHARS`` characters, of which the edits are at most a quarter. Shorter
@@ -43,39 +43,72 @@ def _doc(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("bigint"), F.lit(_LAST))
 
 
-def _lines(docs: DataFrame, least: int = 1) -> DataFrame:
-    """``(doc, no, line)`` of the lines of at least ``least`` characters."""
-    parts = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("no", "raw"))
-    return (parts.select("doc", "no", F.trim(F.col("raw"), F.lit(" \t\r")).alias("line"))
+def _hint(staged: DataFrame):
+    """Broadcast for a staged table of at most BROADCAST_ROWS rows."""
+    return F.broadcast if staged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(row, doc, h, text)``, where (doc, h) is one row's only, and the
+    further copies of rows with equal id and text, if any.
+
+    ``row`` holds the other columns. ``h`` is the text's hash where rows share
+    the id (also null) and 0 elsewhere, where ``doc`` alone tells rows apart.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"]).alias("row"), _doc().alias("doc"),
+                       F.col("text").cast("string").alias("text"))
+    shared = stage(rows.where("text is not null").groupBy("doc").count().where("count > 1")
+                   .select(F.col("doc").alias("shared")), "shared")
+    if not shared.limit(1).count():
+        return rows.select("row", "doc", F.lit(0).cast("bigint").alias("h"), "text"), None
+    h = F.when(F.col("shared").isNull() | F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("text"))
+    rows = (rows.join(_hint(shared)(shared), F.col("doc") == F.col("shared"), "left")
+            .select("row", "doc", h.alias("h"), "text"))
+    twins = stage(rows.where("h <> 0").groupBy("doc", "h").count().where("count > 1").select("doc", "h"), "twins")
+    if not twins.limit(1).count():
+        return rows, None
+    hint = _hint(twins)
+    copies = stage(rows.join(hint(twins), ["doc", "h"]).select("row", "doc", "h", "text")
+                   .withColumn("copy", F.monotonically_increasing_id()), "copies")
+    first = stage(copies.groupBy("doc", "h").agg(F.min("copy").alias("copy")), "first")
+    at = ["doc", "h", "copy"]
+    kept = copies.join(first, at, "left_semi").select("row", "doc", "h", "text")
+    more = copies.join(first, at, "left_anti").select("row", "doc", "h", "text")
+    return rows.join(hint(twins), ["doc", "h"], "left_anti").select("row", "doc", "h", "text").union(kept), more
+
+
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r"))
+
+
+def _lines(keyed: DataFrame, least: int = 1) -> DataFrame:
+    """``(doc, h, no, line)`` of the lines of at least ``least`` characters."""
+    parts = keyed.select("doc", "h", F.posexplode(F.split(F.col("text"), "\n")).alias("no", "raw"))
+    return (parts.select("doc", "h", "no", _stripped(F.col("raw")).alias("line"))
             .where(F.char_length("line") >= least))
 
 
-def _numbers(removed: DataFrame) -> DataFrame:
-    """Line numbers to remove by document."""
-    return removed.groupBy("doc").agg(F.collect_set("no").alias("gone"))
+def _without(keyed: DataFrame, removed: DataFrame) -> DataFrame:
+    """``keyed`` without the lines ``(doc, h, no)`` of the staged table
+    ``removed``; the remaining lines keep their order, ``h`` stays."""
+    gone = _hint(removed)(removed.groupBy("doc", "h").agg(F.collect_set("no").alias("gone")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return (keyed.join(gone, ["doc", "h"], "left")
+            .select("row", "doc", "h", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")))
 
 
-def _without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the lines ``(doc, no)`` of the staged table
-    ``removed``, all columns; the remaining lines keep their order."""
-    names = docs.columns
-    gone = _numbers(removed)
-    if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    joined = (docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), _doc().alias("doc"))
-              .join(gone, "doc", "left"))
-    text = F.col("row.text").cast("string")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    new = F.when(F.col("gone").isNull(), text).otherwise(kept)
-    return joined.select(*[new.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names])
+def _blank_lines(copies: DataFrame) -> DataFrame:
+    """Copies of another row without their lines, which all stand there."""
+    blank = F.array_join(F.filter(F.split("text", "\n"), lambda x: _stripped(x) == ""), "\n")
+    return copies.select("row", "doc", "h", blank.alias("text"))
 
 
-def exact_repeats(docs: DataFrame) -> DataFrame:
-    """``(doc, no)`` of lines that stand earlier too."""
-    where = F.struct("doc", "no")
-    occurrences = _lines(docs).select(F.xxhash64("line").alias("h"), "doc", "no")
-    first = occurrences.groupBy("h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(occurrences.join(first, "h").where(where != F.col("first")).select("doc", "no").distinct(), "repeats")
+def exact_repeats(keyed: DataFrame) -> DataFrame:
+    """``(doc, h, no)`` of lines that stand earlier too."""
+    where = F.struct("doc", "h", "no")
+    occurrences = _lines(keyed).select(F.xxhash64("line").alias("of"), "doc", "h", "no")
+    first = occurrences.groupBy("of").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(occurrences.join(first, "of").where(where != F.col("first")).select("doc", "h", "no"), "repeats")
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -127,7 +160,7 @@ def parity(line: Column) -> Column:
 
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(a, b)``: distinct pairs of lines ``(doc, no)`` that share a segment
+    """``(a, b)``: distinct pairs of lines ``(doc, h, no)`` that share a segment
     and may be within ``edits``; ``a`` stands earlier. The lines have more than
     ``edits`` characters, so that no segment is empty.
 
@@ -136,17 +169,18 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     only those lines get their parities, which prune the join of pairs.
     """
     sized = lines.withColumn("n", F.char_length("line"))
-    index = sized.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
-    probes = sized.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "no")
+    index = sized.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "h", "no")
+    probes = sized.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "h", "no")
     i, p = index.alias("i"), probes.alias("p")
-    other = (F.col("i.key") == F.col("p.key")) & ((F.col("i.doc") != F.col("p.doc")) | (F.col("i.no") != F.col("p.no")))
-    met = stage(i.join(p, other, "left_semi").select(F.lit(True).alias("indexed"), "key", "doc", "no")
-                .union(p.join(i, other, "left_semi").select(F.lit(False), "key", "doc", "no")), "met")
-    wanted = stage(met.select("doc", "no").distinct(), "wanted")
-    marks = stage(lines.join(_hint(wanted)(wanted), ["doc", "no"])
-                  .select("doc", "no", parity(F.col("line")).alias("parity")), "parities")
-    rows = met.join(_hint(marks)(marks), ["doc", "no"])
-    at = F.struct("doc", "no")
+    other = ((F.col("i.key") == F.col("p.key"))
+             & ((F.col("i.doc") != F.col("p.doc")) | (F.col("i.no") != F.col("p.no")) | (F.col("i.h") != F.col("p.h"))))
+    met = stage(i.join(p, other, "left_semi").select(F.lit(True).alias("indexed"), "key", "doc", "h", "no")
+                .union(p.join(i, other, "left_semi").select(F.lit(False), "key", "doc", "h", "no")), "met")
+    wanted = stage(met.select("doc", "h", "no").distinct(), "wanted")
+    marks = stage(lines.join(_hint(wanted)(wanted), ["doc", "h", "no"])
+                  .select("doc", "h", "no", parity(F.col("line")).alias("parity")), "parities")
+    rows = met.join(_hint(marks)(marks), ["doc", "h", "no"])
+    at = F.struct("doc", "h", "no")
     left = rows.where("indexed").select("key", at.alias("x"), F.col("parity").alias("px"))
     right = rows.where("not indexed").select("key", at.alias("y"), F.col("parity").alias("py"))
     close = F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 2 * edits
@@ -154,11 +188,6 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _hint(staged: DataFrame):
-    """Broadcast for a staged table of at most BROADCAST_ROWS rows."""
-    return F.broadcast if staged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-
-
 def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of two lines whose lengths differ by at most ``edits``
     and are above it, exact up to ``edits`` (beyond that, some number above).
@@ -216,17 +245,18 @@ def _banded(x: Column, y: Column, edits: int, width: int, mask: int, top: int) -
     return F.aggregate(F.transform(y, matches), start, step, lambda s: s["dist"])
 
 
-def near_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc, no)`` of lines with an earlier line within ``edits``; ``docs``
-    holds every line once."""
-    lines = _lines(docs, max(1, 4 * edits))
+def near_repeats(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``(doc, h, no)`` of lines with an earlier line within ``edits``;
+    ``keyed`` holds every line once."""
+    lines = _lines(keyed, max(1, 4 * edits))
     pairs = stage(candidates(lines, edits), "pairs")
     wanted = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct(), "wanted")
-    texts = stage(lines.join(_hint(wanted)(wanted), ["doc", "no"]).select(F.struct("doc", "no").alias("at"), "line"), "texts")
+    texts = stage(lines.join(_hint(wanted)(wanted), ["doc", "h", "no"])
+                  .select(F.struct("doc", "h", "no").alias("at"), "line"), "texts")
     checked = (pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
                .join(texts.select(F.col("at").alias("b"), F.col("line").alias("y")), "b"))
     close = checked.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
-    return stage(close.select("b.doc", "b.no").distinct(), "near")
+    return stage(close.select("b.doc", "b.h", "b.no").distinct(), "near")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -234,12 +264,16 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     All rows and all columns stay; a text whose lines all go becomes empty, a
     null text stays null. Rows with one doc_id (also null, which comes last)
-    count as one document: equal lines at one line number are not repeats of
-    each other, so repeated rows are cut alike. ``doc_id`` and ``text`` are
-    needed, other columns are carried along.
+    are told apart by their texts and ordered by a hash of them; of rows that
+    have the text in common too, one keeps its lines. ``doc_id`` and ``text``
+    are needed, other columns are carried along.
     """
-    thinned = stage(_without(docs, exact_repeats(docs)), "thinned")
-    return _without(thinned, near_repeats(thinned, edits))
+    keyed, copies = _keyed(docs)
+    thinned = stage(_without(keyed, exact_repeats(keyed)), "thinned")
+    out = _without(thinned, near_repeats(thinned, edits))
+    if copies is not None:
+        out = out.union(_blank_lines(copies))
+    return out.select(*[F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:

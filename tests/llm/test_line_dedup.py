@@ -115,3 +115,17 @@ def test_edit_join_of_short_lines_against_all_pairs(spark):
     got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     assert sum(len(t.split("\n")) for _, t in got if t) < len(lines)
+
+
+def test_rows_that_share_an_id(spark):
+    head, tail = "a heading that all of these rows have", "a closing line that is in some of them"
+    texts = [f"{head}\nunique text of the first of the rows", f"{head}\nanother clean line, number two\n{tail}",
+             f"{tail}\nthe third row talks of other things\n\nshort", "short\nsomething else entirely, row four"]
+    for shared in (None, 7):
+        rows = [(1, "an ordinary line of an ordinary row", 0)] + [(shared, t, i) for i, t in enumerate(texts)]
+        rows += [(shared, texts[2], 9), (shared, texts[2], 9), (shared, None, 9)]
+        out = L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
+        assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(r[0]) for r in rows)
+        assert sum(r["text"] is None for r in out) == 1
+        left = sorted(x for r in out for x in (r["text"] or "").split("\n") if x)
+        assert left == sorted({x for _, t, _ in rows for x in (t or "").split("\n") if x})
