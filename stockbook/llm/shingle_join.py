@@ -45,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, stage, table
@@ -166,8 +166,8 @@ def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
 
 
 def _sets(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """``(doc_id, n_shingles, node, sketch, slacks)`` of every row; the last
-    three are null for empty sets."""
+    """``(doc_id, h, n_shingles, node, sketch, slacks)`` of every row, ``h`` the
+    text's hash; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +178,14 @@ def _sets(docs: DataFrame, width: int, share: int) -> DataFrame:
                 node.append(node_of(s) if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
                 slacks.append([{"space": a, "slack": b} for a, b in _slacks(s, share)] if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                                   pa.array(sketches, pa.binary()), pa.array(slacks, _SLACKS)],
-                                  names=["doc_id", "n_shingles", "node", "sketch", "slacks"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()),
+                                   pa.array(node, pa.int64()), pa.array(sketches, pa.binary()),
+                                   pa.array(slacks, _SLACKS)],
+                                  names=["doc_id", "h", "n_shingles", "node", "sketch", "slacks"])
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, "
-                                         "slacks array<struct<space:int,slack:int>>")
+    return (id_text(docs).withColumn("h", F.xxhash64("text"))
+            .mapInArrow(run, "doc_id bigint, h bigint, n_shingles bigint, node bigint, sketch binary, "
+                             "slacks array<struct<space:int,slack:int>>"))
 
 
 _SLACKS = pa.list_(pa.struct([("space", pa.int32()), ("slack", pa.int32())]))
@@ -414,15 +416,9 @@ def _remaining_groups(starred: DataFrame, components: DataFrame) -> DataFrame:
                     .alias("group"), "node", "component"))
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
-
-    ``component_id`` is the smallest ``doc_id`` reachable over links, the
-    document included. A null or empty text has an empty set, linked with
-    nothing; rows with equal sets link, also repeated rows; a null ``doc_id``
-    takes part in links but is never the smallest (a component of null ids has
-    a null ``component_id``); other columns are ignored.
-    """
+def _joined(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The staged sets of all rows, and ``(node, component)`` of the nodes that
+    have a link."""
     sets = stage(_sets(docs, width, share), "sets")
     nodes = stage(sets.where("node is not null").select("node", "n_shingles", "sketch", "slacks")
                   .dropDuplicates(["node"]), "nodes")
@@ -442,6 +438,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE)
         more = (groups.join(hashes, "node").groupBy("group")
                 .applyInPandas(_compare_group(share), "a bigint, b bigint"))
         components = connected_components(found.union(more))
+    return sets, components
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+
+    ``component_id`` is the smallest ``doc_id`` reachable over links, the
+    document included. A null or empty text has an empty set, linked with
+    nothing; rows with equal sets link, also repeated rows; a null ``doc_id``
+    takes part in links but is never the smallest (a component of null ids has
+    a null ``component_id``); other columns are ignored.
+    """
+    sets, components = _joined(docs, width, share)
     own = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = own.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -453,26 +462,32 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """``docs``, all columns, without the documents that have a link to one of
-    smaller id, directly or over others. Of rows with one doc_id one stays
-    (texts compared by hash); rows without doc_id cannot be told apart and stay."""
+    """``docs``, all columns, with one row of each component: the one of least
+    doc_id (null last), then least text hash. Rows stay or go by their own text,
+    whatever other rows have their id; those without words all stay."""
     names = docs.columns
-    found = ngram_jaccard_join(docs, width, share)
-    gone = stage(found.where("doc_id <> component_id")
-                 .select(F.struct("doc_id").alias("gone_id")).distinct(), "gone")
-    few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    sets, components = _joined(docs, width, share)
+    key = F.struct("doc_id", "h")
+    rows = (sets.where("node is not null").groupBy("doc_id", "h", "node").agg(F.count(F.lit(1)).alias("n"))
+            .join(components, "node", "left").select("doc_id", "h", "n", F.coalesce("component", "node").alias("component")))
+    rows = stage(rows, "rows")
+    least = (rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"))
+             .select("component", F.struct("least.doc_id", "least.h").alias("least")))
+    judged = rows.join(least, "component")
+    gone = stage(judged.where(key != F.col("least")).select(key.alias("gone_id")), "gone")
+    twice = stage(judged.where((key == F.col("least")) & (F.col("n") > 1)).select(key.alias("twice")), "twice")
+
+    def hint(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
+
     held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
-                       F.struct(F.col("doc_id").cast("bigint").alias("doc_id")).alias("id"),
-                       F.xxhash64(F.col("text").cast("string")).alias("h"))
-    left = held.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti")
-    # repeated ids: the row of least text hash, by a small table of such ids
-    twice = stage(left.where("id.doc_id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
-                  .where("n > 1").select(F.col("id").alias("twice"), "least"), "twice")
+                       F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
+                                F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h")).alias("id"))
+    left = held.join(hint(gone), F.col("id") == F.col("gone_id"), "left_anti")
     if twice.limit(1).count():
-        of = Window.partitionBy("id", "h").orderBy("h")
-        once = left.join(twice, F.col("id") == F.col("twice"), "left")
-        left = (once.where("twice is null").select("row")
-                .union(once.where("h = least").withColumn("k", F.row_number().over(of)).where("k = 1").select("row")))
+        again = F.col("id") == F.col("twice")
+        once = left.join(hint(twice), again, "left_semi").groupBy("id").agg(F.first("row").alias("row"))
+        left = left.join(hint(twice), again, "left_anti").select("row").union(once.select("row"))
     return left.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 

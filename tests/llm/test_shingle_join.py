@@ -92,3 +92,13 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (3, 10), (20, 20)] + [(50, 50 + i) for i in range(1, 40)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got[i] == 1 for i in (1, 2, 3, 10)) and all(got[i] == 6 for i in (6, 7, 8, 9)) and got[89] == 50
+
+
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    rng = random.Random(11)
+    a, b, c, d, e, f, g, h = (" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(8))
+    keep = [(1, a), (None, b), (None, c), (7, d), (7, e), (2, f), (8, g), (9, h), (None, ""), (None, ""), (9, None)]
+    drop = [(None, a), (None, a + " end"), (None, b), (None, b), (8, f), (9, h), (9, h)]
+    got = [tuple(r) for r in J.keep_one(spark.createDataFrame(keep + drop, "doc_id bigint, text string")).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=order) == sorted(keep, key=order)
