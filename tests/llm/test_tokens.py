@@ -57,6 +57,7 @@ def test_counts(spark, library):
 
 
 def check_packing(rows, texts, library, capacity):
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -98,15 +99,66 @@ def test_packing(spark, library, capacity, per_range, monkeypatch):
         assert n <= len(O.best_fit_decreasing([r["length"] for r in rows], capacity)) + 2
 
 
+def check_bins(items, placed, capacity):
+    """Every item once, bins without gaps or overlaps; returns their number."""
+    assert sorted(r["id"] for r in placed) == sorted(items)
+    bins = {}
+    for r in placed:
+        bins.setdefault(r["bin"], []).append((r["offset"], items[r["id"]]))
+    for parts in bins.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= capacity
+    return len(bins)
+
+
+def fit(spark, sizes, capacity, **kw):
+    rows = list(enumerate(sizes))
+    items = spark.createDataFrame(rows, "id bigint, size int")
+    return check_bins(dict(rows), P.best_fit(items, capacity, **kw).collect(), capacity)
+
+
 def test_packing_of_ties_and_nothing(spark):
-    same = spark.range(5000).select("id", F.lit(10).alias("size"))
-    placed = P.best_fit(same, 2048).collect()
-    assert len(placed) == 5000 and len({r["bin"] for r in placed}) <= -(-5000 // 204) + 1
+    assert fit(spark, [10] * 5000, 2048) <= -(-5000 // 204) + 1
     assert P.pack(fixtures.no_docs(spark)).count() == 0
     repeated = P.pack(fixtures.hard_docs(spark))
     assert repeated.where("doc_id = 102").count() == 2 and repeated.where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("name", ["ties", "halves", "thirds", "mixed", "ones", "full"])
+@pytest.mark.parametrize("per_range", [40, 100_000])
+def test_packing_in_many_rounds(spark, name, per_range):
+    """Sizes that leave gaps open, fill none, or need openings again and again;
+    with ranges of few rows sweeps see only part of the sizes."""
+    rng = np.random.default_rng(8)
+    sizes = {"ties": [7] * 300, "halves": [33] * 60 + [32] * 60, "thirds": [22] * 150 + [21] * 90 + [1] * 30,
+             "mixed": rng.integers(1, 64, 250).tolist() + [5] * 100, "ones": [1] * 200, "full": [63] * 40 + [2] * 90}[name]
+    n = fit(spark, sizes, 64, rows_per_range=per_range)
+    best = len(O.best_fit_decreasing(sizes, 64))
+    assert n <= best + 2 if per_range > 40 else n <= best * 1.3 + 2
+
+
+def test_openings_of_ties_make_progress(spark):
+    """However few are wanted, at least one and not many more are seeded."""
+    rows = spark.range(3000).select(F.lit(P.DOC).alias("kind"), "id", F.lit(10).alias("size"),
+                                    F.lit(None).cast("bigint").alias("bin"), F.lit(None).cast("int").alias("offset"))
+    rows = rows.union(rows.select(F.lit(P.PLACED), F.col("id") + 5000, "size", "id", F.lit(3)))
+    counts, _ = P._histogram(rows, 64)
+    for n in (1, 2, 50, 3000):
+        opened = P._open(rows, counts, n, 64).where(F.col("kind") == P.PLACED).collect()
+        assert n <= len(opened) <= n + 20 and all(r["offset"] == 0 and r["bin"] == r["id"] for r in opened)
+
+
+def test_packing_of_a_table(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    rows = P.pack(docs).collect()
+    n = check_packing(rows, texts, library, 2048)
+    assert n <= -(-sum(r["length"] for r in rows) // 2048) + 2
+
+
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_segment_tree_against_scan(sizes):
     rows = O.best_fit_decreasing(sizes, 40)
