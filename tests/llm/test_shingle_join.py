@@ -66,7 +66,7 @@ def test_hard_rows_and_nothing(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     want = {i for i, _, c in brute(fixtures.hard_rows()) if i == c and i is not None}
     assert sorted(i for i in ids if i is not None) == sorted(want)
-    assert ids.count(None) == 2
+    assert ids.count(None) == 1     # of the rows without id one copies a row that has an id
     assert J.ngram_jaccard_join(fixtures.no_docs(spark)).count() == 0
 
 
