@@ -9,11 +9,14 @@ by a join on the key; no per-key window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..plans.scan import running_agg, scan_plan
+from .restocking import amount, in_int, in_order, totals
 
 # Messages of the inventory page.
 REQUIRED = "Product name and unit price are required."
@@ -24,6 +27,10 @@ MONEY_MAX = 99999999.99
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
 NEW, DUPLICATE, INVALID = "new", "duplicate", "invalid"
+# Answers of the stock forms.
+NOTHING_TO_ADD = "Please enter at least some containers or loose pieces to add."
+MERGE_FAILED = "Failed to merge stock: "
+ADDED, REFUSED, UNKNOWN, NOTHING = "added", "refused", "unknown", "nothing"
 
 _TEXT = ("product_name", "container_unit", "individual_unit", "model_size", "supplier_name",
          "supplier_contact", "description")
@@ -152,39 +159,45 @@ def _keyed_update(products: DataFrame, changes: DataFrame, columns: dict[str, st
     return j.select(*out)
 
 
-def _in_int(c: str) -> F.Column:
-    """Whether a value fits the stock columns."""
-    return F.col(c).between(-(1 << 31), (1 << 31) - 1)
+def _js_zero(c: str) -> F.Column:
+    """``value == 0`` of a form field in the browser: a blank field counts."""
+    text = F.btrim(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" \t\n\r\f\x0b"))
+    return (text == "") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
 
 
 def quick_add_guard(additions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The quick-add form refuses a request adding nothing (0 containers and
     0 loose pieces). Returns (requests to send, refused requests)."""
-    nothing = (X.php_int("containers") == 0) & (X.php_int("loose") == 0)
+    nothing = _js_zero("containers") & _js_zero("loose")
     return additions.where(~nothing), additions.where(nothing)
 
 
+def _additions(products: DataFrame, additions: DataFrame) -> DataFrame:
+    """Requests of known products with the stock they start from. Without a
+    ``seq`` column the order is that of the rows as they are read."""
+    seq = F.col("seq").cast("bigint") if "seq" in additions.columns else F.monotonically_increasing_id()
+    a = additions.select(seq.alias("seq"), X.php_int("product_id").alias("product_id"),
+                         amount(X.php_int("containers")).alias("dc"), amount(X.php_int("loose")).alias("dl"))
+    p = products.select(F.col("id").cast("bigint").alias("product_id"), "product_name", X.eff_ppc().alias("ppc"),
+                        F.coalesce(F.col("container_quantity").cast("bigint"), F.lit(0)).alias("c0"),
+                        F.coalesce(F.col("loose_pieces").cast("bigint"), F.lit(0)).alias("l0"))
+    return a.join(p, "product_id", "left")
+
+
 def restock(products: DataFrame, additions: DataFrame, now=None,
             quick_add: bool = False) -> tuple[DataFrame, DataFrame]:
     """Add containers and loose pieces to existing products (not
     normalised); unknown ids are ignored. With ``quick_add`` the requests
-    adding nothing are dropped first, as that form does. Requests beyond the
-    columns' range are refused; so are all of a product's whose sum is. Returns
-    (products_after, report with the new total pieces per changed product)."""
+    adding nothing are dropped first, as that form does. Requests run in
+    ``seq`` order; one that would take a column out of its range is refused
+    alone (``restocking``). Returns (products_after, report with the new total
+    pieces per changed product)."""
     if quick_add:
         additions, _refused = quick_add_guard(additions)
-    a = additions.select(X.php_int("product_id").alias("product_id"),
-                         X.php_int("containers").alias("c"), X.php_int("loose").alias("l"))
-    a = a.where(_in_int("c") & _in_int("l"))    # the database refuses any other value
-    sums = a.groupBy("product_id").agg(F.sum("c").alias("_dc"), F.sum("l").alias("_dl"), F.count(F.lit(1)).alias("requests"))
-    p = products.select(F.col("id").cast("bigint").alias("product_id"), X.eff_ppc().alias("_ppc"),
-                        F.coalesce(F.col("container_quantity").cast("bigint"), F.lit(0)).alias("_c0"),
-                        F.coalesce(F.col("loose_pieces").cast("bigint"), F.lit(0)).alias("_l0"))
-    ch = sums.join(p, "product_id", "inner").select(
-        "product_id", "requests",
-        (F.col("_c0") + F.col("_dc")).alias("container_quantity_new"),
-        (F.col("_l0") + F.col("_dl")).alias("loose_pieces_new"), "_ppc")
-    ch = ch.where(_in_int("container_quantity_new") & _in_int("loose_pieces_new"))
+    known = _additions(products, additions).where(F.col("ppc").isNotNull())
+    ppc = products.select(F.col("id").cast("bigint").alias("product_id"), X.eff_ppc().alias("_ppc"))
+    ch = totals(known).join(ppc, "product_id").select(
+        "product_id", "requests", F.col("c").alias("container_quantity_new"), F.col("l").alias("loose_pieces_new"), "_ppc")
     report = ch.select("product_id", "requests", F.col("container_quantity_new").alias("container_quantity"),
                        F.col("loose_pieces_new").alias("loose_pieces"),
                        (F.col("container_quantity_new") * F.col("_ppc") + F.col("loose_pieces_new")).alias("total_pieces"))
@@ -193,12 +206,44 @@ def restock(products: DataFrame, additions: DataFrame, now=None,
     return after, report
 
 
+def restock_requests(products: DataFrame, additions: DataFrame, quick_add: bool = False) -> DataFrame:
+    """What the page answers to every request, taken in ``seq`` order:
+    ``added``, ``refused`` (a column would leave its range), both with the
+    stock after it, ``unknown`` (no such product; the page says nothing) or, with
+    ``quick_add``, ``nothing`` (the form does not send it)."""
+    answers = []
+    if quick_add:
+        additions, refused = quick_add_guard(additions)
+        answers.append(refused.select(
+            F.col("seq").cast("bigint").alias("seq"), X.php_int("product_id").alias("product_id"),
+            F.lit(NOTHING).alias("status"), F.lit(NOTHING_TO_ADD).alias("message"),
+            *[F.lit(None).cast("bigint").alias(c) for c in ("container_quantity", "loose_pieces", "total_pieces")]))
+    rows = _additions(products, additions)
+    known = rows.where(F.col("ppc").isNotNull())
+    names = products.select(F.col("id").cast("bigint").alias("product_id"), "product_name", X.eff_ppc().alias("ppc"))
+    done = in_order(known).join(names, "product_id")
+    total = F.col("c") * F.col("ppc") + F.col("l")
+    added = F.concat(F.lit("Stock successfully added to existing product '"), F.coalesce("product_name", F.lit("")),
+                     F.lit("'! Added: "), F.col("dc").cast("string"), F.lit(" containers + "), F.col("dl").cast("string"),
+                     F.lit(" pieces. New total: "), total.cast("string"), F.lit(" pieces."))
+    ok = F.col("refused").isNull()
+    failed = F.format_string((MERGE_FAILED + OUT_OF_RANGE).replace("{}", "%s"), "refused")
+    answers.append(done.select(
+        "seq", "product_id", F.when(ok, ADDED).otherwise(REFUSED).alias("status"),
+        F.when(ok, added).otherwise(failed).alias("message"),
+        F.col("c").alias("container_quantity"), F.col("l").alias("loose_pieces"), total.alias("total_pieces")))
+    answers.append(rows.where(F.col("ppc").isNull()).select(
+        "seq", "product_id", F.lit(UNKNOWN).alias("status"), F.lit(None).cast("string").alias("message"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("container_quantity", "loose_pieces", "total_pieces")]))
+    return reduce(DataFrame.unionByName, answers)
+
+
 def set_stock(products: DataFrame, changes: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
     """Replace both stock values as given; the last request per product
     wins; unknown ids change nothing."""
     c = changes.select("seq", X.php_int("product_id").alias("product_id"),
                        X.php_int("containers").alias("c"), X.php_int("loose").alias("l"))
-    c = c.where(_in_int("c") & _in_int("l"))    # the database refuses any other value
+    c = c.where(in_int(F.col("c")) & in_int(F.col("l")))    # the database refuses any other value
     last = c.groupBy("product_id").agg(F.max_by(F.struct("c", "l"), "seq").alias("_v"),
                                        F.count(F.lit(1)).alias("requests"))
     known = last.join(products.select(F.col("id").cast("bigint").alias("product_id")), "product_id", "left_semi")
