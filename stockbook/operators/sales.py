@@ -84,14 +84,18 @@ def item_counts_for(sel: DataFrame, items: DataFrame, bounded: bool = False,
     return out.withColumn("item_count", F.coalesce(F.col("item_count"), F.lit(0).cast("bigint")))
 
 
+def _window(date_from, date_to, as_of):
+    """Missing ends of a date range, from the default range of ``as_of``."""
+    d_from, d_to = default_range(as_of)
+    return date_from or d_from, date_to or d_to
+
+
 def sales_history(sales: DataFrame, items: DataFrame, date_from=None, date_to=None,
-                  limit: int = 100) -> DataFrame:
+                  limit: int = 100, as_of=None) -> DataFrame:
     """Newest ``limit`` sales whose day lies in [date_from, date_to], with
-    the 12-hour date text, the number of lines and the customer fallback."""
-    if date_from is None or date_to is None:
-        d_from, d_to = default_range()
-        date_from = date_from or d_from
-        date_to = date_to or d_to
+    the 12-hour date text, the number of lines and the customer fallback. A
+    missing end is that of the month of ``as_of`` (default today) so far."""
+    date_from, date_to = _window(date_from, date_to, as_of)
     in_range = in_days(sales, date_from, date_to)
     top = in_range.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(limit)
     out = item_counts_for(top, items, bounded=limit <= TOP_BROADCAST)
@@ -100,13 +104,11 @@ def sales_history(sales: DataFrame, items: DataFrame, date_from=None, date_to=No
             .orderBy(F.col("sale_date").desc(), F.col("id").desc()))
 
 
-def sales_analytics(sales: DataFrame, date_from=None, date_to=None) -> DataFrame:
+def sales_analytics(sales: DataFrame, date_from=None, date_to=None, as_of=None) -> DataFrame:
     """COUNT / SUM / AVG / MAX / MIN of the amounts in the range, each 0 when
-    there is no sale. Not limited to the 100 rows of the history."""
-    if date_from is None or date_to is None:
-        d_from, d_to = default_range()
-        date_from = date_from or d_from
-        date_to = date_to or d_to
+    there is no sale. Not limited to the 100 rows of the history. Missing ends
+    as in the history."""
+    date_from, date_to = _window(date_from, date_to, as_of)
     amt = F.col("total_amount")
     zero = F.lit(0)
     figures = (in_days(sales, date_from, date_to)
@@ -115,7 +117,11 @@ def sales_analytics(sales: DataFrame, date_from=None, date_to=None) -> DataFrame
                     F.coalesce(F.avg(amt), zero.cast("decimal(14,6)")).alias("average_sale"),
                     F.coalesce(F.max(amt), zero.cast("decimal(10,2)")).alias("highest_sale"),
                     F.coalesce(F.min(amt), zero.cast("decimal(10,2)")).alias("lowest_sale")))
-    # the cards as the page shows them
+    return figures_text(figures)
+
+
+def figures_text(figures: DataFrame) -> DataFrame:
+    """The figures and their cards as the page shows them."""
     return figures.select(
         "*", X.number_format("total_sales", 0).alias("total_sales_text"),
         *[X.money_text(c, "$").alias(f"{c}_text")
