@@ -11,7 +11,8 @@ Checkout rules, per cart, lines in posted order, first failure wins:
 2. (int)product_id <= 0 or (int)quantity <= 0 -> "Invalid item entry.";
 3. product unknown -> "Product not found.";
 4. quantity > pieces available at the start of the cart ->
-   "<name> has only <n> available." The check uses the *quantity*, lines of
+   "<name> has only <n> available."; then a unit that is an array or object
+   fails the server's trim. The check uses the *quantity*, lines of
    one cart are not summed, and the deduction is quantity * ppc for a
    container unit (box / container / sack / bundle, any letter case), clamped
    at 0 and stored normalised. The price is the product's, the line total
@@ -39,6 +40,8 @@ from .sales import in_days
 NO_ITEMS = "No items provided."
 INVALID_ITEM = "Invalid item entry."
 NOT_FOUND = "Product not found."
+# The server's error for a unit that is no text.
+UNIT_NESTED = "trim(): Argument #1 ($string) must be of type string, array given"
 # The database's error for a value outside a column's range (MySQL error 1264).
 OUT_OF_RANGE = "SQLSTATE[22003]: Numeric value out of range: 1264 Out of range value for column '{}' at row 1"
 MONEY_MAX = "99999999.99"
@@ -48,6 +51,41 @@ VALID_QUANTITY = "Please enter a valid quantity"
 NOT_ENOUGH = "Not enough stock."
 
 
+# A payload in which the type of a value matters: booleans or nested values
+# (also where such text stands inside a string, which the typed reading tells).
+_TYPED = r"true|false|:\s*[\[{]"
+
+
+def _typed_number(v: F.Column) -> F.Column:
+    """(int) of a JSON value that is not a number or text: a boolean as 1 or 0,
+    an array or object as 1 unless it is empty. NULL for numbers, text, null."""
+    kind = F.schema_of_variant(v)
+    nested = F.to_json(v)
+    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"),
+                  F.when(nested.isin("[]", "{}"), 0).otherwise(1).cast("bigint")))
+
+
+def _typed_line(x: F.Column) -> F.Column:
+    """A line of a typed payload."""
+    part = lambda name, kind: F.try_variant_get(x, f"$.{name}", kind)
+    unit = part("unit_type", "variant")
+    kind = F.schema_of_variant(unit)
+    flag = F.try_variant_get(unit, "$", "boolean")
+    text = F.when(kind == "BOOLEAN", F.when(flag, "1").otherwise("")).otherwise(part("unit_type", "string"))
+    return F.struct(part("product_id", "string").alias("product_id"), part("quantity", "string").alias("quantity"),
+                    text.alias("unit_type"), part("unit_price", "string").alias("unit_price"),
+                    _typed_number(part("product_id", "variant")).alias("product_number"),
+                    _typed_number(part("quantity", "variant")).alias("quantity_number"),
+                    F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False)).alias("unit_nested"))
+
+
+def _plain_line(x: F.Column) -> F.Column:
+    none = F.lit(None).cast("bigint")
+    return F.struct(*[x[c].alias(c) for c in ("product_id", "quantity", "unit_type", "unit_price")],
+                    none.alias("product_number"), none.alias("quantity_number"), F.lit(False).alias("unit_nested"))
+
+
 def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per posted element, plus one row with NULL ``line_pos`` for a
     cart whose payload is not a non-empty JSON array or object.
@@ -57,24 +95,34 @@ def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     direct parse gives NULL) element by element, so such elements become
     all-NULL lines ("Invalid item entry.") like the server reads them. Fields
     are read after the explode, so no element is parsed twice.
+
+    Payloads with booleans or nested values are read as VARIANT, which keeps
+    the JSON types: ``true`` is the number 1 where the text "true" is 0, an array
+    or object is 1 unless it is empty, a boolean unit is "1" or "". A nested unit
+    fails the server's trim; ``unit_nested`` marks it.
     """
     raw = X.php_trim("items")
     per_elem = lambda arr: F.transform(arr, lambda x: F.from_json(x, CART_ITEM))
     as_object = per_elem(F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.StringType()))))
     as_array = F.coalesce(F.from_json(raw, T.ArrayType(CART_ITEM)),
                           per_elem(F.from_json(raw, T.ArrayType(T.StringType()))))
-    elems = F.when(raw.startswith("{"), as_object).otherwise(as_array)
+    typed_object = F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.VariantType())))
+    typed_array = F.from_json(raw, T.ArrayType(T.VariantType()))
+    is_object = raw.startswith("{")
+    elems = F.when(raw.rlike(_TYPED), F.transform(F.when(is_object, typed_object).otherwise(typed_array), _typed_line)
+                   ).otherwise(F.transform(F.when(is_object, as_object).otherwise(as_array), _plain_line))
     ex = carts.select("cart_id", *keep, F.posexplode_outer(elems).alias("_pos", "_it"))
     it = F.col("_it")
     return ex.select(
         "cart_id", *keep,
         (F.col("_pos") + 1).cast("int").alias("line_pos"),
-        X.php_int(it["product_id"]).alias("product_id"),
-        X.php_int(it["quantity"]).alias("quantity"),
+        F.coalesce(it["product_number"], X.php_int(it["product_id"])).alias("product_id"),
+        F.coalesce(it["quantity_number"], X.php_int(it["quantity"])).alias("quantity"),
         X.php_trim(F.coalesce(it["unit_type"], F.lit("pieces"))).alias("unit_type"),
         X.php_number(it["unit_price"]).alias("client_unit_price"),
         it["product_id"].alias("product_id_text"),
         it["quantity"].alias("quantity_text"),
+        it["unit_nested"].alias("unit_nested"),
     ).withColumn("line_ok", (F.col("product_id") > 0) & (F.col("quantity") > 0))
 
 
@@ -239,6 +287,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         "ppc", "stock",
         F.when(~F.col("line_ok"), F.lit(INVALID_ITEM))
          .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)).alias("_static"),
+        F.when(F.col("unit_nested"), F.lit(UNIT_NESTED)).alias("_unit_error"),
         _pieces(cont).alias("pieces"),
     ))
     l, empty = split_payloads(l)
@@ -252,7 +301,8 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         F.when(F.col("_sum") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_amount")))
          .when(F.col("_max_line") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_price")))
          .alias("_insert_error")).where(F.col("_insert_error").isNotNull())
-    blocked = l.where(F.col("_static").isNotNull()).select("cart_id").union(too_big.select("cart_id")).distinct()
+    blocked = (l.where(F.col("_static").isNotNull() | F.col("_unit_error").isNotNull()).select("cart_id")
+               .union(too_big.select("cart_id")).distinct())
     # read by the skew check, the admission and the availability pass
     per_res = reuse(l.where(F.col("_static").isNull())
                     .groupBy("cart_id", "product_id")
@@ -273,7 +323,8 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
     stock_msg = F.concat(F.col("product_name"), F.lit(" has only "), F.col("available").cast("string"),
                          F.lit(" available."))
     lv = lv.withColumn("_err", F.coalesce(F.col("_static"),
-                                          F.when(F.col("quantity") > F.col("available"), stock_msg)))
+                                          F.when(F.col("quantity") > F.col("available"), stock_msg),
+                                          F.col("_unit_error")))
     reasons = (lv.where(F.col("_err").isNotNull()).groupBy("cart_id")
                .agg(F.min_by("_err", "line_pos").alias("reason")))
     acc = adm.where("admitted").select("cart_id")

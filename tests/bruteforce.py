@@ -17,6 +17,8 @@ def php_int(v) -> int:
         return 0
     if isinstance(v, bool):
         return int(v)
+    if isinstance(v, (list, dict)):
+        return int(len(v) > 0)
     if isinstance(v, int):
         return v
     if isinstance(v, float):
@@ -68,7 +70,10 @@ def checkout(carts, products):
                 err = f"{p['product_name']} has only {avail} available."
                 break
             unit = get("unit_type")
-            unit = php_trim(str(unit)) if unit is not None else "pieces"
+            if isinstance(unit, (list, dict)):
+                err = "trim(): Argument #1 ($string) must be of type string, array given"
+                break
+            unit = "pieces" if unit is None else "1" if unit is True else "" if unit is False else php_trim(str(unit))
             pieces = qty * eff_ppc(p) if any(w in unit.lower() for w in CONTAINER) else qty
             prepared.append((pid, pieces, money(p["unit_price"]) * qty))
         if err:
