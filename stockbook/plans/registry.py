@@ -85,14 +85,17 @@ def _split_label(show_loose_cond: str) -> str:
 
 
 # --- sales reports ----------------------------------------------------------
-@register("dashboard_kpis", with_ctes(f"""
+_DASHBOARD_SQL = with_ctes(f"""
 SELECT (SELECT COUNT(*) FROM products) AS total_products,
        (SELECT COUNT(*) FROM sales WHERE CAST(sale_date AS DATE) = DATE '{AS_OF}') AS today_sales,
        (SELECT COUNT(*) FROM products
          WHERE (CAST(container_quantity AS BIGINT) * pieces_per_container) <= minimum_stock) AS low_stock,
        (SELECT CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) FROM sales
          WHERE CAST(sale_date AS DATE) = DATE '{AS_OF}') AS today_revenue
-""", "products", "sales"))
+""", "products", "sales")
+
+
+@register("dashboard_kpis", _DASHBOARD_SQL)
 def q_dashboard_kpis(spark, sf_dir):
     t = _t(spark, sf_dir)
     return for_compare(sl.dashboard_kpis(t["products"], t["sales"], AS_OF))
@@ -112,6 +115,21 @@ def q_sales_history(spark, sf_dir):
     return for_compare(sl.sales_history(t["sales"], t["sale_items"], DATE_FROM, DATE_TO, 100))
 
 
+@register("sales_history_default", with_ctes(f"""
+SELECT {SALE_COLS}, COUNT(si.id) AS item_count,
+       {_fallback('s.customer_name', 'Walk-in Customer')} AS customer_display
+FROM sales s LEFT JOIN sale_items si ON s.id = si.sale_id
+WHERE CAST(s.sale_date AS DATE) BETWEEN date_trunc('month', DATE '{AS_OF}') AND DATE '{AS_OF}'
+GROUP BY {SALE_GROUP}
+ORDER BY s.sale_date DESC, s.id DESC
+LIMIT 100
+""", "sales", "sale_items"))
+def q_sales_history_default(spark, sf_dir):
+    """The page opened without dates: from the first of the month to that day."""
+    t = _t(spark, sf_dir)
+    return for_compare(sl.sales_history(t["sales"], t["sale_items"], as_of=AS_OF))
+
+
 # average as MySQL keeps it (6 decimals, half up), computed exactly in cents
 _AVG6 = ("CAST((2 * SUM(CAST(round(total_amount * 100) AS HUGEINT)) * 10000 + COUNT(*)) "
          "// (2 * COUNT(*)) AS DOUBLE) / 1000000")
@@ -122,7 +140,8 @@ _AVG_CENTS = ("(2 * ((2 * SUM(CAST(round(total_amount * 100) AS HUGEINT)) * 1000
               " + 10000) // 20000")
 
 
-@register("sales_analytics", with_ctes(f"""
+def _analytics_sql(where: str) -> str:
+    return with_ctes(f"""
 SELECT total_sales, total_revenue, average_sale, highest_sale, lowest_sale,
        format('{{:,}}', total_sales) AS total_sales_text,
        '$' || format('{{:,.2f}}', total_revenue) AS total_revenue_text,
@@ -136,14 +155,49 @@ FROM (
          CAST(COALESCE({_AVG_CENTS}, 0) AS BIGINT) AS avg_cents,
          CAST(COALESCE(MAX(total_amount), 0) AS DOUBLE) AS highest_sale,
          CAST(COALESCE(MIN(total_amount), 0) AS DOUBLE) AS lowest_sale
-  FROM sales s WHERE CAST(s.sale_date AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'
+  FROM sales s WHERE {where}
 ) a
-""", "sales"))
+""", "sales")
+
+
+_IN_RANGE = f"CAST(s.sale_date AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'"
+
+
+@register("sales_analytics", _analytics_sql(_IN_RANGE))
 def q_sales_analytics(spark, sf_dir):
     t = _t(spark, sf_dir)
     return for_compare(sl.sales_analytics(t["sales"], DATE_FROM, DATE_TO))
 
 
+@register("sales_analytics_days", _analytics_sql(_IN_RANGE))
+def q_sales_analytics_days(spark, sf_dir):
+    """The analytics of the range merged from one partial a day."""
+    from ..operators import daily_figures as days
+    return for_compare(days.analytics(days.day_partials(_t(spark, sf_dir)["sales"]), DATE_FROM, DATE_TO))
+
+
+@register("sales_analytics_after_delete", _analytics_sql(f"{_IN_RANGE} AND s.total_amount < {HIGH_VALUE}"))
+def q_sales_analytics_after_delete(spark, sf_dir):
+    """The same after a cascade delete of the high-value sales: only the days
+    that lost sales are counted again."""
+    from pyspark.sql import functions as F
+    from ..operators import daily_figures as days
+    from ..sources.tables import delete_cascade
+    t = _t(spark, sf_dir)
+    gone = t["sales"].where(F.col("total_amount") >= HIGH_VALUE)
+    _, left, _ = delete_cascade(t["products"], t["sales"], t["sale_items"], sale_ids=gone.select("id"))
+    mended = days.refreshed(days.day_partials(t["sales"]), left, days.touched_days(gone))
+    return for_compare(days.analytics(mended, DATE_FROM, DATE_TO))
+
+
+@register("dashboard_kpis_days", _DASHBOARD_SQL)
+def q_dashboard_kpis_days(spark, sf_dir):
+    """The dashboard with its sales figures from the day's partial."""
+    from ..operators import daily_figures as days
+    t = _t(spark, sf_dir)
+    return for_compare(days.dashboard(t["products"], days.day_partials(t["sales"]), AS_OF))
+
+
 # --- receipts ---------------------------------------------------------------
 def _listing_sql(where: str, order: str = "s.sale_date DESC, s.id DESC", limit: str = "") -> str:
     return with_ctes(f"""
@@ -354,6 +408,37 @@ def q_stock_ledger_final(spark, sf_dir):
     return for_compare(final)
 
 
+# the day from which the ledger is resumed
+RESUME_DAY = "2024-01-16"
+
+
+@register("stock_ledger_resumed", with_ctes(_LEDGER_WALK + f"""
+SELECT event_id, CAST(product_id AS BIGINT) AS product_id, kind, c * ppc + l AS total_after
+FROM walk WHERE rn > 0 AND CAST(ts AS DATE) >= DATE '{RESUME_DAY}'
+""", "products", "stock_events", recursive=True))
+def q_stock_ledger_resumed(spark, sf_dir):
+    """The ledger from a day on, started from the summaries of the days before."""
+    from ..operators import ledger_days as ld
+    prods, ev = tm.products(spark, sf_dir), tm.stock_events(spark, sf_dir)
+    r = ld.resume(prods, ld.day_summaries(prods, ev), ev, RESUME_DAY)
+    return for_compare(r.select("event_id", "product_id", "kind", "total_after"))
+
+
+@register("stock_closing_days", with_ctes(_LEDGER_WALK + """
+SELECT CAST(product_id AS BIGINT) AS product_id, strftime(day, '%Y-%m-%d') AS day, c AS container_quantity,
+       l AS loose_pieces, c * ppc + l AS total_pieces, events
+FROM (SELECT product_id, CAST(ts AS DATE) AS day, arg_max(c, rn) AS c, arg_max(l, rn) AS l, any_value(ppc) AS ppc,
+             COUNT(*) AS events FROM walk WHERE rn > 0 GROUP BY product_id, CAST(ts AS DATE))
+""", "products", "stock_events", recursive=True))
+def q_stock_closing_days(spark, sf_dir):
+    """Every product's stock at the end of every day with events."""
+    from pyspark.sql import functions as F
+    from ..operators import ledger_days as ld
+    prods = tm.products(spark, sf_dir)
+    days = ld.closing_stock(prods, ld.day_summaries(prods, tm.stock_events(spark, sf_dir)))
+    return for_compare(days.withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+
+
 # --- checkout ---------------------------------------------------------------
 _LINES_SQL = """,
 l AS (SELECT CAST(sale_id AS BIGINT) AS cart_id,
@@ -404,21 +489,96 @@ def q_cart_preview(spark, sf_dir):
     return for_compare(co.cart_preview(tm.carts(spark, sf_dir), tm.products(spark, sf_dir)))
 
 
-@register("checkout")
-def q_checkout(spark, sf_dir):
-    """Whole batch of carts against the stock; no SQL oracle (an ordered,
-    all-or-nothing loop over all carts); tested against a sequential model."""
+# Oracle: the server's loop, one cart per step of a recursive walk that carries
+# the stock of all products as a list; a cart's first failing line refuses it.
+_CHECKOUT_WALK = f""",
+pp AS (SELECT CAST(id AS BIGINT) AS id, product_name, unit_price, {PPC} AS ppc, CAST({TOTAL} AS BIGINT) AS stock,
+              row_number() OVER (ORDER BY id) AS place FROM products),
+cl AS (SELECT si.sale_id AS cart_id, row_number() OVER (PARTITION BY si.sale_id ORDER BY si.id) AS line_pos,
+              CAST(si.product_id AS BIGINT) AS product_id, CAST(si.quantity_sold AS BIGINT) AS quantity,
+              COALESCE(si.unit_type, 'pieces') AS unit_type, pp.place, pp.product_name, pp.unit_price, pp.ppc,
+              CAST(si.quantity_sold AS BIGINT) * CASE
+                WHEN regexp_matches(lower(COALESCE(si.unit_type, '')), 'box|container|sack|bundle') THEN pp.ppc ELSE 1 END
+                AS pieces,
+              CASE WHEN si.quantity_sold <= 0 OR si.product_id <= 0 THEN 'Invalid item entry.'
+                   WHEN pp.id IS NULL THEN 'Product not found.' END AS error
+       FROM sale_items si LEFT JOIN pp ON pp.id = si.product_id),
+cart AS (SELECT row_number() OVER (ORDER BY s.sale_date, s.id) AS seq, s.id AS cart_id, s.sale_date, s.staff_name,
+                s.customer_name, s.customer_address, s.lpo_number, l.lines, l.total
+         FROM sales s JOIN (SELECT cart_id, SUM(unit_price * quantity) AS total,
+                                   list(struct_pack(place := place, quantity := quantity, pieces := pieces, error := error,
+                                                    name := product_name) ORDER BY line_pos) AS lines
+                            FROM cl GROUP BY cart_id) l ON l.cart_id = s.id),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS seq, (SELECT list(stock ORDER BY place) FROM pp) AS stock, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT seq, CASE WHEN failed IS NULL THEN list_transform(stock, lambda s, i: GREATEST(0, s - COALESCE(list_sum(
+                     list_transform(list_filter(lines, lambda l: l.place = i), lambda l: l.pieces)), 0)))
+              ELSE stock END,
+         CASE WHEN failed IS NOT NULL THEN COALESCE(failed.error, failed.name || ' has only ' || stock[failed.place]
+                                                    || ' available.') END
+  FROM (SELECT cart.seq, walk.stock, cart.lines, list_filter(cart.lines, lambda l: l.error IS NOT NULL
+                     OR l.quantity > walk.stock[l.place])[1] AS failed
+        FROM walk JOIN cart ON cart.seq = walk.seq + 1)
+),
+sold AS (SELECT cart.*, CAST(sale_date AS DATE) AS day, row_number() OVER (ORDER BY seq) AS sale_id,
+                'SALE' || strftime(sale_date, '%Y%m%d') || lpad(CAST(row_number() OVER (
+                   PARTITION BY CAST(sale_date AS DATE) ORDER BY seq) AS VARCHAR), 8, '0') AS sale_number
+         FROM cart JOIN walk USING (seq) WHERE walk.reason IS NULL)
+"""
+
+
+def _checkout(spark, sf_dir):
     from ..operators import checkout as co
-    res = co.checkout(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))
-    return for_compare(res.decisions.select("cart_id", "accepted", "reason", "sale_id", "sale_number",
-                                            "total_amount"))
+    return co.checkout(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))
+
 
+@register("checkout", with_ctes(_CHECKOUT_WALK + """
+SELECT cart.cart_id, walk.reason IS NULL AS accepted, walk.reason, CAST(sold.sale_id AS DOUBLE) AS sale_id,
+       sold.sale_number, CAST(sold.total AS DOUBLE) AS total_amount
+FROM cart JOIN walk USING (seq) LEFT JOIN sold USING (seq)
+""", "products", "sales", "sale_items", recursive=True))
+def q_checkout(spark, sf_dir):
+    """What becomes of every cart. The sale id of a refused cart is missing, so
+    both sides emit it as DOUBLE."""
+    from pyspark.sql import functions as F
+    d = _checkout(spark, sf_dir).decisions
+    return for_compare(d.select("cart_id", "accepted", "reason", F.col("sale_id").cast("double").alias("sale_id"),
+                                "sale_number", "total_amount"))
 
-@register("checkout_stock")
+
+@register("checkout_stock", with_ctes(_CHECKOUT_WALK + """
+SELECT pp.id AS product_id, last.stock[pp.place] // pp.ppc AS container_quantity,
+       last.stock[pp.place] % pp.ppc AS loose_pieces
+FROM pp, (SELECT stock FROM walk ORDER BY seq DESC LIMIT 1) last
+WHERE pp.id IN (SELECT product_id FROM cl WHERE cart_id IN (SELECT cart_id FROM sold))
+""", "products", "sales", "sale_items", recursive=True))
 def q_checkout_stock(spark, sf_dir):
-    from ..operators import checkout as co
-    res = co.checkout(tm.carts(spark, sf_dir), tm.products(spark, sf_dir))
-    return for_compare(res.stock.drop("updated_at"))
+    """The stock of every product that was sold."""
+    return for_compare(_checkout(spark, sf_dir).stock.drop("updated_at"))
+
+
+@register("checkout_sales", with_ctes(_CHECKOUT_WALK + f"""
+SELECT sale_id AS id, sale_number, CAST(total AS DOUBLE) AS total_amount,
+       strftime(sale_date, '%Y-%m-%d %H:%M:%S') AS sale_date, staff_name, COALESCE(customer_name, '') AS customer_name,
+       COALESCE(customer_address, '') AS customer_address, COALESCE(lpo_number, '') AS lpo_number,
+       CAST(NULL AS VARCHAR) AS notes
+FROM sold
+""", "products", "sales", "sale_items", recursive=True))
+def q_checkout_sales(spark, sf_dir):
+    """The sale headers that checkout appends."""
+    return for_compare(_checkout(spark, sf_dir).sales)
+
+
+@register("checkout_items", with_ctes(_CHECKOUT_WALK + """
+SELECT row_number() OVER (ORDER BY sold.seq, cl.line_pos) AS id, sold.sale_id, cl.product_id,
+       cl.quantity AS quantity_sold, cl.unit_type, CAST(cl.unit_price AS DOUBLE) AS unit_price,
+       CAST(cl.unit_price * cl.quantity AS DOUBLE) AS total_price
+FROM cl JOIN sold ON sold.cart_id = cl.cart_id
+""", "products", "sales", "sale_items", recursive=True))
+def q_checkout_items(spark, sf_dir):
+    """The sale lines that checkout appends."""
+    return for_compare(_checkout(spark, sf_dir).sale_items)
 
 
 # --- catalog maintenance -----------------------------------------------------
@@ -531,6 +691,101 @@ def q_set_stock_products(spark, sf_dir):
     return for_compare(after.select("id", "product_name", "container_quantity", "loose_pieces"))
 
 
+# Oracle: each product's requests one by one, as a recursive walk; a request
+# that would leave the INT range changes nothing.
+_RESTOCK_WALK = f""",
+p AS (SELECT id, product_name, {PPC} AS ppc, CAST(COALESCE(container_quantity, 0) AS BIGINT) AS c0,
+             CAST(COALESCE(loose_pieces, 0) AS BIGINT) AS l0 FROM products),
+rq AS (SELECT e.event_id AS seq, e.product_id, CAST(COALESCE((CAST(e.containers AS BIGINT) - 1) * 900000000, 0) AS BIGINT) AS dc,
+              CAST(COALESCE((CAST(e.loose AS BIGINT) - 2) * 800000000, 0) AS BIGINT) AS dl,
+              row_number() OVER (PARTITION BY e.product_id ORDER BY e.event_id) AS k
+       FROM stock_events e WHERE e.kind = 'add'),
+walk AS (
+  SELECT id AS product_id, CAST(0 AS BIGINT) AS k, c0 AS c, l0 AS l, CAST(0 AS BIGINT) AS dc, CAST(0 AS BIGINT) AS dl,
+         CAST(NULL AS VARCHAR) AS refused
+  FROM p
+  UNION ALL
+  SELECT product_id, k, CASE WHEN refused IS NULL THEN c + dc ELSE c END,
+         CASE WHEN refused IS NULL THEN l + dl ELSE l END, dc, dl, refused
+  FROM (SELECT rq.product_id, rq.k, w.c, w.l, rq.dc, rq.dl,
+               CASE WHEN w.c + rq.dc NOT BETWEEN -2147483648 AND 2147483647 THEN 'container_quantity'
+                    WHEN w.l + rq.dl NOT BETWEEN -2147483648 AND 2147483647 THEN 'loose_pieces' END AS refused
+        FROM walk w JOIN rq ON rq.product_id = w.product_id AND rq.k = w.k + 1)
+)
+"""
+
+
+@register("restock_requests", with_ctes(_RESTOCK_WALK + """
+SELECT rq.seq, CAST(rq.product_id AS BIGINT) AS product_id,
+       CASE WHEN p.id IS NULL THEN 'unknown' WHEN w.refused IS NULL THEN 'added' ELSE 'refused' END AS status,
+       CASE WHEN p.id IS NULL THEN NULL
+            WHEN w.refused IS NULL THEN 'Stock successfully added to existing product ''' || p.product_name || '''! Added: '
+                 || w.dc || ' containers + ' || w.dl || ' pieces. New total: ' || (w.c * p.ppc + w.l) || ' pieces.'
+            ELSE 'Failed to merge stock: SQLSTATE[22003]: Numeric value out of range: 1264 Out of range value for column '''
+                 || w.refused || ''' at row 1' END AS message,
+       CAST(w.c AS DOUBLE) AS container_quantity, CAST(w.l AS DOUBLE) AS loose_pieces,
+       CAST(w.c * p.ppc + w.l AS DOUBLE) AS total_pieces
+FROM rq LEFT JOIN p ON p.id = rq.product_id LEFT JOIN walk w ON w.product_id = rq.product_id AND w.k = rq.k
+""", "products", "stock_events", recursive=True))
+def q_restock_requests(spark, sf_dir):
+    """The answer to each of the bulk requests; stock columns are missing for
+    unknown products, so both sides emit them as DOUBLE."""
+    from ..operators import catalog
+    return for_compare(_stock_as_double(catalog.restock_requests(tm.products(spark, sf_dir), tm.bulk_requests(spark, sf_dir))))
+
+
+def _stock_as_double(df):
+    from pyspark.sql import functions as F
+    return df.select(*[F.col(c).cast("double").alias(c) if c in ("container_quantity", "loose_pieces", "total_pieces")
+                       else F.col(c) for c in df.columns])
+
+
+@register("bulk_restock_products", with_ctes(_RESTOCK_WALK + """
+SELECT CAST(p.id AS BIGINT) AS id, p.product_name,
+       CAST(CASE WHEN n.accepted > 0 THEN n.c ELSE q.container_quantity END AS BIGINT) AS container_quantity,
+       CAST(CASE WHEN n.accepted > 0 THEN n.l ELSE COALESCE(q.loose_pieces, 0) END AS BIGINT) AS loose_pieces
+FROM products q JOIN p ON p.id = q.id
+JOIN (SELECT product_id, arg_max(c, k) AS c, arg_max(l, k) AS l,
+             COUNT(*) FILTER (WHERE k > 0 AND refused IS NULL) AS accepted FROM walk GROUP BY product_id) n
+  ON n.product_id = p.id
+""", "products", "stock_events", recursive=True))
+def q_bulk_restock_products(spark, sf_dir):
+    """The products table after the bulk requests (missing loose pieces as 0)."""
+    from pyspark.sql import functions as F
+    from ..operators import catalog
+    after, _report = catalog.restock(tm.products(spark, sf_dir), tm.bulk_requests(spark, sf_dir))
+    return for_compare(after.select("id", "product_name", "container_quantity",
+                                    F.coalesce("loose_pieces", F.lit(0)).alias("loose_pieces")))
+
+
+@register("quick_add_requests", with_ctes(f""",
+p AS (SELECT id, product_name, {PPC} AS ppc, COALESCE(container_quantity, 0) AS c0, COALESCE(loose_pieces, 0) AS l0
+      FROM products),
+rq AS (SELECT event_id AS seq, product_id, COALESCE(containers, 0) AS dc, COALESCE(loose, 0) AS dl
+       FROM stock_events WHERE kind = 'add'),
+r AS (SELECT rq.*, dc = 0 AND dl = 0 AS nothing, p.id, p.product_name, p.ppc,
+             p.c0 + SUM(dc) OVER w AS c, p.l0 + SUM(dl) OVER w AS l
+      FROM rq LEFT JOIN p ON p.id = rq.product_id
+      WINDOW w AS (PARTITION BY rq.product_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT seq, CAST(product_id AS BIGINT) AS product_id,
+       CASE WHEN nothing THEN 'nothing' WHEN id IS NULL THEN 'unknown' ELSE 'added' END AS status,
+       CASE WHEN nothing THEN 'Please enter at least some containers or loose pieces to add.'
+            WHEN id IS NOT NULL THEN 'Stock successfully added to existing product ''' || product_name || '''! Added: '
+                 || dc || ' containers + ' || dl || ' pieces. New total: ' || CAST(c * ppc + l AS BIGINT) || ' pieces.' END
+         AS message,
+       CAST(CASE WHEN NOT nothing THEN c END AS DOUBLE) AS container_quantity,
+       CAST(CASE WHEN NOT nothing THEN l END AS DOUBLE) AS loose_pieces,
+       CAST(CASE WHEN NOT nothing THEN c * ppc + l END AS DOUBLE) AS total_pieces
+FROM r
+""", "products", "stock_events"))
+def q_quick_add_requests(spark, sf_dir):
+    """The restock requests sent by the quick-add form, which holds back those
+    that add nothing."""
+    from ..operators import catalog
+    return for_compare(_stock_as_double(catalog.restock_requests(
+        tm.products(spark, sf_dir), tm.stock_requests(spark, sf_dir, "add"), quick_add=True)))
+
+
 @register("set_stock", with_ctes(""",
 s AS (SELECT product_id, arg_max(COALESCE(containers, 0), event_id) AS c, arg_max(COALESCE(loose, 0), event_id) AS l,
              COUNT(*) AS requests

@@ -79,7 +79,7 @@ def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return li.select(
         ((F.col("l_orderkey") + 1) * 100 + F.row_number().over(w)).cast("bigint").alias("id"),
-        (F.col("l_orderkey") + 1).cast("int").alias("sale_id"),
+        (F.col("l_orderkey") + 1).cast("bigint").alias("sale_id"),
         (F.col("l_partkey") + 1).cast("int").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity_sold"),
         F.when(F.col("l_returnflag") == "A", "Box").when(F.col("l_returnflag") == "N", "piece")
@@ -158,6 +158,15 @@ def stock_requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), "product_id", "containers", "loose")
 
 
+def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restock posts of huge amounts, both signs, one per ``add`` event: many
+    would take a stock column out of its range, depending on those before."""
+    e = stock_events(spark, sf_dir).where(F.col("kind") == "add")
+    return e.select(F.col("event_id").alias("seq"), "product_id",
+                    ((F.col("containers").cast("bigint") - 1) * 900_000_000).alias("containers"),
+                    ((F.col("loose").cast("bigint") - 2) * 800_000_000).alias("loose"))
+
+
 def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price form posts, one per sale line: the line's unit price, '0' on
     every 7th quantity (refused)."""
@@ -217,7 +226,7 @@ sale_items AS (
   SELECT CAST((l_orderkey + 1) * 100 + row_number() OVER (PARTITION BY l_orderkey
              ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
                       l_discount, l_returnflag, l_shipdate) AS BIGINT) AS id,
-         CAST(l_orderkey + 1 AS INTEGER) AS sale_id,
+         CAST(l_orderkey + 1 AS BIGINT) AS sale_id,
          CAST(l_partkey + 1 AS INTEGER) AS product_id,
          CAST(l_quantity AS INTEGER) AS quantity_sold,
          CASE l_returnflag WHEN 'A' THEN 'Box' WHEN 'N' THEN 'piece' END AS unit_type,
@@ -258,4 +267,4 @@ def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
 
 
 __all__ = ["products", "sales", "sale_items", "stock_events", "carts", "product_requests",
-           "stock_requests", "price_requests", "load_all", "SQL_CTES", "with_ctes"]
+           "stock_requests", "bulk_requests", "price_requests", "load_all", "SQL_CTES", "with_ctes"]

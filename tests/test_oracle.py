@@ -33,7 +33,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_known():
     no_sql = set(registry.QUERIES) - set(registry.ORACLE)
-    assert no_sql == {"checkout", "checkout_stock", "schema_report"}
+    assert no_sql == {"schema_report"}
 
 
 def test_entry_runs(spark):

@@ -29,7 +29,7 @@ def test_history_plan(spark):
     assert "TakeOrderedAndProject" in plan or "TopK" in plan or "Limit" in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     # only the needed columns of sale_items are read
-    assert "ReadSchema: struct<id:bigint,sale_id:int>" in plan
+    assert "ReadSchema: struct<id:bigint,sale_id:bigint>" in plan
 
 
 def test_receipt_search_plan(spark):
