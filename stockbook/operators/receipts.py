@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sales import TOP_BROADCAST, in_days, item_counts_for, today
+from . import trigrams
+from .sales import TOP_BROADCAST, in_days, item_counts_for, newest_months, today
 
 
 def _clean_term(q) -> str | None:
@@ -38,10 +39,17 @@ def _newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("sale_date").desc(), F.col("id").desc())
 
 
-def receipts_by_number(sales: DataFrame, items: DataFrame, q) -> DataFrame:
-    """Sales whose number contains ``q`` (LIKE '%q%', case-insensitive)."""
+def _containing(rows: DataFrame, column: str, term: str, index: DataFrame | None) -> DataFrame:
+    if index is None:
+        return rows.where(X.contains_ci(column, term))
+    return trigrams.contains(rows, index, column, term)
+
+
+def receipts_by_number(sales: DataFrame, items: DataFrame, q, index: DataFrame | None = None) -> DataFrame:
+    """Sales whose number contains ``q`` (LIKE '%q%', case-insensitive), found
+    through the numbers' trigram postings ``index`` where given."""
     t = _clean_term(q)
-    sel = _none(sales) if t is None else sales.where(X.contains_ci("sale_number", t))
+    sel = _none(sales) if t is None else _containing(sales, "sale_number", t, index)
     return _newest_first(_listing(sel, items))
 
 
@@ -75,13 +83,15 @@ def receipts_by_amount(sales: DataFrame, items: DataFrame, amount) -> DataFrame:
     return _newest_first(_listing(sel, items))
 
 
-def receipts_by_product(sales: DataFrame, items: DataFrame, products: DataFrame, q) -> DataFrame:
+def receipts_by_product(sales: DataFrame, items: DataFrame, products: DataFrame, q,
+                        index: DataFrame | None = None) -> DataFrame:
     """Sales with at least one line whose product name contains ``q``;
-    ``item_count`` counts those matching lines only."""
+    ``item_count`` counts those matching lines only. ``index``: the trigram
+    postings of the product names."""
     t = _clean_term(q)
     if t is None:
         return _newest_first(_listing(_none(sales), items))
-    matching = products.where(X.contains_ci("product_name", t)).select(F.col("id").alias("product_id"))
+    matching = _containing(products, "product_name", t, index).select(F.col("id").alias("product_id"))
     counts = (items.select("sale_id", "product_id", "id")
               .join(matching, "product_id", "left_semi")
               .groupBy("sale_id").agg(F.count("id").alias("item_count")))
@@ -90,8 +100,9 @@ def receipts_by_product(sales: DataFrame, items: DataFrame, products: DataFrame,
 
 
 def receipts_recent(sales: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` newest sales (10 on the receipts page, 5 and 3 in checks)."""
-    top = sales.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(n)
+    """The ``n`` newest sales (10 on the receipts page, 5 and 3 in checks).
+    Of a table stored by month only the newest months are read."""
+    top = newest_months(sales, n).orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(n)
     return _newest_first(_listing(top, items, bounded=n <= TOP_BROADCAST))
 
 

@@ -53,6 +53,23 @@ def in_days(sales: DataFrame, date_from, date_to) -> DataFrame:
     return sales.where(cond)
 
 
+def newest_months(sales: DataFrame, n: int) -> DataFrame:
+    """``sales`` cut to the newest month folders that hold ``n`` dated sales,
+    for tables with the ``sale_month`` partition column. The folders are walked
+    from the newest, one count of a folder at a time, so the plan that follows
+    lists and reads no older one. Months order as days do, so the newest ``n``
+    sales are all in these folders, with whatever ties at their edge."""
+    if "sale_month" not in sales.columns:
+        return sales
+    names = {part[len("sale_month="):] for f in sales.inputFiles() for part in f.split("/") if part.startswith("sale_month=")}
+    found = 0
+    for month in sorted((m for m in names if m[:1].isdigit()), reverse=True):
+        found += sales.where(F.col("sale_month") == month).count()
+        if found >= n:
+            return sales.where(F.col("sale_month") >= month)
+    return sales        # fewer dated sales than asked for: those without a date come last
+
+
 #: Largest top-n whose ids are broadcast.
 TOP_BROADCAST = 100_000
 

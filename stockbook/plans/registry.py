@@ -18,6 +18,7 @@ from ..functions.present import for_compare
 from ..operators import inventory as inv
 from ..operators import receipts as rc
 from ..operators import sales as sl
+from ..operators import trigrams
 from ..sources import testmap as tm
 from ..sources.testmap import with_ctes
 from .lineage import release
@@ -215,6 +216,14 @@ def q_receipts_by_number(spark, sf_dir):
     return for_compare(rc.receipts_by_number(t["sales"], t["sale_items"], NUMBER_TERM))
 
 
+@register("receipts_by_number_indexed", _listing_sql(f"WHERE s.sale_number ILIKE '%{NUMBER_TERM}%'"))
+def q_receipts_by_number_indexed(spark, sf_dir):
+    """The same search through the trigram postings of all sale numbers."""
+    t = _t(spark, sf_dir)
+    index = trigrams.postings(t["sales"], "sale_number")
+    return for_compare(rc.receipts_by_number(t["sales"], t["sale_items"], NUMBER_TERM, index))
+
+
 @register("receipts_by_date", _listing_sql(f"WHERE CAST(s.sale_date AS DATE) = DATE '{AS_OF}'"))
 def q_receipts_by_date(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -238,6 +247,14 @@ def q_receipts_by_product(spark, sf_dir):
     return for_compare(rc.receipts_by_product(t["sales"], t["sale_items"], t["products"], PRODUCT_TERM))
 
 
+@register("receipts_by_product_indexed", ORACLE["receipts_by_product"])
+def q_receipts_by_product_indexed(spark, sf_dir):
+    """The same search through the trigram postings of all product names."""
+    t = _t(spark, sf_dir)
+    index = trigrams.postings(t["products"], "product_name")
+    return for_compare(rc.receipts_by_product(t["sales"], t["sale_items"], t["products"], PRODUCT_TERM, index))
+
+
 @register("receipts_recent", _listing_sql("", limit=f"LIMIT {RECENT_N}"))
 def q_receipts_recent(spark, sf_dir):
     t = _t(spark, sf_dir)
