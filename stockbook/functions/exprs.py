@@ -7,6 +7,8 @@ no Python UDF in the package. Names follow the rule they implement.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +122,48 @@ def contains_ci(c, term: str) -> Column:
     return F.lower(col(c)).like(like_pattern(term).lower())
 
 
+# ----------------------------------------------------------------------------
+# Collation
+# ----------------------------------------------------------------------------
+# A deployment whose columns have an accent-insensitive, blank-padding
+# collation (the database's usual default) passes this one.
+ACCENT_INSENSITIVE = "UNICODE_CI_AI_RTRIM"
+
+
+def collated(c, collation: str | None = None) -> Column:
+    """A text for equality, joins, grouping and sorting under ``collation``;
+    without one, letter case alone is ignored."""
+    return F.collate(col(c), collation) if collation else F.lower(col(c))
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with accents, and their base letters."""
+    pairs = []
+    for code in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)):
+        whole = chr(code).lower()
+        base, *marks = unicodedata.normalize("NFD", whole)
+        if len(whole) == 1 and marks and all(unicodedata.combining(m) for m in marks):
+            pairs.append((whole, base))
+    pairs = sorted(set(pairs))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(c) -> Column:
+    """Lower case without accents and trailing blanks: what LIKE compares under
+    an accent-insensitive collation, character by character (Spark's LIKE takes
+    no such collation)."""
+    return F.rtrim(F.translate(F.lower(col(c)), *_accents()))
+
+
+def contains_collated(c, term: str, collation: str | None = None) -> Column:
+    """``c LIKE '%term%'`` under ``collation``; ``contains_ci`` without one.
+    A collation is taken to ignore accents if its name says ``AI``."""
+    if not collation or "AI" not in collation.split("_"):
+        return contains_ci(c, term)
+    marks = str.maketrans(*_accents())
+    return folded(c).like(like_pattern(term).lower().translate(marks))
+
+
 # ----------------------------------------------------------------------------
 # Dates
 # ----------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def _form(c: str, cols: list[str]):
     return X.php_trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
-def read_product_form(candidates: DataFrame) -> DataFrame:
+def read_product_form(candidates: DataFrame, collation: str | None = None) -> DataFrame:
     """Candidates as the add-product handler reads them, plus the duplicate
     key (lower(name), lower(model ?: ''))."""
     cols = candidates.columns
@@ -58,17 +58,17 @@ def read_product_form(candidates: DataFrame) -> DataFrame:
     range_error = F.when(F.col("unit_price") > F.lit(MONEY_MAX), F.lit(OUT_OF_RANGE.format("unit_price")))
     for c in _INTS:
         range_error = range_error.when(~F.col(c).between(INT_MIN, INT_MAX), F.lit(OUT_OF_RANGE.format(c)))
-    return (f.withColumn("_kname", F.lower("product_name"))
-            .withColumn("_kmodel", F.lower(model_key))
+    return (f.withColumn("_kname", X.collated("product_name", collation))
+            .withColumn("_kmodel", X.collated(model_key, collation))
             .withColumn("_invalid", X.php_falsy_str("product_name") | (F.col("unit_price") <= 0))
             .withColumn("_range_error", range_error))
 
 
-def _existing_by_key(products: DataFrame) -> DataFrame:
+def _existing_by_key(products: DataFrame, collation: str | None = None) -> DataFrame:
     """One row per duplicate key of the catalog: the lowest id holding it."""
     p = products.select(
-        F.lower("product_name").alias("_kname"),
-        F.lower(F.coalesce("model_size", F.lit(""))).alias("_kmodel"),
+        X.collated("product_name", collation).alias("_kname"),
+        X.collated(F.coalesce("model_size", F.lit("")), collation).alias("_kmodel"),
         F.struct(F.col("id").alias("existing_id"), F.col("product_name").alias("existing_name"),
                  X.php_fallback("model_size", X.NO_MODEL).alias("existing_model"),
                  X.total_pieces().alias("existing_total")).alias("_e"),
@@ -76,14 +76,15 @@ def _existing_by_key(products: DataFrame) -> DataFrame:
     return p.groupBy("_kname", "_kmodel").agg(F.min_by("_e", "id").alias("_e"))
 
 
-def new_product_check(products: DataFrame, candidates: DataFrame) -> DataFrame:
+def new_product_check(products: DataFrame, candidates: DataFrame, collation: str | None = None) -> DataFrame:
     """Per candidate: ``invalid`` (name empty or price <= 0), ``duplicate``
     of an existing product (same name and model, letter case ignored, no
     model = ''), or ``new``. Duplicates report the existing product, its
     stock in pieces (with its stored pieces-per-container) and the pieces the
-    request would add (containers * pieces per container, as submitted)."""
-    f = read_product_form(candidates)
-    j = f.join(_existing_by_key(products), ["_kname", "_kmodel"], "left")
+    request would add (containers * pieces per container, as submitted).
+    ``collation``: names and models that it holds equal are equal."""
+    f = read_product_form(candidates, collation)
+    j = f.join(_existing_by_key(products, collation), ["_kname", "_kmodel"], "left")
     e = F.col("_e")
     status = (F.when(F.col("_invalid"), F.lit(INVALID))
               .when(e.isNotNull(), F.lit(DUPLICATE))
@@ -99,15 +100,15 @@ def new_product_check(products: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def add_products(products: DataFrame, candidates: DataFrame, now=None,
-                 chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 chunk_rows: int | None = None, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert the valid, non-duplicate candidates; within the batch the
     first request of a key wins and later ones are duplicates of it.
 
     Returns ``(products_after, report)``. New ids continue after the largest
     id in request order; ``loose_pieces`` takes its default 0 and the time
     stamps ``now`` (default: the current timestamp)."""
-    checked = new_product_check(products, candidates)
-    f = read_product_form(candidates)
+    checked = new_product_check(products, candidates, collation)
+    f = read_product_form(candidates, collation)
     fresh = f.join(checked.where(F.col("status") == NEW).select("seq"), "seq", "left_semi")
     first = fresh.groupBy("_kname", "_kmodel").agg(F.min("seq").alias("_first"))
     fresh = fresh.join(first, ["_kname", "_kmodel"])

@@ -18,11 +18,11 @@ def with_stock(products: DataFrame) -> DataFrame:
             .withColumn("total_pieces", X.total_pieces()))
 
 
-def _by_name(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.lower("product_name"), "id")
+def _by_name(df: DataFrame, collation: str | None = None) -> DataFrame:
+    return df.orderBy(X.collated("product_name", collation), "id")
 
 
-def inventory_overview(products: DataFrame) -> DataFrame:
+def inventory_overview(products: DataFrame, collation: str | None = None) -> DataFrame:
     p = with_stock(products)
     value = F.col("total_pieces").cast("decimal(20,0)") * F.col("unit_price")
     return _by_name(p.select(
@@ -34,7 +34,7 @@ def inventory_overview(products: DataFrame) -> DataFrame:
         value.alias("total_value"),
         X.stock_status("total_pieces").alias("status"),
         X.php_fallback("supplier_name", X.NO_VALUE).alias("supplier_display"),
-    ))
+    ), collation)
 
 
 def inventory_summary(products: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def inventory_summary(products: DataFrame) -> DataFrame:
     )
 
 
-def pos_product_list(products: DataFrame) -> DataFrame:
+def pos_product_list(products: DataFrame, collation: str | None = None) -> DataFrame:
     p = with_stock(products)
     return _by_name(p.select(
         "id", "product_name", "unit_price", "total_pieces",
@@ -58,10 +58,10 @@ def pos_product_list(products: DataFrame) -> DataFrame:
         X.php_fallback("individual_unit", "Piece").alias("individual_unit"),
         F.col("ppc").alias("pieces_per_container"),
         F.concat(F.col("product_name"), F.lit(" - "), X.money_text("unit_price", "$")).alias("option_text"),
-    ))
+    ), collation)
 
 
-def stock_edit_list(products: DataFrame) -> DataFrame:
+def stock_edit_list(products: DataFrame, collation: str | None = None) -> DataFrame:
     p = with_stock(products)
     return _by_name(p.select(
         "id", "product_name",
@@ -69,13 +69,13 @@ def stock_edit_list(products: DataFrame) -> DataFrame:
         F.coalesce(F.col("container_quantity"), F.lit(0)).cast("int").alias("container_quantity"),
         F.coalesce(F.col("loose_pieces"), F.lit(0)).cast("int").alias("loose_pieces"),
         "total_pieces",
-    ))
+    ), collation)
 
 
-def price_list(products: DataFrame) -> DataFrame:
+def price_list(products: DataFrame, collation: str | None = None) -> DataFrame:
     return _by_name(products.select(
         "id", "product_name",
         X.php_fallback("model_size", X.NO_VALUE).alias("model_display"),
         "unit_price",
         X.number_format("unit_price", 2).alias("price_text"),
-    ))
+    ), collation)

@@ -39,17 +39,20 @@ def _newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("sale_date").desc(), F.col("id").desc())
 
 
-def _containing(rows: DataFrame, column: str, term: str, index: DataFrame | None) -> DataFrame:
+def _containing(rows: DataFrame, column: str, term: str, index: DataFrame | None, collation: str | None) -> DataFrame:
     if index is None:
-        return rows.where(X.contains_ci(column, term))
+        return rows.where(X.contains_collated(column, term, collation))
+    if collation:
+        raise ValueError("the trigram postings ignore letter case only")
     return trigrams.contains(rows, index, column, term)
 
 
-def receipts_by_number(sales: DataFrame, items: DataFrame, q, index: DataFrame | None = None) -> DataFrame:
+def receipts_by_number(sales: DataFrame, items: DataFrame, q, index: DataFrame | None = None,
+                       collation: str | None = None) -> DataFrame:
     """Sales whose number contains ``q`` (LIKE '%q%', case-insensitive), found
     through the numbers' trigram postings ``index`` where given."""
     t = _clean_term(q)
-    sel = _none(sales) if t is None else _containing(sales, "sale_number", t, index)
+    sel = _none(sales) if t is None else _containing(sales, "sale_number", t, index, collation)
     return _newest_first(_listing(sel, items))
 
 
@@ -84,14 +87,14 @@ def receipts_by_amount(sales: DataFrame, items: DataFrame, amount) -> DataFrame:
 
 
 def receipts_by_product(sales: DataFrame, items: DataFrame, products: DataFrame, q,
-                        index: DataFrame | None = None) -> DataFrame:
+                        index: DataFrame | None = None, collation: str | None = None) -> DataFrame:
     """Sales with at least one line whose product name contains ``q``;
     ``item_count`` counts those matching lines only. ``index``: the trigram
     postings of the product names."""
     t = _clean_term(q)
     if t is None:
         return _newest_first(_listing(_none(sales), items))
-    matching = _containing(products, "product_name", t, index).select(F.col("id").alias("product_id"))
+    matching = _containing(products, "product_name", t, index, collation).select(F.col("id").alias("product_id"))
     counts = (items.select("sale_id", "product_id", "id")
               .join(matching, "product_id", "left_semi")
               .groupBy("sale_id").agg(F.count("id").alias("item_count")))

@@ -255,6 +255,17 @@ def q_receipts_by_product_indexed(spark, sf_dir):
     return for_compare(rc.receipts_by_product(t["sales"], t["sale_items"], t["products"], PRODUCT_TERM, index))
 
 
+@register("receipts_by_product_collated", ORACLE["receipts_by_product"])
+def q_receipts_by_product_collated(spark, sf_dir):
+    """The search for the term with accents, under an accent-insensitive
+    collation."""
+    from ..functions import exprs as X
+    t = _t(spark, sf_dir)
+    term = PRODUCT_TERM.upper().replace("O", "Ö")
+    return for_compare(rc.receipts_by_product(t["sales"], t["sale_items"], t["products"], term,
+                                              collation=X.ACCENT_INSENSITIVE))
+
+
 @register("receipts_recent", _listing_sql("", limit=f"LIMIT {RECENT_N}"))
 def q_receipts_recent(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -643,6 +654,27 @@ def q_new_product_check(spark, sf_dir):
     return for_compare(out)
 
 
+# the same requests with accents; names and models equal without them are equal
+_ACCENT_SQL = (_REQ_SQL.replace("END AS product_name,", "END AS plain_name,")
+               .replace("rk AS (SELECT *,", "rq AS (SELECT *, CASE WHEN seq % 3 = 0 THEN translate(plain_name, 'aeouAEOU', 'áèöüÁÈÖÜ') "
+                        "ELSE plain_name END AS product_name FROM req),\nrk AS (SELECT *,")
+               .replace("AS invalid FROM req)", "AS invalid FROM rq)")
+               .replace("lower(product_name) AS kname", "strip_accents(lower(product_name)) AS kname"))
+
+
+@register("new_product_check_collated", with_ctes(_ACCENT_SQL + """
+SELECT seq, product_name, model_size, status, CAST(CASE WHEN NOT invalid THEN existing_id END AS DOUBLE) AS existing_id
+FROM chk
+""", "products", "sale_items"))
+def q_new_product_check_collated(spark, sf_dir):
+    """The duplicate probe under an accent-insensitive collation."""
+    from pyspark.sql import functions as F
+    from ..functions import exprs as X
+    from ..operators import catalog
+    out = catalog.new_product_check(tm.products(spark, sf_dir), tm.accented_requests(spark, sf_dir), X.ACCENT_INSENSITIVE)
+    return for_compare(out.select("seq", "product_name", "model_size", "status", F.col("existing_id").cast("double").alias("existing_id")))
+
+
 @register("add_products", with_ctes(_REQ_SQL + """,
 firsts AS (SELECT kname, kmodel, MIN(seq) AS first_seq FROM chk WHERE status = 'new' GROUP BY 1, 2),
 winners AS (SELECT c.* FROM chk c JOIN firsts f ON f.kname = c.kname AND f.kmodel = c.kmodel AND f.first_seq = c.seq)

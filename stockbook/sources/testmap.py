@@ -151,6 +151,13 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def accented_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The add-product form posts with accents on the names of every third."""
+    r = product_requests(spark, sf_dir)
+    name = F.translate("product_name", "aeouAEOU", "áèöüÁÈÖÜ")
+    return r.withColumn("product_name", F.when(F.col("seq") % 3 == 0, name).otherwise(F.col("product_name")))
+
+
 def stock_requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Stock form posts: the ``add`` (restock) or ``set`` (stock update)
     events as requests in event order."""
@@ -266,5 +273,5 @@ def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
     return head + ",\n".join(SQL_CTES[n].strip() for n in used) + "\n" + body
 
 
-__all__ = ["products", "sales", "sale_items", "stock_events", "carts", "product_requests",
+__all__ = ["products", "sales", "sale_items", "stock_events", "carts", "product_requests", "accented_requests",
            "stock_requests", "bulk_requests", "price_requests", "load_all", "SQL_CTES", "with_ctes"]
