@@ -48,6 +48,11 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"

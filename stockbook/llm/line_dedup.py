@@ -14,27 +14,48 @@ The join: every line is cut into EDITS + 1 segments. A line within EDITS edits
 of it holds at least one of them whole, shifted by as much as the edits before
 and after it allow. So each line is indexed by (length, segment number,
 segment) and probes, for its own and each shorter length in reach, just the
-substrings at the places a segment can have moved to. Lines that meet no other
-line drop out; character parities (each edit changes at most two) prune the
-pairs inside the join; what is left is verified by banded bit-parallel edit
-distance: one word holds the band of a column.
-
-Equal lines are found by 64-bit hashes. Texts are shuffled only when the list
-of lines to remove passes ``BROADCAST_ROWS``. DataFrame functions only.
+substrings at the places a segment can have moved to. The keys of a line are made
+and shuffled once (its index keys are among its probes, and marked); a key that no
+other line has, or that no line is indexed by, drops out, and with it nearly all
+lines.
+
+A key that up to ``CROWD`` rows share gives all their pairs. A crowded key does not:
+
+- every row is paired with the key's earliest line only, its hub. A line near
+  its hub goes, and needs no other partner;
+- the lines of crowded keys meet again on finer keys, which hold half of a line
+  (two of four segments, the other two taking the edits); there too, crowds are
+  first settled by their hubs;
+- what is left of a crowd then is paired with all earlier lines of its key, as
+  the rows settled already need not be.
+
+Character parities (each edit changes at most two) prune pairs inside the joins;
+what is left is verified by banded bit-parallel edit distance: one word holds
+the band of a column.
+
+Equal lines are found by 64-bit hashes, and the edit join knows a line by its
+hash, so repeats need not be taken out of the texts before it; only of lines that
+make more than one in ``HOT_SHARE`` of all lines just the first occurrence gets
+keys. Texts are rewritten once. They are shuffled, once, only when more than
+``BROADCAST_ROWS`` lines go. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import column, stage, table
 
 EDITS = 2
 MIN_CHARS = 4 * EDITS     # of lines in the edit join; every non-blank line counts for exact repeats
 PARITY_CHARS = " etaoinsrhdlucmfgpbwvkyz.,"   # one byte each
 KEY_BITS = 48
-BROADCAST_ROWS = 1_000_000
+CROWD = 64                # rows of a key up to which all their pairs are made
+HOT_SHARE = 100_000       # so there are at most that many hot lines
+BROADCAST_ROWS = 1_000_000  # of positions or hashes, joined with whole texts
 _LAST = (1 << 63) - 1
 
 
@@ -55,7 +76,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     ``row`` holds the other columns. ``h`` is the text's hash where rows share
     the id (also null) and 0 elsewhere, where ``doc`` alone tells rows apart.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"]).alias("row"), _doc().alias("doc"),
+    rows = docs.select(F.struct(*[column(n) for n in docs.columns if n != "text"]).alias("row"), _doc().alias("doc"),
                        F.col("text").cast("string").alias("text"))
     shared = stage(rows.where("text is not null").groupBy("doc").count().where("count > 1")
                    .select(F.col("doc").alias("shared")), "shared")
@@ -103,18 +124,25 @@ def _blank_lines(copies: DataFrame) -> DataFrame:
     return copies.select("row", "doc", "h", blank.alias("text"))
 
 
-def exact_repeats(keyed: DataFrame) -> DataFrame:
-    """``(doc, h, no)`` of lines that stand earlier too."""
+def first_occurrences(keyed: DataFrame) -> DataFrame:
+    """Staged ``(of, first, n)`` of the lines that stand more than once: hash,
+    first position, number of occurrences (combined map-side)."""
     where = F.struct("doc", "h", "no")
     occurrences = _lines(keyed).select(F.xxhash64("line").alias("of"), "doc", "h", "no")
-    first = occurrences.groupBy("of").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(occurrences.join(first, "of").where(where != F.col("first")).select("doc", "h", "no"), "repeats")
+    return stage(occurrences.groupBy("of").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
+                 .where("n > 1"), "first")
+
+
+def exact_repeats(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    """``(doc, h, no)`` of lines that stand earlier too."""
+    occurrences = _lines(keyed).select(F.xxhash64("line").alias("of"), "doc", "h", "no")
+    return (occurrences.join(_hint(first)(first.select("of", "first")), "of")
+            .where(F.struct("doc", "h", "no") != F.col("first")).select("doc", "h", "no"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 1, length) of segment i (from 1) of a line of ``length``:
-    all segments as long, the last ``length % (edits + 1)`` one longer."""
-    parts = edits + 1
+def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """(start from 1, length) of segment i (from 1) of a line of ``length``
+    in ``parts`` segments: all as long, the last ``length % parts`` one longer."""
     base = F.floor(length / F.lit(parts)).cast("int")
     longer = length % F.lit(parts)
     plain = F.lit(parts) - longer
@@ -122,31 +150,59 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
 
 
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), piece).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+Sizes = list[tuple[Column, Column, Column]]
+
+
+def _sizes(n: Column, edits: int) -> Sizes:
+    """(length, length of a plain segment, number of longer segments) of lines
+    of ``n`` characters and of those shorter by up to ``edits``."""
+    return [(n - s, F.call_function("div", n - s, F.lit(edits + 1)).cast("int"), (n - s) % F.lit(edits + 1))
+            for s in range(edits + 1)]
+
+
+def _keys(coded: Column, sizes: Sizes, edits: int) -> list[tuple[Column, bool]]:
+    """(key, whether it is an index key of the line too) of all substrings where
+    a segment of an equal or shorter line may stand, by the bounds on the shift
+    from the left and from the right. These keep every substring inside a line
+    of at least MIN_CHARS characters. ``coded`` has four bytes a character, so a
+    substring is a plain copy."""
+    parts, out = edits + 1, []
+    for shorter, (length, base, longer) in enumerate(sizes):
+        for i in range(1, parts + 1):
+            start = base * (i - 1) + F.greatest(longer - (parts - i + 1), F.lit(0))
+            size = base + F.when(longer > parts - i, 1).otherwise(0)
+            low = max(-(i - 1), shorter - (parts - i))
+            high = min(i - 1, shorter + (parts - i))
+            for shift in range(low, high + 1):
+                piece = F.substring(coded, (start + shift) * 4 + 1, size * 4)
+                key = F.xxhash64(length * (parts + 1) + i, piece).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+                out.append((key, shorter == 0 and shift == 0))
+    return out
+
+
+def _coded(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
 
 
 def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    out = []
-    for i in range(1, edits + 2):
-        start, size = _segment(n, i, edits)
-        out.append(_key(n, i, F.substring(line, start, size)))
-    return F.array(*out)
+    return F.array(*[key for key, own in _keys(_coded(line), _sizes(n, edits), edits) if own])
 
 
 def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Keys of all substrings where a segment of an equal or shorter line may
-    stand, by the bounds on the shift from the left and from the right. These
-    keep every substring inside a line of at least MIN_CHARS characters."""
-    out = []
-    for shorter in range(edits + 1):
-        length = (n - shorter).cast("int")
-        for i in range(1, edits + 2):
-            start, size = _segment(length, i, edits)
-            low = max(-(i - 1), shorter - (edits + 1 - i))
-            high = min(i - 1, shorter + (edits + 1 - i))
-            out += [_key(length, i, F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*out)
+    return F.array(*[key for key, _ in _keys(_coded(line), _sizes(n, edits), edits)])
+
+
+def line_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``(of, k)``: the hashes of the lines with their probe keys ``k`` (key,
+    own); ``own`` marks index keys. What the keys share is computed once a line,
+    in columns of its own."""
+    n = F.char_length("line")
+    names = [f"_{c}{s}" for s in range(edits + 1) for c in ("length", "base", "longer")]
+    shared = lines.select(F.xxhash64("line").alias("of"), _coded(F.col("line")).alias("coded"),
+                          *[c.alias(name) for c, name in zip([c for size in _sizes(n, edits) for c in size], names, strict=True)])
+    sizes = [tuple(F.col(c) for c in names[3 * s:3 * s + 3]) for s in range(edits + 1)]
+    keys = F.array(*[F.struct(key.alias("key"), F.lit(own).alias("own")) for key, own in _keys(F.col("coded"), sizes, edits)])
+    return shared.select("of", F.explode(keys).alias("k"))
 
 
 def parity(line: Column) -> Column:
@@ -159,35 +215,83 @@ def parity(line: Column) -> Column:
     return bits
 
 
-def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(a, b)``: distinct pairs of lines ``(doc, h, no)`` that share a segment
-    and may be within ``edits``; ``a`` stands earlier. The lines have more than
-    ``edits`` characters, so that no segment is empty.
+def finer_keys(line: Column, n: Column, edits: int = EDITS, parts: int = EDITS + 2) -> Column:
+    """An array of (key, own) as in ``line_keys``, on keys of all but ``edits`` of ``parts`` segments.
+
+    Of two lines within ``edits`` edits, ``edits`` segments of the indexed one
+    can be chosen that hold all edits; each kept segment is then shifted by the
+    net change of the chosen ones before it. A probe tries every way to spread
+    at most ``edits`` edits over the chosen segments that gives the difference of
+    the lengths."""
+    out, seen = [], set()
+    for chosen in combinations(range(1, parts + 1), edits):
+        kept = [i for i in range(1, parts + 1) if i not in chosen]
+        for changes in product(range(-edits, edits + 1), repeat=edits):
+            shorter = sum(changes)
+            if sum(map(abs, changes)) > edits or not 0 <= shorter <= edits:
+                continue
+            shifts = tuple(sum(c for w, c in zip(chosen, changes, strict=True) if w < i) for i in kept)
+            if (chosen, shorter, shifts) in seen:
+                continue
+            seen.add((chosen, shorter, shifts))
+            length = (n - shorter).cast("int")
+            pieces = []
+            for i, shift in zip(kept, shifts, strict=True):
+                start, size = _segment(length, i, parts)
+                pieces.append(F.substring(line, start + shift, size))
+            key = F.xxhash64(length, F.lit(sum(1 << i for i in chosen)), *pieces)
+            own = shorter == 0 and not any(shifts)
+            out.append(F.struct(key.alias("key"), F.lit(own).alias("own")))
+    return F.array(*out)
+
 
-    Most lines share no segment with any other. So the rows of both sides that
-    meet another line are found first (semi joins, which multiply nothing), and
-    only those lines get their parities, which prune the join of pairs.
-    """
-    sized = lines.withColumn("n", F.char_length("line"))
-    index = sized.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "h", "no")
-    probes = sized.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "doc", "h", "no")
-    i, p = index.alias("i"), probes.alias("p")
-    other = ((F.col("i.key") == F.col("p.key"))
-             & ((F.col("i.doc") != F.col("p.doc")) | (F.col("i.no") != F.col("p.no")) | (F.col("i.h") != F.col("p.h"))))
-    met = stage(i.join(p, other, "left_semi").select(F.lit(True).alias("indexed"), "key", "doc", "h", "no")
-                .union(p.join(i, other, "left_semi").select(F.lit(False), "key", "doc", "h", "no")), "met")
-    wanted = stage(met.select("doc", "h", "no").distinct(), "wanted")
-    marks = stage(lines.join(_hint(wanted)(wanted), ["doc", "h", "no"])
-                  .select("doc", "h", "no", parity(F.col("line")).alias("parity")), "parities")
-    rows = met.join(_hint(marks)(marks), ["doc", "h", "no"])
-    at = F.struct("doc", "h", "no")
-    left = rows.where("indexed").select("key", at.alias("x"), F.col("parity").alias("px"))
-    right = rows.where("not indexed").select("key", at.alias("y"), F.col("parity").alias("py"))
+def meeting(keyed: DataFrame) -> DataFrame:
+    """Staged ``(key, own, of, rows)`` of the distinct rows ``(of, k)`` whose key
+    another line has too, one of the lines as an index key. ``rows`` counts the
+    key's distinct rows. One shuffle of all keys; a key's rows meet there."""
+    tagged = keyed.select("k.key", "k.own", "of")
+    every = Window.partitionBy("key")
+    counted = tagged.select("key", "own", "of", F.min("of").over(every).alias("least"), F.max("of").over(every).alias("most"),
+                            F.max("own").over(every).alias("indexed"))
+    met = stage(counted.where((F.col("least") != F.col("most")) & F.col("indexed")).select("key", "own", "of").distinct(), "met")
+    return met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
+
+
+def _pairs(met: DataFrame, texts: DataFrame, edits: int, later=None) -> DataFrame:
+    """``(a, b)``: distinct pairs of an indexed and a probing row of one key
+    that may be within ``edits``, the earlier line first; with ``later``, only
+    those whose later line is in that table ``(at)``."""
+    rows = met.join(texts.select("at", "parity"), "at")
+    left = rows.where("own").select("key", F.col("at").alias("x"), F.col("parity").alias("px"))
+    right = rows.select("key", F.col("at").alias("y"), F.col("parity").alias("py"))
     close = F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 2 * edits
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("x") != F.col("y")) & close)
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("x") != F.col("y")) & close
+    if later is not None:
+        marked = later.select("at", F.lit(True).alias("open"))
+        left = left.join(marked.withColumnRenamed("at", "x"), "x", "left").withColumnRenamed("open", "ox")
+        right = right.join(marked.withColumnRenamed("at", "y"), "y", "left").withColumnRenamed("open", "oy")
+        on = on & F.when(F.col("x") < F.col("y"), F.col("oy")).otherwise(F.col("ox"))
+    pairs = left.alias("l").join(right.alias("r"), on)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Staged ``(at)``: the later lines of the pairs that are within ``edits``."""
+    held = texts.select("at", "line")
+    checked = (pairs.join(held.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
+               .join(held.select(F.col("at").alias("b"), F.col("line").alias("y")), "b"))
+    enough = F.abs(F.char_length("x") - F.char_length("y")) <= edits
+    return stage(checked.where(enough & (edit_distance(F.col("x"), F.col("y"), edits) <= edits))
+                 .select(F.col("b").alias("at")).distinct(), "near")
+
+
+def _hubs(crowds: DataFrame) -> DataFrame:
+    """``(a, b)``: every line of a crowded key with the key's earliest line."""
+    hub = crowds.groupBy("key").agg(F.min("at").alias("a"))     # combined map-side
+    return (crowds.join(hub, "key").where(F.col("at") != F.col("a"))
+            .select("a", F.col("at").alias("b")).distinct())
+
+
 def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of two lines whose lengths differ by at most ``edits``
     and are above it, exact up to ``edits`` (beyond that, some number above).
@@ -245,18 +349,45 @@ def _banded(x: Column, y: Column, edits: int, width: int, mask: int, top: int) -
     return F.aggregate(F.transform(y, matches), start, step, lambda s: s["dist"])
 
 
-def near_repeats(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc, h, no)`` of lines with an earlier line within ``edits``;
-    ``keyed`` holds every line once."""
+def near_repeats(keyed: DataFrame, edits: int = EDITS, crowd: int = CROWD, first: DataFrame | None = None) -> DataFrame:
+    """``(doc, h, no)`` of the first occurrences of lines with an earlier line
+    within ``edits``. ``first``: the table of repeated lines, by which hot lines
+    are told. Lines have more than ``edits`` characters, so that no segment is
+    empty."""
     lines = _lines(keyed, max(1, 4 * edits))
-    pairs = stage(candidates(lines, edits), "pairs")
-    wanted = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct(), "wanted")
-    texts = stage(lines.join(_hint(wanted)(wanted), ["doc", "h", "no"])
-                  .select(F.struct("doc", "h", "no").alias("at"), "line"), "texts")
-    checked = (pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
-               .join(texts.select(F.col("at").alias("b"), F.col("line").alias("y")), "b"))
-    close = checked.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
-    return stage(close.select("b.doc", "b.h", "b.no").distinct(), "near")
+    each = lines
+    if first is not None:
+        most = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_SHARE
+        hot = first.where(F.col("n") > max(most, 100)).select("of", "first")
+        each = (lines.withColumn("of", F.xxhash64("line")).join(_hint(hot)(hot), "of", "left")
+                .where(F.col("first").isNull() | (F.struct("doc", "h", "no") == F.col("first"))))
+    met = meeting(line_keys(each, edits))
+    wanted = stage(met.select("of").distinct(), "wanted")
+    texts = stage(each.select(F.xxhash64("line").alias("of"), F.struct("doc", "h", "no").alias("at"), "line")
+                  .join(_hint(wanted)(wanted), "of").groupBy("of").agg(F.min("at").alias("at"), F.first("line").alias("line"))
+                  .withColumn("parity", parity(F.col("line"))), "texts")
+    places = texts.select("of", "at")
+    met = stage(met.join(places, "of").drop("of"), "met")
+    found = _near(_pairs(met.where(F.col("rows") <= crowd), texts, edits), texts, edits)
+    for finer in (False, True):
+        crowds = met.where(F.col("rows") > crowd)
+        members = stage(crowds.select("at").distinct(), "members")
+        if not members.limit(1).count():
+            break
+        # lines that are near the hub of any of their keys are settled
+        found = stage(found.union(_near(_hubs(crowds), texts, edits)).distinct(), "near")
+        rest = stage(members.join(found, "at", "left_anti"), "open")
+        if not rest.limit(1).count():
+            break
+        if finer:
+            found = found.union(_near(_pairs(crowds, texts, edits, rest), texts, edits))
+        else:
+            again = texts.join(members, "at", "left_semi")
+            finest = finer_keys(F.col("line"), F.char_length("line"), edits)
+            met = stage(meeting(again.select("of", F.explode(finest).alias("k"))).join(places, "of").drop("of"), "met")
+            few = _pairs(met.where(F.col("rows") <= crowd), texts, edits, rest)
+            found = stage(found.union(_near(few, texts, edits)).distinct(), "near")
+    return found.select("at.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -269,8 +400,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     are needed, other columns are carried along.
     """
     keyed, copies = _keyed(docs)
-    thinned = stage(_without(keyed, exact_repeats(keyed)), "thinned")
-    out = _without(thinned, near_repeats(thinned, edits))
+    first = first_occurrences(keyed)
+    gone = exact_repeats(keyed, first).union(near_repeats(keyed, edits, first=first))
+    out = _without(keyed, stage(gone, "gone"))
     if copies is not None:
         out = out.union(_blank_lines(copies))
     return out.select(*[F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])
@@ -282,7 +414,7 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
     n = F.char_length(F.col("text").cast("string")).cast(docs.schema["n_chars"].dataType)
-    return docs.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*[n.alias(c) if c == "n_chars" else column(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,14 @@ def distance(a, b):
 def brute(rows):
     """Texts by (doc_id, position) after comparing every line with all earlier ones."""
     where = sorted({(r[0] is None, r[0] or 0, no, line.strip(" \t\r")) for r in rows
-                    for no, line in enumerate((r[1] or "").split("\n")) if len(line.strip(" \t\r")) >= L.MIN_CHARS})
+                    for no, line in enumerate((r[1] or "").split("\n")) if line.strip(" \t\r")})
     first, gone = {}, set()
     for *at, line in where:
         if line in first:
             gone.add(tuple(at))
             continue
-        if any(abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2 for o in first):
+        if len(line) >= L.MIN_CHARS and any(len(o) >= L.MIN_CHARS and abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2
+                                            for o in first):
             gone.add(tuple(at))
         first[line] = at
     out = []
@@ -129,3 +130,81 @@ def test_rows_that_share_an_id(spark):
         assert sum(r["text"] is None for r in out) == 1
         left = sorted(x for r in out for x in (r["text"] or "").split("\n") if x)
         assert left == sorted({x for _, t, _ in rows for x in (t or "").split("\n") if x})
+
+
+def crowd_rows(seed):
+    """One hot line in many near versions, lines that only share a passage, and
+    a heading that stands everywhere."""
+    rng = random.Random(seed)
+    hot = fixtures.sentence(rng, 8)
+    head, mid, tail = "all rights reserved by the ", fixtures.sentence(rng, 2), " (see the terms of use)"
+    lines = []
+    for i in range(150):
+        x = list(hot)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(x))
+            x[k:k + rng.randint(0, 1)] = rng.choice("abcxyz")
+        lines.append("".join(x))
+        word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 7)))
+        lines.append(head + word + tail)
+        lines.append(head + mid + " " + word)
+    rng.shuffle(lines)
+    return [(d, "A Heading\n" + "\n".join(lines[d::15])) for d in range(15)]
+
+
+def test_crowded_keys_against_all_pairs(spark, monkeypatch):
+    rows = crowd_rows(6)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(brute(rows), key=key)
+    for crowd in (1, 5, 64):
+        monkeypatch.setattr(L.near_repeats, "__defaults__", (L.EDITS, crowd, None))
+        assert sorted([tuple(r) for r in L.dedup_lines(docs).collect()], key=key) == want
+    noisy = noisy_lines(9)
+    monkeypatch.setattr(L.near_repeats, "__defaults__", (L.EDITS, 1, None))
+    got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(noisy, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=key) == sorted(brute(noisy), key=key)
+
+
+def test_near_lines_of_one_hub_make_no_square(spark):
+    """A crowd near its hub gives at most one pair a line and key."""
+    lines = [f"a very common line of many documents, number {i:03d} of all" for i in range(400)]
+    keyed = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(lines)], "doc bigint, h bigint, no int, line string")
+    met = L.meeting(L.line_keys(keyed))
+    crowds = met.where(F.col("rows") > L.CROWD)
+    assert crowds.select("of").distinct().count() == 400
+    assert 399 <= L._hubs(crowds.withColumnRenamed("of", "at")).count() <= 12 * 400
+
+
+def test_hot_lines_get_keys_once(spark, monkeypatch):
+    """A line in a third of all places, and near versions of it."""
+    rng = random.Random(8)
+    hot = "the line that stands in most documents of all"
+    rows = []
+    for d in range(140):
+        lines = [hot, fixtures.sentence(rng, 5), hot if d % 2 else hot.replace("most", "mast")]
+        rows.append((d, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    whole = L.line_keys
+    monkeypatch.setattr(L, "line_keys", lambda lines, edits: seen.append(lines.count()) or whole(lines, edits))
+    got = [tuple(r) for r in L.dedup_lines(docs).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    assert seen == [142 + 69]       # of the hot line one; its version, 70 times, is not hot
+
+
+def test_finer_keys_meet(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(500):
+        x = "".join(rng.choice("abcdé ß") for _ in range(rng.randint(8, 30)))
+        y = list(x)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(y) + 1)
+            y[k:k + rng.randint(0, 1)] = rng.choice(["", "a", "ß"])
+        if len(y) >= 8:
+            pairs.append(tuple(sorted((x, "".join(y)), key=len)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    index = lambda c: F.transform(F.filter(L.finer_keys(F.col(c), F.length(c)), lambda k: k["own"]), lambda k: k["key"])
+    probe = F.transform(L.finer_keys(F.col("y"), F.length("y")), lambda k: k["key"])
+    rows = df.select(F.levenshtein("x", "y").alias("l"), F.arrays_overlap(index("x"), probe).alias("o")).collect()
+    assert all(r["o"] for r in rows if r["l"] <= 2) and sum(r["l"] <= 2 for r in rows) > 300
