@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.lineage import reuse
 from ..plans.scan import running_agg, scan_plan
 from .restocking import amount, in_int, in_order, totals
 
@@ -76,21 +77,21 @@ def _existing_by_key(products: DataFrame, collation: str | None = None) -> DataF
     return p.groupBy("_kname", "_kmodel").agg(F.min_by("_e", "id").alias("_e"))
 
 
-def new_product_check(products: DataFrame, candidates: DataFrame, collation: str | None = None) -> DataFrame:
-    """Per candidate: ``invalid`` (name empty or price <= 0), ``duplicate``
-    of an existing product (same name and model, letter case ignored, no
-    model = ''), or ``new``. Duplicates report the existing product, its
-    stock in pieces (with its stored pieces-per-container) and the pieces the
-    request would add (containers * pieces per container, as submitted).
-    ``collation``: names and models that it holds equal are equal."""
+def _checked_forms(products: DataFrame, candidates: DataFrame, collation: str | None) -> DataFrame:
+    """The read forms, their duplicate keys, the product they duplicate
+    (``_e``, if any) and their ``status``."""
     f = read_product_form(candidates, collation)
     j = f.join(_existing_by_key(products, collation), ["_kname", "_kmodel"], "left")
-    e = F.col("_e")
     status = (F.when(F.col("_invalid"), F.lit(INVALID))
-              .when(e.isNotNull(), F.lit(DUPLICATE))
+              .when(F.col("_e").isNotNull(), F.lit(DUPLICATE))
               .when(F.col("_range_error").isNotNull(), F.lit(INVALID)).otherwise(F.lit(NEW)))
-    return j.select(
-        "seq", "product_name", "model_size", status.alias("status"),
+    return j.withColumn("status", status)
+
+
+def _check_report(checked: DataFrame) -> DataFrame:
+    e = F.col("_e")
+    return checked.select(
+        "seq", "product_name", "model_size", "status",
         F.when(F.col("_invalid"), F.lit(REQUIRED))
          .when(e.isNull(), F.col("_range_error")).alias("message"),
         F.when(~F.col("_invalid"), e["existing_id"]).alias("existing_id"),
@@ -99,6 +100,16 @@ def new_product_check(products: DataFrame, candidates: DataFrame, collation: str
                F.col("container_quantity") * F.col("pieces_per_container")).alias("adding_pieces"))
 
 
+def new_product_check(products: DataFrame, candidates: DataFrame, collation: str | None = None) -> DataFrame:
+    """Per candidate: ``invalid`` (name empty or price <= 0), ``duplicate``
+    of an existing product (same name and model, letter case ignored, no
+    model = ''), or ``new``. Duplicates report the existing product, its
+    stock in pieces (with its stored pieces-per-container) and the pieces the
+    request would add (containers * pieces per container, as submitted).
+    ``collation``: names and models that it holds equal are equal."""
+    return _check_report(_checked_forms(products, candidates, collation))
+
+
 def add_products(products: DataFrame, candidates: DataFrame, now=None,
                  chunk_rows: int | None = None, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert the valid, non-duplicate candidates; within the batch the
@@ -106,10 +117,13 @@ def add_products(products: DataFrame, candidates: DataFrame, now=None,
 
     Returns ``(products_after, report)``. New ids continue after the largest
     id in request order; ``loose_pieces`` takes its default 0 and the time
-    stamps ``now`` (default: the current timestamp)."""
-    checked = new_product_check(products, candidates, collation)
-    f = read_product_form(candidates, collation)
-    fresh = f.join(checked.where(F.col("status") == NEW).select("seq"), "seq", "left_semi")
+    stamps ``now`` (default: the current timestamp).
+
+    The forms are read and probed once. The winners are numbered by one window
+    while they are at most a chunk of ``plans.scan``, beyond that in chunks."""
+    forms = reuse(_checked_forms(products, candidates, collation))
+    checked = _check_report(forms)
+    fresh = forms.where(F.col("status") == NEW)
     first = fresh.groupBy("_kname", "_kmodel").agg(F.min("seq").alias("_first"))
     fresh = fresh.join(first, ["_kname", "_kmodel"])
     winners = fresh.where(F.col("seq") == F.col("_first")).withColumn("_one", F.lit(1))

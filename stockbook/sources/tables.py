@@ -76,7 +76,7 @@ class TableStore:
 
     def _commit(self, batch: int, meta: dict | None = None, origin: str | None = None) -> None:
         fs, p = self._fs(f"{self.root}/_commits/{int(batch)}" + (f".{origin}" if origin else ""))
-        out = fs.create(p, True)
+        out = fs.create(p, False)     # a second writer of the same batch fails here
         out.write(bytearray(json.dumps(meta or {}).encode()))
         out.close()
 
