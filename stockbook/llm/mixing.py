@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage, table, unit_hash
+from .common import column, n_words, stage, table, unit_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -200,7 +200,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     mixed = balance(docs, **options).select(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"),
                                                      F.col("size").alias("n")).alias("unit"), "copies")
-    held = docs.select(F.struct(*names).alias("row"),
+    held = docs.select(F.struct(*[column(n) for n in names]).alias("row"),
                        F.struct(F.col("doc_id").cast("bigint").alias("i"), F.col("source").cast("string").alias("s"),
                                 n_words(F.col("text").cast("string")).alias("n")).alias("of"))
     joined = held.join(mixed.where("copies > 0"), F.col("of").eqNullSafe(F.col("unit")))

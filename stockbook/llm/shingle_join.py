@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, stage, table
+from .common import column, id_text, stage, table
 from .components import connected_components
 
 WIDTH = 5
@@ -480,7 +480,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFra
     def hint(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
 
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
+    held = docs.select(F.struct(*[column(n) for n in names]).alias("row"),
                        F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
                                 F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h")).alias("id"))
     left = held.join(hint(gone), F.col("id") == F.col("gone_id"), "left_anti")

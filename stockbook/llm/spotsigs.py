@@ -8,9 +8,11 @@ anchor. A document's fingerprint is the set of its signatures. A short text
 without anchors has chains without anchor instead, and one without content
 words its words, so only a text without any word has an empty set.
 
-Fingerprints are compared by the Jaccard likeness of the sets. Sets are
-assigned to partitions of set length; lengths bound the likeness, so sets whose
-partitions are too far apart for ``least`` are not intersected (likeness 0).
+Fingerprints are compared by the Jaccard likeness of the sets, exactly. Where a
+caller asks only for likenesses of at least ``least``, sets are assigned to
+partitions of set length: lengths bound the likeness, so sets two or more
+partitions apart, or of a length ratio below ``least``, are not intersected
+(likeness 0).
 
 The fingerprint is printed as the set length, a colon, and the sorted 32-bit
 hashes in hexadecimal. DataFrame functions only.
@@ -27,7 +29,7 @@ from .common import id_text, stage, table
 
 CHAIN = 2
 STRETCH = 6
-LEAST = 0.05     # likenesses below this are reported as 0
+LEAST = 0.0      # likenesses below this are reported as 0; at 0 every overlap counts
 # Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his i in is it its not of on or our she so that the "
@@ -87,22 +89,26 @@ def fingerprint(signatures: Column) -> Column:
                     F.array_join(F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), ""))
 
 
-def partition_of(signatures: Column, least: float = LEAST) -> Column:
-    """Number of the set's length partition. Partition ends grow by 1/least,
-    so two sets of a likeness of at least ``least`` lie in one partition or in
-    adjacent ones."""
+def partition_of(signatures: Column, least: float) -> Column:
+    """Number of the set's length partition, for 0 < ``least`` < 1. Partition
+    ends grow by 1/least, so two sets of a likeness of at least ``least`` lie in
+    one partition or in adjacent ones."""
     return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1)).cast("double")) / F.lit(math.log(1 / least)))
 
 
 def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard likeness, pruned by length partition and length ratio; two empty
-    sets are alike (1)."""
+    """Jaccard likeness; two empty sets are alike (1). Below ``least`` it is 0,
+    and sets whose lengths already say so are not intersected."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b)).cast("double")
     exact = both / (F.size(a) + F.size(b) - both)
-    far = (F.abs(partition_of(a, least) - partition_of(b, least)) > 1) | (small < large * F.lit(least))
-    return (F.when(large == 0, F.lit(1.0)).when(far, F.lit(0.0))
-            .otherwise(F.when(exact < least, F.lit(0.0)).otherwise(exact)))
+    out = F.when(large == 0, F.lit(1.0))
+    if least > 0:
+        # the partition number is the cheap test; the ratio decides inside adjacent partitions
+        if least < 1:
+            out = out.when(F.abs(partition_of(a, least) - partition_of(b, least)) > 1, F.lit(0.0))
+        out = out.when(small < large * F.lit(least), F.lit(0.0)).when(exact < least, F.lit(0.0))
+    return out.otherwise(exact)
 
 
 def _order_key(doc_id: Column) -> Column:
@@ -110,49 +116,50 @@ def _order_key(doc_id: Column) -> Column:
     return F.coalesce(F.bitwise_not(doc_id), F.lit((1 << 63) - 1))
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 500, max_buckets: int = 8192) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 500, max_ranges: int = 1 << 20) -> DataFrame:
     """``(doc_id, text, next_text)``: the text of the next row in descending
-    doc_id (null ids last, equal ids by text), after the last row the first.
-
-    Ids are cut into ranges at approximate quantiles; a range is ordered inside
-    its own window. The first row of a range is also dealt to the range before
-    it, where it only serves as the last row's next one. ``max_buckets`` bounds
-    the list of cuts; beyond it ranges grow and windows spill.
+    doc_id (null ids last, equal ids by a hash of the text, equal texts in scan
+    order), after the last row the first.
+
+    A range sort of the keys alone gives the first key of every range; a row
+    finds its range by binary search over that list, and each range is ordered in
+    its own window, so texts are shuffled once. The first row of a range is also
+    dealt to the range before it, where it only serves as the last row's next
+    one. Rows that share an id (also null) have different keys and are cut into
+    ranges like any others. The list holds at most ``max_ranges`` keys of 24
+    bytes.
     """
-    base = id_text(docs).select(_order_key(F.col("doc_id")).alias("pos"), "doc_id", "text")
-    ids = base.select(F.col("pos").cast("double").alias("pos"))
-    n = ids.count()
-    if n == 0:
-        return base.select("doc_id", "text", F.col("text").alias("next_text"))
-    buckets = max(1, min(max_buckets, n // rows_per_bucket))
-    cuts = sorted(set(ids.agg(F.percentile_approx("pos", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets))
-                      .first()[0])) if buckets > 1 else []
-    where = F.lit(0)
-    if cuts:
-        # the number of cuts below the position, by binary search over the list
-        where = _count_below(F.col("pos").cast("double"), cuts)
-    base = base.withColumn("bucket", where.cast("int"))
-    first = Window.orderBy("bucket")
-    heads = (base.groupBy("bucket").agg(F.min(F.struct("pos", F.xxhash64("text").alias("h"))).alias("head"))
-             .withColumn("to", F.lag("bucket").over(first)).withColumn("last", F.max("bucket").over(Window.partitionBy()))
-             .select("bucket", "head", F.coalesce("to", "last").alias("to")))
-    heads = stage(heads, "heads")  # one row per range
-    marked = base.join(F.broadcast(heads), "bucket")
-    is_head = F.struct(F.col("pos"), F.xxhash64("text").alias("h")) == F.col("head")
-    dealt = (marked.withColumn("copy", F.explode(F.when(is_head, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-             .select(F.when(F.col("copy") == 0, F.col("bucket")).otherwise(F.col("to")).alias("bucket"), "copy",
-                     "pos", "doc_id", "text"))
-    order = Window.partitionBy("bucket").orderBy("copy", "pos", F.xxhash64("text"))
+    base = id_text(docs).select(_order_key(F.col("doc_id")).alias("pos"), F.xxhash64("text").alias("h"),
+                                F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    key = F.struct("pos", "h", "row")
+    n = base.count()
+    ranges = max(1, min(max_ranges, n // rows_per_range))
+    firsts = (base.select("pos", "h", "row").repartitionByRange(ranges, "pos", "h", "row")
+              .groupBy(F.spark_partition_id()).agg(F.min(key).alias("first")))
+    cuts = stage(firsts.agg(F.array_sort(F.collect_list("first")).alias("cuts")), "cuts")
+    found = base.select("*", cuts.scalar().alias("cuts")).withColumn("key", key)
+    found = found.withColumn("range", _range_of(F.col("key"), F.col("cuts"), ranges))
+    is_first = F.col("key") == F.get("cuts", F.col("range"))
+    before = F.when(F.col("range") == 0, F.size("cuts") - 1).otherwise(F.col("range") - 1)
+    to = F.when(is_first, F.array(F.col("range"), before)).otherwise(F.array(F.col("range")))
+    dealt = found.select(F.posexplode(to).alias("copy", "range"), "pos", "h", "row", "doc_id", "text")
+    order = Window.partitionBy("range").orderBy("copy", "pos", "h", "row")
     return (dealt.withColumn("next_text", F.lead("text").over(order)).where("copy = 0")
             .select("doc_id", "text", "next_text"))
 
 
-def _count_below(x: Column, cuts: list[float]) -> Column:
-    """How many of the sorted ``cuts`` are below ``x``: a tree of comparisons."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(x > cuts[mid], _count_below(x, cuts[mid + 1:]) + (mid + 1)).otherwise(_count_below(x, cuts[:mid]))
+def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
+    """Index of the last of the sorted ``cuts`` not above ``key``, by binary
+    search; the first cut is the least key of all."""
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"] + 1) / F.lit(2)).cast("int")
+        above = F.get(cuts, mid) > key
+        return F.struct(F.when(above, state["lo"]).otherwise(mid).alias("lo"),
+                        F.when(above, mid - 1).otherwise(state["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), (F.size(cuts) - 1).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, ranges.bit_length())))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import column, stage, table
 
 MAX_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -192,7 +192,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, max_bits: int = MAX_BITS) ->
     extra = [n for n in pages.columns if n.lower() not in results]
     keys = stage(rule_keys(rules), "rules")
     shapes = sorted((r["labels"], r["path_chars"]) for r in keys.select("labels", "path_chars").distinct().collect())
-    rows = pages.select(F.struct(*[F.col(f"`{n}`") for n in extra]).alias("row"), host_of(F.col("url")).alias("host"),
+    rows = pages.select(F.struct(*[column(n) for n in extra]).alias("row"), host_of(F.col("url")).alias("host"),
                         path_of(F.col("url")).alias("path"))
     none = F.lit(None).cast("string")
     if not shapes:

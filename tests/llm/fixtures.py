@@ -4,7 +4,7 @@ extra columns whose names clash with the operators' own."""
 import random
 
 COLUMNS = ("doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, key string, size int, "
-           "rows int, s int, node bigint, line string, doc int, bin int, copies int, bucket int, row string, `od d` int")
+           "rows int, s int, node bigint, line string, doc int, bin int, copies int, bucket int, row string, `od d` int, `a.b` string, `t``x` int")
 
 WORDS = ("the of and a to in is der die und le la de el los river stone cloud engine silver garden winter paper "
          "bridge lantern mountain harbour copper velvet thunder meadow compass orchard whisper anchor").split()
@@ -28,7 +28,7 @@ def hard_rows(seed=3):
         (106, "Ünïcödé <|endoftext|> “quotes” 漢字 🙂 don't", "fr", "é", 1), (107, "word", "fr", "é", 4),
         (-5, texts[2] + "\r\n" + texts[3], "es", "src1", 9),
     ]
-    return [(*r, 7, "k", 1, 2, 3, 4, "l", 5, 6, 7, 8, "r", 9) for r in rows]
+    return [(*r, 7, "k", 1, 2, 3, 4, "l", 5, 6, 7, 8, "r", 9, "dot", 2) for r in rows]
 
 
 def hard_docs(spark, seed=3):

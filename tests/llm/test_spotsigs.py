@@ -61,7 +61,7 @@ def test_hard_rows_against_plain_python(spark):
 def test_ranges_do_not_change_the_order(spark, size):
     docs = fixtures.hard_docs(spark)
     whole = {tuple(r) for r in S.with_next(docs).collect()}
-    assert {tuple(r) for r in S.with_next(docs, rows_per_bucket=size).collect()} == whole
+    assert {tuple(r) for r in S.with_next(docs, rows_per_range=size).collect()} == whole
 
 
 def test_single_and_no_rows(spark):
