@@ -1,10 +1,11 @@
 """Token counts per document by a map-side two-tier lookup.
 
-1. Every task summarises the pre-tokens of its documents: at most
-   ``per_task`` of the most frequent ones with their counts leave the task
-   (no pre-token occurrence is shuffled). The sums over all documents give the
-   ``table_size`` most frequent pre-tokens; their token counts are broadcast
-   as one compact table (the size is bounded by ``table_size``).
+1. Every task summarises the pre-tokens of its documents as one row: at most
+   ``per_task`` of the most frequent ones with their counts. These rows are
+   merged in a tree, ``FAN_IN`` to one, each merge bounded alike, until the
+   driver can merge the last few. No pre-token is a shuffle key. The
+   ``table_size`` most frequent ones of the result, with their token counts, are
+   broadcast as one compact table.
 2. Every document is counted in one pass: pre-token lengths come from the
    table, else from the worker's own cache, else from the tokenizer.
 
@@ -22,32 +23,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import id_text, table
+from .common import id_text, stage, table
 
 PER_TASK = 16_384
 TABLE_SIZE = 65_536
 MAX_KEPT = 400_000
+FAN_IN = 16
 
 
-def frequent_pretokens(docs: DataFrame, per_task: int = PER_TASK,
-                       table_size: int = TABLE_SIZE) -> list[str]:
+_SUMMARY = "pretokens array<string>, counts array<bigint>"
+
+
+def _summary(counts: Counter, size: int) -> pa.RecordBatch:
+    top = counts.most_common(size)
+    return pa.record_batch([pa.array([[p for p, _ in top]], pa.list_(pa.string())),
+                            pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["pretokens", "counts"])
+
+
+def _merge(rows: Iterator[tuple[list[str], list[int]]]) -> Counter:
+    counts: Counter = Counter()
+    for pretokens, numbers in rows:
+        for p, n in zip(pretokens, numbers, strict=True):
+            counts[p] += n
+        if len(counts) > MAX_KEPT:  # keep the frequent half of a full summary
+            counts = Counter(dict(counts.most_common(MAX_KEPT // 2)))
+    return counts
+
+
+def frequent_pretokens(docs: DataFrame, per_task: int = PER_TASK, table_size: int = TABLE_SIZE,
+                       vocabulary: str | None = None) -> list[str]:
     """The most frequent pre-tokens of all texts, from bounded summaries."""
+    path = vocabulary or tokens.vocabulary_path()
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        encoder, counts = tokens.encoder(path), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(tokens.PRETOKEN.findall(text))
-                if len(counts) > MAX_KEPT:  # keep the frequent half of a full summary
+                counts.update(encoder.pretokens(text) or ())
+                if len(counts) > MAX_KEPT:
                     counts = Counter(dict(counts.most_common(MAX_KEPT // 2)))
-        top = counts.most_common(per_task)
-        yield pa.record_batch([pa.array([p for p, _ in top], pa.string()),
-                               pa.array([n for _, n in top], pa.int64())], names=["pretoken", "n"])
+        yield _summary(counts, per_task)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column("pretokens").to_pylist(), b.column("counts").to_pylist(), strict=True))
+        yield _summary(_merge(rows), per_task)
 
-    sums = (id_text(docs).select("text").mapInArrow(summarise, "pretoken string, n bigint")
-            .groupBy("pretoken").agg(F.sum("n").alias("n")))
-    rows = sums.orderBy(F.desc("n"), "pretoken").limit(table_size).collect()
-    return [r["pretoken"] for r in rows]
+    summaries = stage(id_text(docs).select("text").mapInArrow(summarise, _SUMMARY), "summaries")
+    while (n := summaries.count()) > FAN_IN:
+        # whole summaries are dealt round, a merge holds FAN_IN of them one after the other
+        summaries = stage(summaries.repartition(-(-n // FAN_IN)).mapInArrow(merge, _SUMMARY), "summaries")
+    rows = summaries.collect()          # at most FAN_IN summaries
+    merged = _merge((r["pretokens"], r["counts"]) for r in rows)
+    return [p for p, _ in sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024,
@@ -60,7 +87,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     path = vocabulary or tokens.vocabulary_path()
     spark = docs.sparkSession
     enc = tokens.Encoder(path, 1)
-    frequent = {p: len(enc.pretoken(p)) for p in frequent_pretokens(docs, per_task, table_size)}
+    frequent = {p: len(enc.pretoken(p)) for p in frequent_pretokens(docs, per_task, table_size, path)}
     lengths = spark.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +95,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
         first, second = lengths.value, encoder.lengths
 
         def n_tokens(text: str) -> int:
-            if not encoder.splits(text):
+            pretokens = encoder.pretokens(text)
+            if pretokens is None:
                 return len(encoder.whole(text))
-            return sum([first[p] if p in first else second[p] for p in tokens.PRETOKEN.findall(text)])
+            return sum([first[p] if p in first else second[p] for p in pretokens])
 
         for batch in batches:
             n = [n_tokens(t) for t in batch.column("text").to_pylist()]

@@ -2,11 +2,13 @@
 
 ``tokenizers`` splits a text into pre-tokens and merges inside each; equal
 pre-tokens always give equal ids. ``Encoder`` splits with Python's ``re`` and
-asks ``tokenizers`` only for pre-tokens it has not seen. The split is used for
-texts whose code points all lie below U+0250, where the pattern's classes are
-spelled out (and tested against the library code point by code point); a
-pre-token's ids are those of the library's own merge model. Any other text, and
-any text holding an added token's string, is encoded whole by ``tokenizers``.
+asks ``tokenizers`` only for pre-tokens it has not seen. The pattern's classes
+are spelled out below U+0250 (and tested against the library code point by code
+point). In a text with other code points each of these is replaced, for the
+split only, by a stand-in of its class below U+0250; the class is asked of the
+library's own pre-tokenizer when a code point is first seen. A pre-token's ids
+are those of the library's own merge model. Only a text holding an added token's
+string, or a code point that the library puts in no class, is encoded whole.
 """
 
 from __future__ import annotations
@@ -29,6 +31,27 @@ PRETOKEN = re.compile(
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
+# Stand-ins for other code points: a letter, a number, a space, anything else.
+_STAND_INS = ("\u024f", "\xb2", "\xa0", "\xa1")
+
+
+class ClassTable(dict):
+    """Code point to stand-in, asked of a pre-tokenizer when first seen: a code
+    point is of the class with whose stand-in it makes one pre-token. One of no
+    class maps to U+0000."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__({c: c for c in range(0x250)})
+        self._split = pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str | int:
+        c = chr(code)
+        # twice the stand-in, as a single space in front belongs to what follows
+        one = [s for s in _STAND_INS if len(self._split(s + s + c)) == 1 and len(self._split(c + s + s)) == 1]
+        self[code] = one[0] if len(one) == 1 else "\0"
+        return self[code]
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: a printable Latin-1 byte stands for itself, the
     others, in order, for the code points from 256 on."""
@@ -72,6 +95,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self._classes = ClassTable(self._tokenizer.pre_tokenizer)
         self.size = self._tokenizer.get_vocab_size()
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._packed = TwoGenerationCache(lambda p: _pack(self.pretoken(p)), cache_entries)
@@ -85,15 +109,24 @@ class Encoder:
         """Ids of one pre-token."""
         return [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
 
-    def splits(self, text: str) -> bool:
-        """Whether the text is the concatenation of its pre-tokens here."""
-        return not _OTHER.search(text) and not any(a in text for a in self._added)
+    def pretokens(self, text: str) -> list[str] | None:
+        """The pre-tokens whose concatenation the text is; None if it must be
+        encoded whole."""
+        if any(a in text for a in self._added):
+            return None
+        if not _OTHER.search(text):
+            return PRETOKEN.findall(text)
+        shape = text.translate(self._classes)
+        if shape.count("\0") != text.count("\0"):
+            return None
+        return [text[m.start():m.end()] for m in PRETOKEN.finditer(shape)]
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.splits(text):
+        pretokens = self.pretokens(text)
+        if pretokens is None:
             return _pack(self.whole(text))
-        return b"".join(map(self._packed.__getitem__, PRETOKEN.findall(text)))
+        return b"".join(map(self._packed.__getitem__, pretokens))
 
 
 def _pack(ids: list[int]) -> bytes:

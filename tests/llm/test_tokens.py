@@ -40,6 +40,39 @@ def test_random_texts(text):
 _CACHE = {}
 
 
+def test_texts_beyond_latin_use_the_split(library):
+    """Cyrillic, Greek, CJK, Arabic, Thai, Hindi, curly quotes, dashes, emoji,
+    other digits and spaces: no text is encoded whole."""
+    enc = T.encoder(T.vocabulary_path())
+    texts = ["Привет, мир — как дела?", "Ελληνικά κείμενα 123", "漢字かな交じり文。", "“Curly” ‘quotes’ – and — dashes…", "مرحبا بالعالم ١٢٣",
+             "สวัสดีชาวโลก", "नमस्ते दुनिया १२", "a\u2003b\u3000 c\u2028d \u2009 e", "🙂🙂 👩‍👩‍👧 ok", "x² ½ Ⅷ ⅷ 五", "don’t can't", "ﬁ ﬂ Ａ１", "\ufeffa\u200bb"]
+    for text in texts + [" ".join(texts)]:
+        assert enc.pretokens(text) is not None and "".join(enc.pretokens(text)) == text
+        assert enc.packed(text) == np.array(library(text), "<u4").tobytes(), text
+    assert enc.pretokens("a <|endoftext|> b") is None
+
+
+def test_code_points_of_every_block(library):
+    """One code point in 37 of all, between letters, spaces and signs."""
+    enc = T.encoder(T.vocabulary_path())
+    for start in range(0x250, 0x110000, 37 * 200):
+        points = [chr(c) for c in range(start, min(start + 37 * 200, 0x110000), 37) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b {c}1{c} !{c}{c}  {c}\n" for c in points)
+        assert enc.packed(text) == np.array(library(text), "<u4").tobytes(), hex(start)
+
+
+def test_summaries_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(C, "FAN_IN", 2)
+    rows = [(i, "the cat " * (i % 5) + f"w{i % 7} мир") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    counts = {}
+    for _, t in rows:
+        for p in T.PRETOKEN.findall(t.replace("мир", "ɏɏɏ")):
+            p = p.replace("ɏɏɏ", "мир")
+            counts[p] = counts.get(p, 0) + 1
+    assert C.frequent_pretokens(docs, table_size=5) == sorted(counts, key=lambda p: (-counts[p], p))[:5]
+
+
 def test_cache_generations():
     calls = []
     cache = T.TwoGenerationCache(lambda k: calls.append(k) or k * 2, 3)
