@@ -121,9 +121,10 @@ def with_next(docs: DataFrame, rows_per_range: int = 500, max_ranges: int = 1 <<
     doc_id (null ids last, equal ids by a hash of the text, equal texts in scan
     order), after the last row the first.
 
-    A range sort of the keys alone gives the first key of every range; a row
-    finds its range by binary search over that list, and each range is ordered in
-    its own window, so texts are shuffled once. The first row of a range is also
+    A range sort of the keys alone, every ``rows_per_range``-th of which (and the
+    first of each sorted partition) begins a range, gives the list of first keys;
+    a row finds its range by binary search over that list, and each range is
+    ordered in its own window, so texts are shuffled once. The first row of a range is also
     dealt to the range before it, where it only serves as the last row's next
     one. Rows that share an id (also null) have different keys and are cut into
     ranges like any others. The list holds at most ``max_ranges`` keys of 24
@@ -132,13 +133,14 @@ def with_next(docs: DataFrame, rows_per_range: int = 500, max_ranges: int = 1 <<
     base = id_text(docs).select(_order_key(F.col("doc_id")).alias("pos"), F.xxhash64("text").alias("h"),
                                 F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     key = F.struct("pos", "h", "row")
-    n = base.count()
-    ranges = max(1, min(max_ranges, n // rows_per_range))
-    firsts = (base.select("pos", "h", "row").repartitionByRange(ranges, "pos", "h", "row")
-              .groupBy(F.spark_partition_id()).agg(F.min(key).alias("first")))
+    size = max(rows_per_range, -(-base.count() // max_ranges))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))      # in the sorted partition
+    firsts = (base.select("pos", "h", "row").repartitionByRange("pos", "h", "row").sortWithinPartitions("pos", "h", "row")
+              .withColumn("place", place).where(F.col("place") % size == 0).select(key.alias("first")))
     cuts = stage(firsts.agg(F.array_sort(F.collect_list("first")).alias("cuts")), "cuts")
+    n_cuts = cuts.select(F.size("cuts")).first()[0]
     found = base.select("*", cuts.scalar().alias("cuts")).withColumn("key", key)
-    found = found.withColumn("range", _range_of(F.col("key"), F.col("cuts"), ranges))
+    found = found.withColumn("range", _range_of(F.col("key"), F.col("cuts"), n_cuts))
     is_first = F.col("key") == F.get("cuts", F.col("range"))
     before = F.when(F.col("range") == 0, F.size("cuts") - 1).otherwise(F.col("range") - 1)
     to = F.when(is_first, F.array(F.col("range"), before)).otherwise(F.array(F.col("range")))
@@ -148,7 +150,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 500, max_ranges: int = 1 <<
             .select("doc_id", "text", "next_text"))
 
 
-def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
+def _range_of(key: Column, cuts: Column, n_cuts: int) -> Column:
     """Index of the last of the sorted ``cuts`` not above ``key``, by binary
     search; the first cut is the least key of all."""
     def halve(state: Column, _: Column) -> Column:
@@ -158,7 +160,7 @@ def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
                         F.when(above, mid - 1).otherwise(state["hi"]).alias("hi"))
 
     start = F.struct(F.lit(0).alias("lo"), (F.size(cuts) - 1).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(max(1, ranges.bit_length())))
+    steps = F.sequence(F.lit(1), F.lit(max(1, n_cuts.bit_length())))
     return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
