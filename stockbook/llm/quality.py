@@ -280,13 +280,15 @@ def keep_good(docs: DataFrame, classifier: Classifier, threshold: float = THRESH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        at = docs_columns.index("text")
         for batch in batches:
             s = model.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s >= threshold))
 
-    docs_columns = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow looks its columns up by name, which some names do not survive
+    names = docs.columns
+    at = names.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
