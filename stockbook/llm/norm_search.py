@@ -36,20 +36,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, ship, stage, table
+from .common import id_text, stage, table
+from .query_blocks import BLOCK_TERMS, Block, block_number, blocks_of, queries, ranges
 
 TOP = 10
 BUCKET = 4096
-BLOCK_TERMS = 1_000_000      # terms of the queries searched together
 WAVES = (1 / 64, 1 / 8)      # shares of the rows, longest vectors first; the rest is the last wave
-VECTORS_PER_RANGE = 100_000
+VECTORS_PER_RANGE = 20_000
 SLACK = 1 + 1e-9             # beyond the rounding of sums of a few thousand doubles
 # Bytes that are not part of a term, A-Z in lower case.
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -69,59 +68,6 @@ def weight(n_docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def queries(items: DataFrame) -> DataFrame:
-    """Staged ``(query, item_id, terms, counts)``, one row per distinct
-    ``(item_id, text)`` that has terms."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("item_id"), pa.array([list(c) for c in found], pa.list_(pa.binary())),
-                                   pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
-                                  names=["item_id", "terms", "counts"])
-
-    ship(items.sparkSession)
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = (rows.where("text is not null").distinct()
-             .mapInArrow(run, "item_id bigint, terms array<binary>, counts array<bigint>").where(F.size("terms") > 0))
-    return stage(found.select(F.monotonically_increasing_id().alias("query"), "item_id", "terms", "counts"), "queries")
-
-
-def blocks_of(asked: DataFrame, block_terms: int = BLOCK_TERMS) -> int:
-    """How many blocks (by hash of the query) hold at most ``block_terms``
-    terms each, a single query with more than that apart."""
-    total, largest = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.max(F.size("terms"))).first()
-    blocks = max(1, -(-total // block_terms))
-    while blocks > 1 or total > block_terms:
-        worst = asked.groupBy(_block(blocks)).agg(F.sum(F.size("terms")).alias("n")).agg(F.max("n")).first()[0]
-        if worst <= max(block_terms, largest) or blocks > 16 * total:
-            break
-        blocks *= 2
-    return blocks
-
-
-def _block(blocks: int):
-    return F.pmod(F.xxhash64("query"), F.lit(blocks))
-
-
-@dataclass
-class Block:
-    """A block's queries over its own numbering of their terms."""
-
-    queries: np.ndarray
-    starts: np.ndarray       # of each query's terms
-    terms: np.ndarray
-    counts: np.ndarray
-    vocabulary: dict[bytes, int]
-
-    @classmethod
-    def of(cls, rows: list) -> Block:
-        numbers: dict[bytes, int] = {}
-        terms = [numbers.setdefault(bytes(t), len(numbers)) for r in rows for t in r["terms"]]
-        sizes = [len(r["terms"]) for r in rows]
-        return cls(np.array([r["query"] for r in rows], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
-                   np.array(terms, np.int64), np.array([c for r in rows for c in r["counts"]], np.int64), numbers)
-
-
 def kept_terms(docs: DataFrame, vocabulary) -> DataFrame:
     """Staged ``(row, doc_id, n, terms, counts)`` of all documents: how many
     terms they have, and which of the broadcast ``vocabulary`` how often."""
@@ -227,7 +173,7 @@ class Searcher:
         self.scored += len(near)
         self._dense[q_terms] = value
         sizes = starts[near + 1] - starts[near]
-        places = np.arange(sizes.sum()) + np.repeat(starts[near] - (np.cumsum(sizes) - sizes), sizes)
+        places = ranges(starts[near], sizes)
         score = np.add.reduceat(self._dense[terms[places]] * impacts[places], np.cumsum(sizes) - sizes)
         self._dense[q_terms] = 0
         keep = (score >= max(least, 1)).nonzero()[0]
@@ -307,11 +253,11 @@ def top_documents(docs: DataFrame, items: DataFrame, top: int = TOP, block_terms
     share an item_id (also null) but not the text are searched each for itself
     and ranked together, by their score and doc_id. Empty tables give no rows.
     """
-    asked = queries(items)
+    asked = queries(items, "item_id", terms_of)
     n_blocks = blocks_of(asked, block_terms)
     out, statistics = None, None
     for b in range(n_blocks):
-        rows = asked.where(_block(n_blocks) == b).collect()        # at most block_terms terms
+        rows = asked.where(block_number(n_blocks) == b).collect()        # at most block_terms terms
         if not rows:
             continue
         block = Block.of(rows)

@@ -54,7 +54,7 @@ def corpus(n=700, seed=2):
     return docs, items
 
 
-@pytest.mark.parametrize("kw", [{}, {"bucket": 16, "rows_per_range": 100, "block_terms": 60}, {"top": 3, "bucket": 50}])
+@pytest.mark.parametrize("kw", [{}, {"bucket": 16, "rows_per_range": 100, "block_terms": 200}, {"top": 3, "bucket": 50}])
 def test_against_all_documents(spark, kw):
     docs, items = corpus()
     found = S.top_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
