@@ -72,9 +72,11 @@ def php_number(c) -> Column:
 def php_int(c) -> Column:
     """(int) of a string: '2.7'->2, '3abc'->3, '1e3'->1000, ''->0, NULL->0.
     Whole numbers do not pass through double; beyond bigint they saturate."""
+    plain = col(c).cast("string")       # mostly digits alone, which need no further reading
     txt = F.regexp_extract(col(c).cast("string"), _PHP_NUMERIC_PREFIX, 1)
     limit = F.when(txt.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
-    return (F.when(txt.rlike("^[+-]?[0-9]+$"), F.coalesce(txt.try_cast("bigint"), limit))
+    return (F.when(plain.rlike(r"\A[0-9]{1,18}\z"), plain.try_cast("bigint"))
+            .when(txt.rlike("^[+-]?[0-9]+$"), F.coalesce(txt.try_cast("bigint"), limit))
             .otherwise(F.coalesce(php_number(c).try_cast("bigint"), F.lit(0))).cast("bigint"))
 
 

@@ -25,7 +25,7 @@ are equal and it decides; every round therefore decides at least one unit
 and the loop ends with the exact sequential answer. In practice it takes a
 handful of rounds. There is no round cap. The running sums are the two-level
 scans of ``plans.scan`` (a hot product is split into chunks), the per-unit
-verdict is a hash aggregate, and each round's states are checkpointed to the
+verdict is a hash aggregate, and each round's states are written to the
 shared checkpoint folder so the lineage stays one round deep.
 """
 
@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage, reuse
+from ..plans.lineage import reuse, written
 from ..plans.scan import running_agg, scan_plan
 
 log = logging.getLogger(__name__)
@@ -61,10 +61,10 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
     ``chunk_rows`` / ``one_level`` pass a scan plan the caller already chose
     (``plans.scan.scan_plan``); by default it is chosen here.
     """
-    act = cut_lineage(usage.select(*unit_keys, *res_keys, seq,
+    act = written(usage.select(*unit_keys, *res_keys, seq,
                                    F.col(need).alias("_need"), F.col(take).alias("_take"),
                                    F.col(cap).alias("_cap"),
-                                   F.lit(UNDECIDED).alias("_st"), F.lit(0).cast("bigint").alias("_base")))
+                                   F.lit(UNDECIDED).alias("_st"), F.lit(0).cast("bigint").alias("_base")), "units")
     if act.isEmpty():
         return act.select(*unit_keys, F.lit(False).alias("admitted"), F.lit(0).alias("rounds")).distinct()
     n = 0 if one_level else (chunk_rows if chunk_rows else scan_plan(act, res_keys))
@@ -110,13 +110,13 @@ def greedy_admission(usage: DataFrame, unit_keys: list[str], res_keys: list[str]
         upd = act.join(front, res_keys, "inner")
         moved = (upd.where((F.col(seq) < F.col("_front")) & (F.col("_st") == ADMITTED))
                  .groupBy(*res_keys).agg(F.sum("_take").alias("_moved")))
-        act = cut_lineage(
+        act = written(
             upd.where((F.col(seq) >= F.col("_front")) & (F.col("_st") != REJECTED)).join(moved, res_keys, "left")
             .withColumn("_base", F.col("_base") + F.coalesce(F.col("_moved"), F.lit(0)).cast("bigint"))
-            .drop("_front", "_moved"))
+            .drop("_front", "_moved"), "units")
         if len(decided) >= 16:
             # keep the union of per-pass results shallow
-            decided = [cut_lineage(reduce(DataFrame.unionByName, decided))]
+            decided = [written(reduce(DataFrame.unionByName, decided), "decided")]
     states = reduce(DataFrame.unionByName, decided)
     return states.select(*unit_keys, (F.col("_st") == ADMITTED).alias("admitted"),
                          F.lit(rounds).alias("rounds"))

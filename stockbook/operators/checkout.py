@@ -25,15 +25,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..plans.lineage import reuse
+from ..plans.lineage import reuse, written
 from ..plans.scan import order_position, running_agg, scan_plan
 from ..sources.schema import CART_ITEM
-from .admission import greedy_admission, taken_before
+from .admission import greedy_admission
 from .sales import in_days
 
 # The messages of the checkout page.
@@ -53,7 +53,14 @@ NOT_ENOUGH = "Not enough stock."
 
 # A payload in which the type of a value matters: booleans or nested values
 # (also where such text stands inside a string, which the typed reading tells).
-_TYPED = r"true|false|:\s*[\[{]"
+_NESTED = r":\s*[\[{]"
+
+# What ``_typed_line`` gives.
+_TYPED_LINES = ("array<struct<product_id:string,quantity:string,unit_type:string,unit_price:string,"
+                "product_number:bigint,quantity_number:bigint,unit_nested:boolean>>")
+
+# What checkout reads of a cart, besides its id and time.
+_POSTED = ("items", "staff_name", "customer_name", "customer_address", "lpo_number")
 
 
 def _typed_number(v: F.Column) -> F.Column:
@@ -80,12 +87,6 @@ def _typed_line(x: F.Column) -> F.Column:
                     F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False)).alias("unit_nested"))
 
 
-def _plain_line(x: F.Column) -> F.Column:
-    none = F.lit(None).cast("bigint")
-    return F.struct(*[x[c].alias(c) for c in ("product_id", "quantity", "unit_type", "unit_price")],
-                    none.alias("product_number"), none.alias("quantity_number"), F.lit(False).alias("unit_nested"))
-
-
 def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per posted element, plus one row with NULL ``line_pos`` for a
     cart whose payload is not a non-empty JSON array or object.
@@ -101,7 +102,7 @@ def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     or object is 1 unless it is empty, a boolean unit is "1" or "". A nested unit
     fails the server's trim; ``unit_nested`` marks it.
     """
-    raw = X.php_trim("items")
+    raw = F.col("_raw")
     per_elem = lambda arr: F.transform(arr, lambda x: F.from_json(x, CART_ITEM))
     as_object = per_elem(F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.StringType()))))
     as_array = F.coalesce(F.from_json(raw, T.ArrayType(CART_ITEM)),
@@ -109,20 +110,28 @@ def parse_payloads(carts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     typed_object = F.map_values(F.from_json(raw, T.MapType(T.StringType(), T.VariantType())))
     typed_array = F.from_json(raw, T.ArrayType(T.VariantType()))
     is_object = raw.startswith("{")
-    elems = F.when(raw.rlike(_TYPED), F.transform(F.when(is_object, typed_object).otherwise(typed_array), _typed_line)
-                   ).otherwise(F.transform(F.when(is_object, as_object).otherwise(as_array), _plain_line))
-    ex = carts.select("cart_id", *keep, F.posexplode_outer(elems).alias("_pos", "_it"))
-    it = F.col("_it")
+    # columns of their own, so that the payload is trimmed and looked through once
+    read = (carts.select("cart_id", *keep, X.php_trim("items").alias("_raw"))
+            .select("*", (raw.contains("true") | raw.contains("false") | raw.rlike(_NESTED)).alias("_typed")))
+    typed = F.col("_typed")
+    is_plain = F.when(~typed, F.when(is_object, as_object).otherwise(as_array))
+    is_typed = F.when(typed, F.transform(F.when(is_object, typed_object).otherwise(typed_array), _typed_line))
+    # one of the two is empty; zipped, no plain line is copied
+    elems = F.arrays_zip(F.coalesce(is_plain, F.array().cast(T.ArrayType(CART_ITEM))).alias("plain"),
+                         F.coalesce(is_typed, F.array().cast(_TYPED_LINES)).alias("typed"))
+    ex = read.select("cart_id", *keep, F.posexplode_outer(elems).alias("_pos", "_it"))
+    plain, typed_line = F.col("_it.plain"), F.col("_it.typed")
+    field = lambda c: F.coalesce(typed_line[c], plain[c])
     return ex.select(
         "cart_id", *keep,
         (F.col("_pos") + 1).cast("int").alias("line_pos"),
-        F.coalesce(it["product_number"], X.php_int(it["product_id"])).alias("product_id"),
-        F.coalesce(it["quantity_number"], X.php_int(it["quantity"])).alias("quantity"),
-        X.php_trim(F.coalesce(it["unit_type"], F.lit("pieces"))).alias("unit_type"),
-        X.php_number(it["unit_price"]).alias("client_unit_price"),
-        it["product_id"].alias("product_id_text"),
-        it["quantity"].alias("quantity_text"),
-        it["unit_nested"].alias("unit_nested"),
+        F.coalesce(typed_line["product_number"], X.php_int(field("product_id"))).alias("product_id"),
+        F.coalesce(typed_line["quantity_number"], X.php_int(field("quantity"))).alias("quantity"),
+        X.php_trim(F.coalesce(field("unit_type"), F.lit("pieces"))).alias("unit_type"),
+        X.php_number(field("unit_price")).alias("client_unit_price"),
+        field("product_id").alias("product_id_text"),
+        field("quantity").alias("quantity_text"),
+        F.coalesce(typed_line["unit_nested"], F.lit(False)).alias("unit_nested"),
     ).withColumn("line_ok", (F.col("product_id") > 0) & (F.col("quantity") > 0))
 
 
@@ -228,7 +237,8 @@ def cart_preview_totals(preview: DataFrame) -> DataFrame:
 @dataclass
 class CheckoutResult:
     decisions: DataFrame   # one row per posted cart: cart_id, accepted, reason, sale_id, sale_number,
-                           # total_amount, rounds (admission passes; 0 for carts without a valid line)
+                           # total_amount, rounds (admission passes; 0 for carts refused by a line
+                           # of their own, whatever was sold before)
     sales: DataFrame       # new sale headers
     sale_items: DataFrame  # new sale lines
     stock: DataFrame       # product_id, container_quantity, loose_pieces, updated_at (changed products)
@@ -273,62 +283,86 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         base_sale, base_item = _max_id(sales, "id"), _max_id(sale_items, "id")
     else:
         base_sale, base_item = int(id_base[0]), int(id_base[1])
-    # a cart without a time is sold now; ``seq`` identifies a cart from here on,
-    # since one cart_id may be posted twice
-    timed = carts.withColumn("ts", F.coalesce("ts", F.current_timestamp().cast(carts.schema["ts"].dataType)))
-    order = (order_position(timed, ["ts", "cart_id"], "seq")
-             .withColumnRenamed("cart_id", "_posted_id").withColumn("cart_id", F.col("seq")))
-    parsed = parse_payloads(order, keep=("seq", "ts"))
+    # a cart without a time is sold now; from here on ``cart_id`` is the number of
+    # its row, since one cart_id may be posted twice, and ``seq`` its place in the
+    # order. Only ids and times are sorted, the payloads stay where they are
+    posted = written(carts.select(
+        F.col("cart_id").alias("_posted_id"),
+        F.coalesce("ts", F.current_timestamp().cast(carts.schema["ts"].dataType)).alias("ts"),
+        *[F.col(c).cast("string").alias(c) for c in _POSTED], F.monotonically_increasing_id().alias("cart_id")), "carts")
+    order = written(order_position(posted.select("cart_id", "_posted_id", "ts"), ["ts", "_posted_id"], "seq",
+                                   materialize=False), "order")
+    parsed = parse_payloads(posted)
     p = _product_side(products)
-    l = parsed.join(p, F.col("product_id") == p["_pid"], "left")
     cont = X.is_container_unit("unit_type")
-    l = reuse(l.select(
-        "cart_id", "seq", "ts", "line_pos", "product_id", "quantity", "unit_type", "product_name", "unit_price",
-        "ppc", "stock",
+    l = parsed.join(p, F.col("product_id") == p["_pid"], "left").select(
+        "cart_id", "line_pos", "product_id", "quantity", "unit_type", "unit_price", "ppc", "stock",
+        F.col("product_name").isNotNull().alias("_named"),
         F.when(~F.col("line_ok"), F.lit(INVALID_ITEM))
          .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)).alias("_static"),
         F.when(F.col("unit_nested"), F.lit(UNIT_NESTED)).alias("_unit_error"),
-        _pieces(cont).alias("pieces"),
-    ))
+        _pieces(cont).alias("pieces"))
+    # a line with an error of its own, or asking for more than the whole stock,
+    # refuses its cart whatever was sold before: the cart takes no part in the
+    # admission, and its lines after the first such line can't be its reason
+    stopped = F.col("_static").isNotNull() | F.col("_unit_error").isNotNull()
+    beyond = F.coalesce(F.col("quantity") > F.col("stock"), F.lit(False))
+    cart = Window.partitionBy("cart_id")
+    l = (l.withColumn("_fails", F.max(stopped | beyond).over(cart))
+         .withColumn("_stop", F.min(F.when(stopped | (beyond & F.col("_named")), F.col("line_pos"))).over(cart)))
+    l = l.where(F.col("line_pos").isNull() | F.col("_stop").isNull() | (F.col("line_pos") <= F.col("_stop")))
+    # read by the skew check, the admission, the reasons and the accepted lines
+    l = reuse(l.join(order.select("cart_id", "seq"), "cart_id"))
     l, empty = split_payloads(l)
+    able = l.where(~F.col("_fails"))
     # a header or line amount beyond DECIMAL(10,2) fails its INSERT, which
     # rolls the cart back after all its lines passed the checks
     line_total = F.col("unit_price") * F.col("quantity").cast("decimal(20,0)")
-    amounts = (l.where(F.col("_static").isNull()).groupBy("cart_id")
-               .agg(F.sum(line_total).alias("_sum"), F.max(line_total).alias("_max_line")))
+    amounts = able.groupBy("cart_id").agg(F.sum(line_total).alias("_sum"), F.max(line_total).alias("_max_line"))
     too_big = amounts.select(
         "cart_id",
         F.when(F.col("_sum") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_amount")))
          .when(F.col("_max_line") > F.lit(MONEY_MAX).cast("decimal(10,2)"), F.lit(OUT_OF_RANGE.format("total_price")))
          .alias("_insert_error")).where(F.col("_insert_error").isNotNull())
-    blocked = (l.where(F.col("_static").isNotNull() | F.col("_unit_error").isNotNull()).select("cart_id")
-               .union(too_big.select("cart_id")).distinct())
-    # read by the skew check, the admission and the availability pass
-    per_res = reuse(l.where(F.col("_static").isNull())
-                    .groupBy("cart_id", "product_id")
-                    .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
-                         F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
-    usage = per_res.join(blocked, "cart_id", "left_anti")
-    # one skew check for both scans over products (per_res holds usage's rows)
-    n = chunk_rows if chunk_rows else scan_plan(per_res, ["product_id"])
+    usage = reuse(able.join(too_big, "cart_id", "left_anti")
+                  .groupBy("cart_id", "product_id")
+                  .agg(F.first("seq").alias("seq"), F.max("quantity").alias("need"),
+                       F.sum("pieces").alias("take"), F.first("stock").alias("cap")))
+    # one skew check for both scans over products (no scan has more rows of one)
+    counted = l.where(F.col("_static").isNull())
+    n = chunk_rows if chunk_rows else scan_plan(counted, ["product_id"])
     adm = greedy_admission(usage, ["cart_id"], ["product_id"], "seq", chunk_rows=n or None,
                            one_level=not n)
-
-    # exact stock at each cart's start (also for rejected carts, for the message)
-    avail = taken_before(per_res, adm, ["cart_id"], ["product_id"], "seq", chunk_rows=n)
-    avail = avail.select("cart_id", "product_id",
-                         F.when(F.col("touched"), F.greatest(F.lit(0), F.col("cap") - F.col("taken")))
-                          .otherwise(F.col("cap")).alias("available"))
-    lv = l.join(avail, ["cart_id", "product_id"], "left")
-    stock_msg = F.concat(F.col("product_name"), F.lit(" has only "), F.col("available").cast("string"),
-                         F.lit(" available."))
-    lv = lv.withColumn("_err", F.coalesce(F.col("_static"),
-                                          F.when(F.col("quantity") > F.col("available"), stock_msg),
-                                          F.col("_unit_error")))
-    reasons = (lv.where(F.col("_err").isNotNull()).groupBy("cart_id")
-               .agg(F.min_by("_err", "line_pos").alias("reason")))
-    acc = adm.where("admitted").select("cart_id")
-    acc_lines = reuse(l.join(acc, "cart_id", "left_semi").withColumn(
+    acc = reuse(adm.where("admitted").select("cart_id"))
+
+    # exact stock at the start of each refused cart, for the message: what
+    # the accepted carts before it took
+    asked = (counted.join(acc, "cart_id", "left_anti")
+             .select("product_id", "seq", F.lit(0).cast("bigint").alias("take"), F.lit(0).alias("_one"), "cart_id", "line_pos",
+                     "quantity", "stock", "_named", "_unit_error"))
+    taken = (usage.join(acc, "cart_id", "left_semi").select("product_id", "seq", "take", F.lit(1).alias("_one")))
+    lv = running_agg(asked.unionByName(taken, allowMissingColumns=True), ["product_id"], "seq",
+                     {"_taken": ("sum", "take"), "_n": ("sum", "_one")}, n, inclusive=False)
+    left = F.when(F.col("_n") > 0, F.greatest(F.lit(0), F.col("stock") - F.col("_taken"))).otherwise(F.col("stock"))
+    short = (F.col("quantity") > left) & F.col("_named")
+    no_number = F.lit(None).cast("bigint")
+    errors = lv.where(short | F.col("_unit_error").isNotNull()).select(
+        "cart_id", "line_pos", F.when(~short, F.col("_unit_error")).alias("_text"),
+        F.when(short, F.col("product_id")).alias("_short"), F.when(short, left).alias("_left"))
+    other = lambda df, pos, text: df.select(
+        "cart_id", pos.cast("int").alias("line_pos"), F.col(text).alias("_text"), no_number.alias("_short"),
+        no_number.alias("_left"))
+    # an error of the INSERT comes after those of all lines
+    errors = (errors.union(other(l.where(F.col("_static").isNotNull()), F.col("line_pos"), "_static"))
+              .union(other(empty, F.lit(0), "reason"))
+              .union(other(too_big, F.lit((1 << 31) - 1), "_insert_error")))
+    first = (errors.groupBy("cart_id").agg(F.min_by(F.struct("_text", "_short", "_left"), "line_pos").alias("_e"))
+             .select("cart_id", "_e.*"))
+    names = (products.groupBy(F.col("id").cast("bigint").alias("_short"))
+             .agg(F.first("product_name", ignorenulls=True).alias("_name")))
+    stock_msg = F.concat(F.col("_name"), F.lit(" has only "), F.col("_left").cast("string"), F.lit(" available."))
+    reasons = first.join(names, "_short", "left").select("cart_id", F.coalesce("_text", stock_msg).alias("reason"))
+    acc_lines = reuse(able.join(acc.join(order.select("cart_id", "ts"), "cart_id"), "cart_id").withColumn(
         "total_price", (F.col("unit_price") * F.col("quantity").cast("decimal(20,0)")).cast("decimal(10,2)")))
 
     # headers: ids and per-day numbers in request order
@@ -350,7 +384,8 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
                 .select(F.to_date(F.substring("sale_number", 5, 8), "yyyyMMdd").alias("_day"),
                         F.substring("sale_number", 13, 19).try_cast("bigint").alias("_n"))
                 .groupBy("_day").agg(F.max("_n").alias("_day_used")))
-        nums = nums.join(day_first.select("_day"), "_day", "left_semi")
+        # written, so that publishing the batch to the same table can't change them
+        nums = written(nums.join(day_first.select("_day"), "_day", "left_semi"), "numbers")
     else:
         nums = day_first.select("_day", F.lit(0).cast("bigint").alias("_day_used")).where(F.lit(False))
     heads = heads.join(day_first, "_day").join(nums, "_day", "left")
@@ -362,7 +397,7 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
         .alias("sale_number"))
     heads = reuse(heads)
 
-    cinfo = order.select("cart_id",
+    cinfo = posted.select("cart_id",
                          X.php_trim(F.coalesce("staff_name", F.lit(X.DEFAULT_STAFF))).alias("staff_name"),
                          X.php_trim(F.coalesce("customer_name", F.lit(""))).alias("customer_name"),
                          X.php_trim(F.coalesce("customer_address", F.lit(""))).alias("customer_address"),
@@ -390,14 +425,11 @@ def checkout(carts: DataFrame, products: DataFrame, sales: DataFrame | None = No
 
     decisions = (order.select("cart_id", "_posted_id")
                  .join(adm.select("cart_id", "admitted", "rounds"), "cart_id", "left")
-                 .join(empty, "cart_id", "left")
-                 .join(reasons.withColumnRenamed("reason", "_r"), "cart_id", "left")
-                 .join(too_big, "cart_id", "left")
+                 .join(reasons, "cart_id", "left")
                  .join(heads.select("cart_id", "sale_id", "sale_number", "total_amount"), "cart_id", "left"))
     ok = F.coalesce(F.col("admitted"), F.lit(False))
     decisions = decisions.select(
-        F.col("_posted_id").alias("cart_id"), ok.alias("accepted"),
-        F.when(~ok, F.coalesce(F.col("reason"), F.col("_r"), F.col("_insert_error"))).alias("reason"),
+        F.col("_posted_id").alias("cart_id"), ok.alias("accepted"), F.when(~ok, F.col("reason")).alias("reason"),
         "sale_id", "sale_number", "total_amount", F.coalesce("rounds", F.lit(0)).alias("rounds"))
     return CheckoutResult(decisions, new_sales, new_items, stock, new_products,
                           base_sale + int(counts["n"] or 0), base_item + int(counts["lines"] or 0))

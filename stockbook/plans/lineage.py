@@ -7,6 +7,8 @@ step. Local checkpoints are never used.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -19,6 +21,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the checkpoint folder and return the
+    re-read table: like ``cut_lineage``, for wide rows of which later steps
+    read few columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a result that several later steps read (memory, spilling to
     disk). Only for results whose lineage is shallow and starts at a

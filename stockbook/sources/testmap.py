@@ -11,7 +11,7 @@ it does none of the jobs' work, and no job relies on how the rows are made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,19 +71,24 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The order of an order's lines.
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+
+
+def _line(partkey: Column, quantity: Column, flag: Column, quantity_name: str = "quantity") -> list[Column]:
+    """A line's product, quantity and unit."""
+    return [(partkey + 1).cast("int").alias("product_id"), quantity.cast("int").alias(quantity_name),
+            F.when(flag == "A", "Box").when(flag == "N", "piece").alias("unit_type")]
+
+
 def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        "l_discount", "l_returnflag", "l_shipdate")
+    w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return li.select(
         ((F.col("l_orderkey") + 1) * 100 + F.row_number().over(w)).cast("bigint").alias("id"),
         (F.col("l_orderkey") + 1).cast("bigint").alias("sale_id"),
-        (F.col("l_partkey") + 1).cast("int").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity_sold"),
-        F.when(F.col("l_returnflag") == "A", "Box").when(F.col("l_returnflag") == "N", "piece")
-        .alias("unit_type"),
+        *_line(F.col("l_partkey"), F.col("l_quantity"), F.col("l_returnflag"), "quantity_sold"),
         (F.floor(cents / F.col("l_quantity").cast("bigint")).cast("decimal(12,0)") / F.lit(100))
         .cast("decimal(10,2)").alias("unit_price"),
         F.col("l_extendedprice").cast("decimal(10,2)").alias("total_price"),
@@ -111,18 +116,17 @@ def stock_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cart per sale that has items: its lines as the POS form posts them
     (JSON array of {product_id, quantity, unit_type}, in item-id order)."""
-    it = sale_items(spark, sf_dir)
+    li = _read(spark, sf_dir, "lineitem")
     s = sales(spark, sf_dir)
-    lines = it.groupBy("sale_id").agg(
-        F.to_json(F.transform(
-            F.array_sort(F.collect_list(F.struct("id", "product_id", F.col("quantity_sold").alias("quantity"),
-                                                 "unit_type"))),
-            lambda x: F.struct(x["product_id"].alias("product_id"), x["quantity"].alias("quantity"),
-                               x["unit_type"].alias("unit_type")))).alias("items"))
-    return lines.join(s, lines.sale_id == s.id).select(
-        F.col("sale_id").cast("bigint").alias("cart_id"),
+    # the lines of an order sorted as sale_items numbers them, in one grouping
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_LINE_ORDER))).alias("_lines"))
+    lines = lines.join(s, F.col("l_orderkey") == s["id"] - 1)
+    return lines.select(
+        F.col("id").alias("cart_id"),
         F.col("sale_date").alias("ts"),
-        "items", "customer_name", "customer_address", "lpo_number", "staff_name")
+        F.to_json(F.transform("_lines", lambda x: F.struct(
+            *_line(x["l_partkey"], x["l_quantity"], x["l_returnflag"])))).alias("items"),
+        "customer_name", "customer_address", "lpo_number", "staff_name")
 
 
 def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,26 @@ def test_checkout_more_shapes(spark, seed, n_products, n_carts, chunk):
     for r in res.stock.collect():
         assert (after[r.product_id]["container_quantity"], after[r.product_id]["loose_pieces"]) == \
             (r.container_quantity, r.loose_pieces)
+
+
+def test_carts_refused_by_a_line_of_their_own_stay_out_of_the_admission(spark):
+    """A line asking for more than the whole stock refuses its cart whatever
+    was sold before; an earlier line of it may still be the reason."""
+    prods = {1: dict(id=1, product_name="Bolt", container_quantity=5, pieces_per_container=1, loose_pieces=0, unit_price=2),
+             2: dict(id=2, product_name="Nut", container_quantity=3, pieces_per_container=1, loose_pieces=0, unit_price=1),
+             3: dict(id=3, product_name=None, container_quantity=1, pieces_per_container=1, loose_pieces=0, unit_price=1)}
+    t = datetime(2024, 1, 1)
+    lines = [[(1, 6)], [(1, 4)], [(1, 2), (2, 9)], [(2, 9), (1, 2)], [(1, 1), (9, 1)], [(2, 1), (2, 4), (1, 9)], [(1, 2)],
+             [(3, 7), (1, 2)], [(3, 7)], [(2, 3)]]
+    carts = [dict(cart_id=i, ts=t + timedelta(seconds=i), items=json.dumps([dict(product_id=p, quantity=q) for p, q in x]))
+             for i, x in enumerate(lines)]
+    res = co.checkout(_carts_df(spark, carts), _products_df(spark, prods))
+    got = {r.cart_id: (r.accepted, r.reason) for r in res.decisions.collect()}
+    assert got == {0: (False, "Bolt has only 5 available."), 1: (True, None), 2: (False, "Bolt has only 1 available."),
+                   3: (False, "Nut has only 3 available."), 4: (False, "Product not found."),
+                   5: (False, "Nut has only 3 available."), 6: (False, "Bolt has only 1 available."),
+                   # a message without a name is no message; the next one is the reason
+                   7: (False, "Bolt has only 1 available."), 8: (False, None), 9: (True, None)}
+    rounds = {r.cart_id: r.rounds for r in res.decisions.collect()}
+    assert {i for i in rounds if rounds[i]} == {1, 6, 9}
+    assert sorted((r.product_id, r.quantity_sold, r.id) for r in res.sale_items.collect()) == [(1, 4, 1), (2, 3, 2)]
