@@ -34,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 BINS = 256
-NEWTON_STEPS = 8     # per written round
+NEWTON_STEPS = 8     # per round, each written
 ROUNDS = 8
 REPAIRS = 3
 
@@ -95,7 +95,8 @@ def tilts(sizes: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
                              .when((F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi")), F.col("to"))
                              .otherwise((F.col("lo") + F.col("hi")) / 2).alias("tilt"),
                              "lo", "hi", (F.abs("gap") / F.greatest(F.col("target"), F.lit(1.0))).alias("off")))
-        state = stage(state, "tilts")
+            # every step is a small plan of the same shape: the driver plans and compiles it once
+            state = stage(state, "tilts")
         if (state.agg(F.max("off")).first()[0] or 0.0) < 1e-7:
             break
     return state.select("s", "mean", "tilt")

@@ -68,3 +68,20 @@ def test_mix_repeats_whole_rows(spark):
 def test_no_rows(spark):
     assert M.balance(fixtures.no_docs(spark)).count() == 0
     assert M.mix(fixtures.no_docs(spark)).count() == 0
+
+
+def test_every_newton_step_is_a_small_plan(spark, monkeypatch):
+    """The driver never plans several steps at once (its memory grew with them)."""
+    joins = []
+    written = M.stage
+
+    def stage(df, name="t"):
+        if name == "tilts":
+            joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return written(df, name)
+
+    monkeypatch.setattr(M, "stage", stage)
+    docs = spark.createDataFrame([(i, f"s{i % 4}", "w " * (1 + i % 23)) for i in range(200)], "doc_id long, source string, text string")
+    rows = M.balance(docs).collect()
+    assert len(rows) == 200 and sum(r["copies"] * r["size"] for r in rows) > 0
+    assert len(joins) >= M.NEWTON_STEPS and max(joins) == 1
