@@ -140,14 +140,13 @@ def exact_repeats(keyed: DataFrame, first: DataFrame) -> DataFrame:
             .where(F.struct("doc", "h", "no") != F.col("first")).select("doc", "h", "no"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(start from 1, length) of segment i (from 1) of a line of ``length``
     in ``parts`` segments: all as long, the last ``length % parts`` one longer."""
     base = F.floor(length / F.lit(parts)).cast("int")
-    longer = length % F.lit(parts)
-    plain = F.lit(parts) - longer
-    start = F.lit(1) + base * (i - 1) + F.greatest(F.lit(i - 1) - plain, F.lit(0))
-    return start.cast("int"), (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
+    plain = F.lit(parts) - length % F.lit(parts)
+    start = F.lit(1) + base * (i - 1) + F.greatest(i - 1 - plain, F.lit(0))
+    return start.cast("int"), (base + F.when(i > plain, 1).otherwise(0)).cast("int")
 
 
 Sizes = list[tuple[Column, Column, Column]]
@@ -215,14 +214,9 @@ def parity(line: Column) -> Column:
     return bits
 
 
-def finer_keys(line: Column, n: Column, edits: int = EDITS, parts: int = EDITS + 2) -> Column:
-    """An array of (key, own) as in ``line_keys``, on keys of all but ``edits`` of ``parts`` segments.
-
-    Of two lines within ``edits`` edits, ``edits`` segments of the indexed one
-    can be chosen that hold all edits; each kept segment is then shifted by the
-    net change of the chosen ones before it. A probe tries every way to spread
-    at most ``edits`` edits over the chosen segments that gives the difference of
-    the lengths."""
+def _ways(edits: int, parts: int) -> list[tuple[int, int, list[int], list[int], bool]]:
+    """(chosen segments as bits, how much shorter the indexed line is, kept
+    segments, their shifts, whether it is an index key) of each finer key."""
     out, seen = [], set()
     for chosen in combinations(range(1, parts + 1), edits):
         kept = [i for i in range(1, parts + 1) if i not in chosen]
@@ -230,19 +224,36 @@ def finer_keys(line: Column, n: Column, edits: int = EDITS, parts: int = EDITS +
             shorter = sum(changes)
             if sum(map(abs, changes)) > edits or not 0 <= shorter <= edits:
                 continue
-            shifts = tuple(sum(c for w, c in zip(chosen, changes, strict=True) if w < i) for i in kept)
-            if (chosen, shorter, shifts) in seen:
+            shifts = [sum(c for w, c in zip(chosen, changes, strict=True) if w < i) for i in kept]
+            if (chosen, shorter, tuple(shifts)) in seen:
                 continue
-            seen.add((chosen, shorter, shifts))
-            length = (n - shorter).cast("int")
-            pieces = []
-            for i, shift in zip(kept, shifts, strict=True):
-                start, size = _segment(length, i, parts)
-                pieces.append(F.substring(line, start + shift, size))
-            key = F.xxhash64(length, F.lit(sum(1 << i for i in chosen)), *pieces)
-            own = shorter == 0 and not any(shifts)
-            out.append(F.struct(key.alias("key"), F.lit(own).alias("own")))
-    return F.array(*out)
+            seen.add((chosen, shorter, tuple(shifts)))
+            out.append((sum(1 << i for i in chosen), shorter, kept, shifts, shorter == 0 and not any(shifts)))
+    return out
+
+
+def finer_keys(line: Column, n: Column, edits: int = EDITS, parts: int = EDITS + 2) -> Column:
+    """An array of (key, own) as in ``line_keys``, on keys of all but ``edits`` of ``parts`` segments.
+
+    Of two lines within ``edits`` edits, ``edits`` segments of the indexed one
+    can be chosen that hold all edits; each kept segment is then shifted by the
+    net change of the chosen ones before it. A probe tries every way to spread
+    at most ``edits`` edits over the chosen segments that gives the difference of
+    the lengths. The ways are a constant array under one expression: written
+    out one by one they make a method too large to compile."""
+    ways = F.array(*[F.struct(F.lit(chosen).alias("chosen"), F.lit(shorter).alias("shorter"),
+                              F.array(*map(F.lit, kept)).alias("kept"), F.array(*map(F.lit, shifts)).alias("shifts"),
+                              F.lit(own).alias("own")) for chosen, shorter, kept, shifts, own in _ways(edits, parts)])
+
+    def key(way: Column) -> Column:
+        length = (n - way["shorter"]).cast("int")
+        pieces = []
+        for k in range(parts - edits):
+            start, size = _segment(length, way["kept"][k], parts)
+            pieces.append(F.substring(line, start + way["shifts"][k], size))
+        return F.struct(F.xxhash64(length, way["chosen"], *pieces).alias("key"), way["own"].alias("own"))
+
+    return F.transform(ways, key)
 
 
 def meeting(keyed: DataFrame) -> DataFrame:

@@ -208,3 +208,11 @@ def test_finer_keys_meet(spark):
     probe = F.transform(L.finer_keys(F.col("y"), F.length("y")), lambda k: k["key"])
     rows = df.select(F.levenshtein("x", "y").alias("l"), F.arrays_overlap(index("x"), probe).alias("o")).collect()
     assert all(r["o"] for r in rows if r["l"] <= 2) and sum(r["l"] <= 2 for r in rows) > 300
+
+
+def test_finer_keys_are_one_small_expression(spark):
+    df = spark.createDataFrame([("a line of some words", "x")], "line string, of string")
+    keys = df.select("of", F.explode(L.finer_keys(F.col("line"), F.char_length("line"))).alias("k"))
+    assert keys.select("k.key").count() == len(L._ways(L.EDITS, L.EDITS + 2))
+    code = keys._jdf.queryExecution().debug().codegenToSeq().mkString()
+    assert len(code) < 200_000
