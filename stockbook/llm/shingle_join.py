@@ -62,12 +62,14 @@ _OUT_ROWS = 200_000
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit finalizer (fixed constants of splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    """64-bit finalizer (fixed constants of splitmix64) of an array."""
+    x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % (1 << 64))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -80,11 +82,15 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     w = min(n, width)
-    with np.errstate(over="ignore"):
-        s = np.full(n - w + 1, w, np.uint64)
-        for k in range(w):
-            s = s * np.uint64(0xD6E8FEB86659FD93) + h[k:n - w + 1 + k]
-    return np.unique(_mix(s))
+    s = np.full(n - w + 1, w, np.uint64)
+    for k in range(w):
+        s *= np.uint64(0xD6E8FEB86659FD93)
+        s += h[k:n - w + 1 + k]
+    s = _mix(s)
+    s.sort()
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -101,6 +107,7 @@ def band_ends(limit: int, share: int) -> tuple[int, ...]:
     return tuple(ends)
 
 
+@lru_cache(65_536)
 def spaces(size: int, share: int = SHARE) -> list[tuple[int, int, int]]:
     """(space, k, partitions) of the spaces that a set of this size is in."""
     ends = band_ends(1 << max(4, (size - 1).bit_length()), share)
@@ -114,6 +121,12 @@ def spaces(size: int, share: int = SHARE) -> list[tuple[int, int, int]]:
     return out
 
 
+@lru_cache(256)
+def _partition_salts(space: int, partitions: int) -> np.ndarray:
+    """What tells the signatures of a space's partitions apart."""
+    return _mix(np.uint64(space << 32) + np.arange(partitions, dtype=np.uint64), 3)
+
+
 def signatures(hashes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The set's PartEnum signatures over all its spaces, and (space, slack)
     of each space."""
@@ -122,12 +135,10 @@ def signatures(hashes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, list
     for space, k, partitions in spaces(len(hashes), share):
         p = ((place * np.uint64(partitions)) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(partitions, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(sums, p, element)
-        used = np.unique(p)
+        np.add.at(sums, p, element)
+        used = np.flatnonzero(np.bincount(p, minlength=partitions))
         which = used if len(used) > k else np.arange(partitions)
-        with np.errstate(over="ignore"):
-            mixed = _mix(sums[which] ^ _mix(np.uint64(space << 32) + which.astype(np.uint64), 3))
+        mixed = _mix(sums[which] ^ _partition_salts(space, partitions)[which])
         out.append((mixed >> np.uint64(64 - SIGNATURE_BITS + SPACE_BITS) << np.uint64(SPACE_BITS)) | np.uint64(space))
         slacks.append((space, len(used) - k))
     return np.concatenate(out).astype(np.int64), slacks
@@ -193,7 +204,7 @@ _SLACKS = pa.list_(pa.struct([("space", pa.int32()), ("slack", pa.int32())]))
 
 def _slacks(hashes: np.ndarray, share: int) -> list[tuple[int, int]]:
     place = _mix(hashes, 1) >> np.uint64(32)
-    return [(space, len(np.unique((place * np.uint64(parts)) >> np.uint64(32))) - k)
+    return [(space, np.count_nonzero(np.bincount(((place * np.uint64(parts)) >> np.uint64(32)).astype(np.int64))) - k)
             for space, k, parts in spaces(len(hashes), share)]
 
 
@@ -305,23 +316,22 @@ def _sift(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``(node, hashes)`` of the given distinct nodes, one row each. A list of
-    at most BROADCAST_NODES ids filters inside the map; a longer one joins."""
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    wanted = None
-    if few:
-        wanted = docs.sparkSession.sparkContext.broadcast(
-            np.sort(np.array([r["node"] for r in nodes.collect()], dtype=np.int64)))
+def _node_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(node, hashes)``, one row each, of the distinct nodes of the staged
+    table ``wanted (node, h)``, ``h`` the hash of a text of the node. Only texts
+    of these hashes are cut into shingles again; up to BROADCAST_NODES hashes
+    are broadcast, more make a shuffled join."""
+    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = wanted.select("h").distinct()
+    rows = id_text(docs).join(F.broadcast(texts) if few else texts, F.xxhash64("text") == F.col("h"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        want = set(wanted.value.tolist()) if wanted is not None else None
         for batch in batches:
             out, blobs, n = [], [], 0
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
-                if not len(s) or (node := node_of(s)) in seen or (want is not None and node not in want):
+                if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 out.append(node)
@@ -335,10 +345,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.record_batch([pa.array(out, pa.int64()), pa.array(blobs, pa.binary())],
                                       names=["node", "hashes"])
 
-    found = id_text(docs).select("text").mapInArrow(run, "node bigint, hashes binary")
-    if not few:
-        found = found.join(nodes, "node", "left_semi")
-    return found.dropDuplicates(["node"])
+    return rows.select("text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -420,7 +427,7 @@ def _joined(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFra
     """The staged sets of all rows, and ``(node, component)`` of the nodes that
     have a link."""
     sets = stage(_sets(docs, width, share), "sets")
-    nodes = stage(sets.where("node is not null").select("node", "n_shingles", "sketch", "slacks")
+    nodes = stage(sets.where("node is not null").select("node", "n_shingles", "sketch", "slacks", "h")
                   .dropDuplicates(["node"]), "nodes")
     rows = _signature_rows(docs, width, share).repartition("sig").sortWithinPartitions("sig", "node")
     met = stage(rows.mapInArrow(_meet, "a bigint, b bigint, sig bigint"), "met")
@@ -430,7 +437,8 @@ def _joined(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFra
     pairs = met.where("sig is null").select("a", "b").union(starred).distinct()
     pairs = stage(_sift(pairs, nodes, share), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
-    hashes = stage(_node_sets(docs, stage(wanted, "wanted"), width), "hashes")
+    wanted = stage(nodes.select("node", "h").join(wanted, "node"), "wanted")
+    hashes = stage(_node_sets(docs, wanted, width), "hashes")
     found = stage(_verify(pairs, hashes, share), "found")
     components = connected_components(found)
     groups = stage(_remaining_groups(starred, components), "groups")

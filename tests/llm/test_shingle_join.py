@@ -102,3 +102,17 @@ def test_keep_one_judges_rows_by_their_own_text(spark):
     got = [tuple(r) for r in J.keep_one(spark.createDataFrame(keep + drop, "doc_id bigint, text string")).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(got, key=order) == sorted(keep, key=order)
+
+
+def test_only_texts_of_wanted_hashes_are_cut_again(spark):
+    texts = ["one two three four five six", "ONE two three four five six", "seven eight nine ten eleven", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = spark.createDataFrame([(t,) for t in texts[:3]], "text string").selectExpr("xxhash64(text) h").collect()
+    nodes = [J.node_of(J.shingle_set(t)) for t in texts[:3]]
+    assert nodes[0] == nodes[1]
+    # the hash says which texts are read, whatever the node beside it
+    wanted = spark.createDataFrame([(nodes[0], hashes[2]["h"])], "node long, h long")
+    assert [r["node"] for r in J._node_sets(docs, wanted, J.WIDTH).collect()] == [nodes[2]]
+    wanted = spark.createDataFrame([(nodes[0], hashes[0]["h"]), (nodes[0], hashes[1]["h"])], "node long, h long")
+    found = J._node_sets(docs, wanted, J.WIDTH).collect()
+    assert [(r["node"], bytes(r["hashes"])) for r in found] == [(nodes[0], J.shingle_set(texts[0]).tobytes())]
