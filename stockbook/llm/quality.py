@@ -44,6 +44,7 @@ MAX_ROWS = 8192
 MAX_WORDS = 20_000
 THRESHOLD = 0.3
 SLICES = 8
+SLICE_ROWS = 500
 FIGURES = 5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -281,8 +282,11 @@ def keep_good(docs: DataFrame, classifier: Classifier, threshold: float = THRESH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            s = model.score([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(s >= threshold))
+            # a worker holds the texts of few rows beside the batch
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                s = model.score([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(s >= threshold))
 
     # mapInArrow looks its columns up by name, which some names do not survive
     names = docs.columns
