@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from stockbook.llm import common, packing, tokens
+from stockbook.llm import common, packing, quality, tokens
 
 _KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -50,3 +50,15 @@ def test_pieces_of_many_batches(spark):
         n = len(encoder.whole(r["text"])) + 1
         want += [(r["doc_id"], s, k) for s, k in packing.cut(n)]
     assert got == sorted(want)
+
+
+def test_kept_rows_of_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_ROWS", 7)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id % 9, ' '), int(id)) as text")
+    labels = spark.range(0, 60).selectExpr("id as doc_id", "int(id % 2) as quality")
+    model = quality.fit(docs, labels, epochs=2)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    middle = sorted(scores.values())[30] - 1e-9
+    got = [r["doc_id"] for r in quality.keep_good(docs, model, middle).collect()]
+    assert got == [d for d in range(60) if scores[d] >= middle]
+    assert 7 < len(got) < 60
