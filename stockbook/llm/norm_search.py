@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, stage, table
-from .query_blocks import BLOCK_TERMS, Block, block_number, blocks_of, queries, ranges
+from .query_blocks import BLOCK_TERMS, Block, blocks_of, queries, ranges, read_block
 
 TOP = 10
 BUCKET = 4096
@@ -257,10 +257,9 @@ def top_documents(docs: DataFrame, items: DataFrame, top: int = TOP, block_terms
     n_blocks = blocks_of(asked, block_terms)
     out, statistics = None, None
     for b in range(n_blocks):
-        rows = asked.where(block_number(n_blocks) == b).collect()        # at most block_terms terms
-        if not rows:
+        block = read_block(asked, n_blocks, b)                           # at most block_terms terms
+        if not len(block.queries):
             continue
-        block = Block.of(rows)
         kept = kept_terms(docs, docs.sparkSession.sparkContext.broadcast(block.vocabulary))
         if statistics is None:
             statistics = kept.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()

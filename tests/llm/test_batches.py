@@ -1,7 +1,10 @@
+import tracemalloc
+from collections import Counter
+
 import pyarrow as pa
 import pytest
 
-from stockbook.llm import common, packing, quality, tokens
+from stockbook.llm import common, packing, quality, query_blocks, search, tokens
 
 _KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -62,3 +65,29 @@ def test_kept_rows_of_many_slices(spark, monkeypatch):
     got = [r["doc_id"] for r in quality.keep_good(docs, model, middle).collect()]
     assert got == [d for d in range(60) if scores[d] >= middle]
     assert 7 < len(got) < 60
+
+
+def test_a_block_is_read_as_flat_arrays(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 9000}" for j in range(400))) for i in range(0, 400)] + [(400, "a b a"), (401, "")]
+    asked = query_blocks.queries(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", search.words_of)
+    ids, texts = {r["query"]: r["doc_id"] for r in asked.collect()}, dict(rows)
+    n_blocks, got, terms = 3, {}, 0
+    for b in range(n_blocks):
+        tracemalloc.start()
+        block = query_blocks.read_block(asked, n_blocks, b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 * max(20_000, len(block.terms))
+        words = list(block.vocabulary)
+        assert list(block.vocabulary.values()) == list(range(len(words)))
+        for q, at, to in zip(block.queries.tolist(), block.starts[:-1], block.starts[1:], strict=True):
+            got[ids[q]] = {words[t]: c for t, c in zip(block.terms[at:to], block.counts[at:to].tolist(), strict=True)}
+        terms += len(block.terms)
+    assert got == {d: Counter(search.words_of(t)) for d, t in texts.items() if t}
+    assert terms == sum(map(len, got.values()))
+
+
+def test_an_empty_block(spark):
+    asked = query_blocks.queries(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), "doc_id", search.words_of)
+    blocks = [query_blocks.read_block(asked, 40, b) for b in range(40)]
+    assert sorted(len(b.queries) for b in blocks) == [0] * 39 + [1]
