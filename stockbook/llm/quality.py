@@ -16,7 +16,9 @@ smallest hash of ``doc_id``, so the choice does not depend on partitioning):
 4. the network (one hidden layer, numpy) is trained on the larger part of the
    sample; one temperature is then fitted on the rest by log loss.
 
-Scoring is one map over all rows. Only the text is an input of a score.
+Scoring is one map over all rows, written by the operator itself: a caller's
+write would hand a whole split of texts to Python at once. Only the text is an
+input of a score.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, small_batches, stage, table
 
 DIM = 48
 WINDOW = 2
@@ -45,11 +47,12 @@ MAX_WORDS = 20_000
 THRESHOLD = 0.3
 SLICES = 8
 SLICE_ROWS = 500
+COUNTED = 20_000         # entries that a task counts before it hands them on
 FIGURES = 5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-@lru_cache(100_000)
+@lru_cache(16_384)
 def shape(word: str) -> str:
     """The character classes of a word, each run once, and whether it is long."""
     out = []
@@ -139,13 +142,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 def _vocabulary(sample: DataFrame, max_words: int) -> Vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())],
+                                   names=["entry", "n"])
+
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words = set(_TOKEN.findall(text))
                 seen.update(words | set(map(shape, words)))
-        yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())],
-                              names=["entry", "n"])
+                if len(seen) >= COUNTED:
+                    yield out()
+                    seen.clear()
+        yield out()
 
     top = (sample.select("text").mapInArrow(count, "entry string, n bigint")
            .groupBy("entry").agg(F.sum("n").alias("n")).where("n >= 3")
@@ -224,6 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words:
     Without any usable label, or with labels of one kind only, the network is
     constant: it scores every text with the (smoothed) share of label 1.
     """
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, max_rows, max_words, epochs)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_rows: int, max_words: int, epochs: int) -> Classifier:
     sample = training_sample(docs, labels, max_rows).repartition(SLICES).persist()
     try:
         vocabulary = _vocabulary(sample, max_words)
@@ -270,13 +284,13 @@ def score(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD)
             s = model.score(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    scored = id_text(docs).mapInArrow(run, "doc_id bigint, score double")
+    scored = stage(id_text(docs).mapInArrow(run, "doc_id bigint, score double"), "scored")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all columns."""
+    """The rows of ``docs`` that score at least ``threshold``, all columns, staged."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +306,7 @@ def keep_good(docs: DataFrame, classifier: Classifier, threshold: float = THRESH
     names = docs.columns
     at = names.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return stage(plain.mapInArrow(run, plain.schema), "good").toDF(*names)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,21 @@ def test_an_empty_block(spark):
     asked = query_blocks.queries(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), "doc_id", search.words_of)
     blocks = [query_blocks.read_block(asked, 40, b) for b in range(40)]
     assert sorted(len(b.queries) for b in blocks) == [0] * 39 + [1]
+
+
+def test_scores_and_kept_rows_are_handed_over_in_small_batches(spark):
+    """Whatever writes the result, Python is handed no whole split of texts."""
+    docs = long_texts(spark, 300, 20_000)          # 6 MB in one partition
+    model = quality.fit(docs, spark.range(0, 300).selectExpr("id as doc_id", "int(id % 2) as quality"), epochs=1)
+    for result in (quality.keep_good(docs, model, 0.0), quality.score(docs, model)):
+        assert "MapInArrow" not in result._jdf.queryExecution().executedPlan().toString()
+        assert result.count() == 300
+    assert spark.conf.get(_KEY) != str(common.BATCH_BYTES)
+
+
+def test_words_counted_in_parts_are_summed(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(30))) for i in range(40)], "doc_id bigint, text string")
+    whole = quality._vocabulary(docs, 1000)
+    monkeypatch.setattr(quality, "COUNTED", 1)
+    assert list(quality._vocabulary(docs, 1000).items()) == list(whole.items())
+    assert len(whole) > 30
